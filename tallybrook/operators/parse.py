@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybrook.functions.scoring import fraud_flag, rule_score
-from tallybrook.schema import TRANSACTION_COLUMNS, TRANSACTION_SCHEMA
+from tallybrook.schema import TRANSACTION_SCHEMA
 
 CORRUPT = "corrupt_json"
 _READ_SCHEMA = T.StructType(
@@ -23,16 +23,10 @@ def parse_transactions(messages: DataFrame, *keep: str, value: str = "value") ->
     """
     text = F.col(value).cast("string")
     data = F.from_json(text, _READ_SCHEMA, {"columnNameOfCorruptRecord": CORRUPT})
-    return messages.select(data.alias("data"), *keep).select(
-        *[
-            F.try_to_timestamp("data.event_time").alias(name)
-            if name == "event_time"
-            else F.col(f"data.{name}")
-            for name in TRANSACTION_COLUMNS
-        ],
-        f"data.{CORRUPT}",
-        *keep,
-    )
+    # Unfolded by a generator, a message is parsed once: later filters stay above it. As a plain
+    # projection the optimizer would copy the parser into every condition on its fields.
+    fields = messages.select(F.inline(F.array(data)), *keep)
+    return fields.withColumn("event_time", F.try_to_timestamp("event_time"))
 
 
 def fill_amount(rows: DataFrame) -> DataFrame:
