@@ -19,26 +19,33 @@ def skew_safe_lookup(
     value: str,
     weight: str,
     spread_by: str,
+    hot_share: int = HOT_SHARE,
 ) -> DataFrame:
     """Left-join `value` from `lookup` (one row per key) onto rows whose keys may be very uneven.
 
-    `weight` is the number of rows behind each lookup key. Keys that hold over 1/10,000 of all
-    rows are fewer than 10,000 whatever the data, so that part is broadcast. Rows it answers,
-    and rows with a NULL key, are spread evenly by a hash of `spread_by` through the shuffle
-    that serves the rest, where no key holds more than 1/10,000 of the rows.
+    `weight` is the number of rows behind each lookup key. Keys that hold over 1/`hot_share` of
+    all rows are fewer than `hot_share` whatever the data, so that part is broadcast. Rows it
+    answers, and rows with a NULL key, are spread evenly by a hash of `spread_by` through the
+    shuffle that serves the rest, where no key holds more than 1/`hot_share` of the rows.
     """
     total = lookup.agg(F.sum(weight)).scalar()
-    is_hot = F.col(weight) * HOT_SHARE > total
+    is_hot = F.col(weight) * hot_share > total
     hot = lookup.where(is_hot).select(*keys, F.col(value).alias("_hot"))
+    # 1 for every lookup row; taken from the weight because a literal would be folded away and
+    # with it the spread column of the join key
     cold = lookup.where(~is_hot).select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.lit(-1).alias("_spread"), F.col(value)
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.signum(weight).cast("int").alias("_slot"),
+        F.col(value),
     )
-    open_key = F.col("_hot").isNull()
+    still_open = F.col("_hot").isNull()
     for k in keys:
-        open_key = open_key & F.col(k).isNotNull()
-    spread = F.when(open_key, F.lit(-1)).otherwise(F.pmod(F.hash(spread_by), F.lit(1 << 20)))
-    probed = rows.join(F.broadcast(hot), list(keys), "left").withColumn("_at", spread)
-    match = F.col("_at") == F.col("_spread")
+        still_open = still_open & F.col(k).isNotNull()
+    elsewhere = -1 - F.pmod(F.hash(spread_by), F.lit(1 << 20))
+    probed = rows.join(F.broadcast(hot), list(keys), "left").withColumn(
+        "_at", F.when(still_open, F.lit(1)).otherwise(elsewhere)
+    )
+    match = F.col("_at") == F.col("_slot")
     for k in keys:
         match = match & (F.col(k) == F.col(f"_{k}"))
     return probed.join(cold, match, "left").select(

@@ -351,7 +351,8 @@ def roc_auc(spark, sf_dir):
 @query
 def train_fraud_model(spark, sf_dir):
     """Confusion matrix of the fitted forest on the held-out fifth."""
-    _, tested = model.train_and_test(source.payments(spark, sf_dir))
+    rows = model.spread_small(source.payments(spark, sf_dir))
+    _, tested = model.train_and_test(rows)
     return evaluation.confusion_matrix(tested, "is_fraud", "predicted_fraud")
 
 
@@ -360,7 +361,7 @@ def ml_fraud_score(spark, sf_dir):
     """Fit, save, load, then score every payment."""
     path = work_dir(spark, "model")
     rows = source.payments(spark, sf_dir)
-    model.fit_model(rows).save(path)
+    model.fit_model(model.spread_small(rows)).save(path)
     scored = model.score_with_model(rows, model.load_model(spark, path))
     return scored.select("transaction_id", "rule_score", "ml_score", "fraud_score", "is_fraud")
 
