@@ -1,0 +1,203 @@
+from __future__ import annotations
+
+import json
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallybrook.operators import counters
+from tallybrook.operators.parse import parse_transactions
+from tallybrook.operators.quality import silver, with_reject_reason
+from tallybrook.operators.summaries import MEASURES, governorate_daily_summary
+from tallybrook.sources import payments as source
+from tallybrook.sources.tables import message_stream, table_stream
+from tallybrook.streaming import queries as streams
+from tallybrook.streaming.sinks import Targets, fan_out, read_counters
+
+
+def message(number, time_text, **changed):
+    """One JSON message."""
+    return json.dumps(
+        {
+            "transaction_id": f"t{number}",
+            "event_time": time_text,
+            "customer_id": "c",
+            "merchant_id": "m",
+            "service_type": "gas_bill",
+            "amount_egp": 100.0,
+            "governorate": "Giza",
+            "payment_method": "wallet",
+            "status": "success",
+            "is_fraud": False,
+            **changed,
+        }
+    )
+
+
+class Feed:
+    """A folder of message files, read one file per micro-batch in the order they were added."""
+
+    def __init__(self, spark, path):
+        self.spark, self.path, self.count = spark, path, 0
+        os.makedirs(path)
+
+    def add(self, *texts):
+        name = f"{self.path}/{self.count:04d}.txt"
+        with open(name, "w") as file:
+            file.write("\n".join(texts))
+        stamp = time.time() - 1000 + self.count * 10
+        os.utime(name, (stamp, stamp))
+        self.count += 1
+
+    def open(self):
+        options = {"path": self.path, "maxFilesPerTrigger": "1"}
+        return message_stream(self.spark, "text", options)
+
+
+@pytest.fixture
+def feed(spark, folder):
+    return Feed(spark, f"{folder}/feed")
+
+
+@pytest.fixture
+def targets(folder):
+    return Targets(f"{folder}/warehouse", f"{folder}/counters", f"{folder}/quarantine")
+
+
+def rows_of(frame):
+    return sorted(map(tuple, frame.collect()))
+
+
+def fill(spark, feed, sf_dir, files=4):
+    """The test data as message files; returns the same messages as a batch."""
+    messages = source.wire_messages(spark, sf_dir).select(F.col("value").cast("string"))
+    texts = [row.value for row in messages.collect()]
+    for start in range(files):
+        feed.add(*texts[start::files])
+    return messages
+
+
+def test_stream_equals_batch_over_several_batches(spark, feed, sf_dir, targets, folder):
+    messages = fill(spark, feed, sf_dir)
+    query = streams.fan_out_sink(feed.open(), targets, f"{folder}/check", None)
+    streams.finish(query)
+    whole = silver(parse_transactions(messages))
+    columns = [c for c in whole.columns if c not in ("ingested_at", "is_fraud")]
+    stored = spark.read.parquet(targets.warehouse)
+    assert rows_of(stored.select(columns)) == rows_of(whole.select(columns))
+    assert stored.select("batch_id").distinct().count() == 4
+    bad = with_reject_reason(parse_transactions(messages)).where("reject_reason <> ''")
+    assert spark.read.parquet(targets.quarantine).count() == bad.count() > 0
+    kpis = counters.live_kpis(read_counters(spark, targets.counters)).first()
+    assert kpis.total_transactions == whole.count()
+    # one ingestion time per batch
+    times = stored.groupBy("batch_id").agg(F.countDistinct("ingested_at").alias("n")).collect()
+    assert all(row.n == 1 for row in times)
+
+
+def test_replayed_batch_changes_nothing(spark, sf_dir, targets):
+    batch = source.wire_messages(spark, sf_dir)
+
+    def state():
+        stored = spark.read.parquet(targets.warehouse).drop("ingested_at")
+        return (
+            rows_of(stored.select(sorted(stored.columns))),
+            rows_of(read_counters(spark, targets.counters)),
+            spark.read.parquet(targets.quarantine).count(),
+        )
+
+    for number in (0, 1):
+        fan_out(batch, number, targets)
+    before = state()
+    for number in (1, 0):
+        fan_out(batch, number, targets)
+    assert state() == before
+    ids = spark.read.parquet(targets.warehouse).select("transaction_id")
+    assert ids.count() == ids.distinct().count()
+
+
+def test_restart_from_checkpoint_loses_and_repeats_nothing(spark, feed, targets, folder):
+    for part in ((1, 2), (3,), (4, 5, 6)):
+        feed.add(*[message(n, "2024-01-01T10:00:00") for n in part])
+        streams.finish(streams.fan_out_sink(feed.open(), targets, f"{folder}/check", None))
+    ids = [row[0] for row in spark.read.parquet(targets.warehouse).select("transaction_id").collect()]
+    assert sorted(ids) == [f"t{n}" for n in range(1, 7)]
+    kpis = counters.live_kpis(read_counters(spark, targets.counters)).first()
+    assert kpis.total_transactions == 6 and kpis.avg_rows_per_batch == 2.0
+
+
+def test_empty_batch_writes_nothing(spark, targets):
+    fan_out(spark.createDataFrame([], "value string"), 3, targets)
+    assert not any(os.path.exists(p) for p in (targets.warehouse, targets.counters))
+
+
+def test_lake_and_counter_and_warehouse_sinks_alone(spark, feed, folder):
+    feed.add(message(1, "2024-01-01T23:59:59"), message(2, "2024-01-02T00:00:00"), "junk")
+    feed.add(message(2, "2024-01-02T00:00:00"), message(3, "2024-01-02T08:00:00"))
+    rows = streams.clean_stream(feed.open())
+    streams.finish(streams.lake_sink(rows, f"{folder}/lake", f"{folder}/c1", None))
+    streams.finish(streams.warehouse_sink(rows, f"{folder}/dw", f"{folder}/c2", None))
+    streams.finish(streams.counter_sink(rows, f"{folder}/counters", f"{folder}/c3", None))
+    streams.finish(streams.bronze_sink(feed.open(), f"{folder}/raw", f"{folder}/c4", None))
+    lake = spark.read.parquet(f"{folder}/lake")
+    assert lake.count() == 4 and lake.select("event_date").distinct().count() == 2
+    assert spark.read.parquet(f"{folder}/dw").count() == 3
+    assert spark.read.parquet(f"{folder}/raw").count() == 5
+    kpis = counters.live_kpis(read_counters(spark, f"{folder}/counters")).first()
+    assert kpis.total_transactions == 4
+
+
+def dedup_ids(spark, feed, folder, delay):
+    streams.use_large_state(spark)
+    once = streams.dedup_stream(streams.clean_stream(feed.open()), delay)
+    streams.finish(streams.lake_sink(once, f"{folder}/once", f"{folder}/check", None))
+    landed = spark.read.parquet(f"{folder}/once").select("transaction_id").collect()
+    return sorted(row[0] for row in landed)
+
+
+def test_dedup_across_batches(spark, feed, folder):
+    feed.add(message(1, "2024-01-01T10:00:00"), message(1, "2024-01-01T10:00:00"))
+    feed.add(message(1, "2024-01-01T10:00:00"), message(2, "2024-01-01T10:05:00"))
+    feed.add(message(2, "2024-01-01T10:05:00"), message(3, "2024-01-01T10:06:00"))
+    assert dedup_ids(spark, feed, folder, "1 hour") == ["t1", "t2", "t3"]
+
+
+def test_rows_older_than_the_watermark_are_dropped(spark, feed, folder):
+    feed.add(message(1, "2024-01-01T10:00:00"))
+    feed.add(message(2, "2024-01-01T15:00:00"))
+    feed.add(message(3, "2024-01-01T15:01:00"))
+    feed.add(message(4, "2024-01-01T09:00:00"), message(5, "2024-01-01T14:30:00"))
+    assert dedup_ids(spark, feed, folder, "1 hour") == ["t1", "t2", "t3", "t5"]
+
+
+def test_daily_totals_are_updated_batch_by_batch(spark, feed, folder):
+    feed.add(message(1, "2024-01-01T10:00:00"), message(2, "2024-01-01T11:00:00"))
+    feed.add(message(3, "2024-01-02T10:00:00"), message(4, "2024-01-01T20:00:00"))
+    feed.add(message(5, "2024-01-02T11:00:00", amount_egp=16000), message(6, "2024-01-02T12:00:00", status="failed"))
+    streams.finish(
+        streams.lake_sink(streams.clean_stream(feed.open()), f"{folder}/clean", f"{folder}/c1", None)
+    )
+    landed = spark.read.parquet(f"{folder}/clean")
+    clean = table_stream(spark, f"{folder}/clean", landed.schema, maxFilesPerTrigger="1")
+    streams.finish(
+        streams.daily_totals_sink(
+            spark, streams.daily_totals(clean, "10 days"), f"{folder}/gold", f"{folder}/staging",
+            f"{folder}/c2", None,
+        )
+    )
+    columns = ["summary_date", "governorate", *MEASURES]
+    got = rows_of(spark.read.parquet(f"{folder}/gold").select(columns))
+    assert got == rows_of(governorate_daily_summary(landed).select(columns)) and len(got) == 2
+
+
+def test_first_offsets_and_trigger_are_arguments(spark, feed, folder):
+    feed.add(message(1, "2024-01-01T10:00:00"))
+    rows = streams.clean_stream(feed.open())
+    query = streams.lake_sink(rows, f"{folder}/lake", f"{folder}/check", "1 second")
+    try:
+        query.processAllAvailable()
+        assert spark.read.parquet(f"{folder}/lake").count() == 1
+    finally:
+        query.stop()
