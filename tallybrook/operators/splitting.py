@@ -37,12 +37,13 @@ def split_cuts(
         .where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
         .select(label, "prefix", (F.col("k") - F.col("upto") + F.col("n")).alias("rank"))
     )
-    # one row per label value
+    # one row per label value; copies of an id count as often as they occur but travel once
     near = hashed.withColumn("prefix", prefix).join(F.broadcast(cut), [label, "prefix"])
-    order = W.partitionBy(label).orderBy("hash", row_id)
+    copies = near.groupBy(label, "rank", "hash", row_id).agg(F.count(F.lit(1)).alias("n"))
+    position = F.sum("n").over(W.partitionBy(label).orderBy("hash", row_id))
     return (
-        near.withColumn("position", F.row_number().over(order))
-        .where(F.col("position") == F.col("rank"))
+        copies.withColumn("upto", position)
+        .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
         .select(label, F.col("hash").alias("cut_hash"), F.col(row_id).alias("cut_id"))
     )
 

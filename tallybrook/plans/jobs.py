@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from tallybrook.operators import evaluation, model, quality, summaries
 from tallybrook.operators.parse import parse_transactions
 from tallybrook.operators.upsert import read_if_present, write_partitions
+from tallybrook.sources.tables import table_stream
+from tallybrook.streaming.queries import finish, start
 
 MERCHANT_TABLE = "merchant_daily_summary"
 GOVERNORATE_TABLE = "governorate_daily_summary"
@@ -22,39 +25,67 @@ def previous_day() -> dt.date:
     return dt.datetime.now(dt.UTC).date() - dt.timedelta(days=1)
 
 
-def refresh_silver(
-    spark: SparkSession, bronze: DataFrame, path: str, staging: str, quarantine: str
-) -> list[dt.date]:
-    """Bring newly arrived bronze rows into the clean table and return the event dates touched.
+@dataclass(frozen=True)
+class Lake:
+    """Folders of the lake: raw messages, clean rows, rejected messages, summaries, work space."""
 
-    `bronze` holds the raw messages of the ingestion dates to take in. Late rows land in the
-    partition of their event date. Only touched dates are read and rewritten, via `staging`, so a
-    run that dies can be started again. A repeated id counts once if it keeps its event date,
-    as a redelivered message does.
+    bronze: str
+    silver: str
+    quarantine: str
+    gold: str
+    staging: str
+    checkpoint: str
+
+
+def refresh_silver(messages: DataFrame, batch_id: int, lake: Lake) -> list[dt.date]:
+    """Bring raw messages into the clean table and return the event dates touched.
+
+    Late rows land in the partition of their event date. Only touched dates are read and
+    rewritten, via the work space, so a run that dies can be started again, and a second run
+    changes nothing. A repeated id counts once if it keeps its event date, as a redelivered
+    message does.
     """
-    parsed = parse_transactions(bronze, "value", "ingest_date")
-    bad = quality.rejected(quality.with_reject_reason(parsed))
+    spark = messages.sparkSession
+    staging = f"{lake.staging}/{batch_id}"
+    checked = quality.with_reject_reason(parse_transactions(messages, "value"))
+    bad = quality.rejected(checked).select("value", quality.REJECT)
     write_partitions(
-        bad.select("value", quality.REJECT, "ingest_date"), quarantine, "ingest_date"
+        bad.withColumn("batch_id", F.lit(batch_id).cast("bigint")), lake.quarantine, "batch_id"
     )
-    fresh = quality.silver(parsed.drop("value", "ingest_date"))
-    fresh.write.mode("overwrite").parquet(f"{staging}/fresh")
-    fresh = spark.read.parquet(f"{staging}/fresh")
-    dates = sorted(row[0] for row in fresh.select("event_date").distinct().collect())
-    table = read_if_present(spark, path)
+    quality.silver(checked.drop("value", quality.REJECT)).write.mode("overwrite").parquet(
+        f"{staging}/fresh"
+    )
+    rows = spark.read.parquet(f"{staging}/fresh")
+    dates = sorted(row[0] for row in rows.select("event_date").distinct().collect())
+    table = read_if_present(spark, lake.silver)
     if table is not None:
         old = table.where(F.col("event_date").isin(dates))
-        both = old.unionByName(fresh.select(*old.columns))
-        quality.dedup_earliest(both, ["transaction_id"], ["event_time", "ingested_at"]).write.mode(
-            "overwrite"
-        ).parquet(f"{staging}/merged")
-        fresh = spark.read.parquet(f"{staging}/merged")
-    write_partitions(fresh, path, "event_date")
+        both = old.unionByName(rows.select(*old.columns))
+        merged = quality.dedup_earliest(both, ["transaction_id"], ["event_time", "ingested_at"])
+        merged.write.mode("overwrite").parquet(f"{staging}/merged")
+        rows = spark.read.parquet(f"{staging}/merged")
+    write_partitions(rows, lake.silver, "event_date")
     return dates
 
 
+def catch_up(spark: SparkSession, lake: Lake) -> None:
+    """Take in all bronze files that are new since the last run and redo the days they touch.
+
+    The stream checkpoint keeps what was taken; a step that fails is done again as a whole.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            run_daily(spark, lake, refresh_silver(batch, batch_id, lake))
+
+    files = table_stream(
+        spark, lake.bronze, "value binary, ingested_at timestamp", maxFilesPerTrigger="4096"
+    )
+    finish(start(files.select("value").writeStream.foreachBatch(step), lake.checkpoint, None))
+
+
 def run_daily(
-    spark: SparkSession, silver_path: str, gold_path: str, dates: Sequence[dt.date] | None = None
+    spark: SparkSession, lake: Lake, dates: Sequence[dt.date] | None = None
 ) -> DataFrame:
     """Recompute the summaries of the given event dates (default: yesterday) and replace them.
 
@@ -62,7 +93,8 @@ def run_daily(
     Returns the row count of each summary table for the dates.
     """
     days = list(dates) if dates is not None else [previous_day()]
-    rows = spark.read.parquet(silver_path).where(F.col("event_date").isin(days))
+    gold_path = lake.gold
+    rows = spark.read.parquet(lake.silver).where(F.col("event_date").isin(days))
     write_partitions(
         summaries.merchant_daily_summary(rows), f"{gold_path}/{MERCHANT_TABLE}", "summary_date"
     )

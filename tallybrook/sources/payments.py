@@ -116,10 +116,10 @@ def with_defects(rows: DataFrame, *keep: str) -> DataFrame:
         F.to_json(_wire_struct(amount_egp=F.lit("NaN"))),
         F.to_json(_wire_struct(status=long_text)),
     ]
-    message = F.to_json(_wire_struct())
+    message = F.when(F.col("defect").isNull(), F.to_json(_wire_struct()))
     for number, text in enumerate(broken):
-        message = F.when(kind == number, text).otherwise(message)
-    return rows.select(message.cast("binary").alias("value"), *keep)
+        message = message.when(F.col("defect") == number, text)
+    return rows.withColumn("defect", kind).select(message.cast("binary").alias("value"), *keep)
 
 
 def wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

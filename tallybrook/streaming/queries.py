@@ -20,6 +20,9 @@ from tallybrook.streaming.sinks import Targets, append_new_payments, fan_out, wr
 TABLE_INTERVAL = "30 seconds"
 COUNTER_INTERVAL = "10 seconds"
 
+DEDUP_SLOTS = 16
+SLOT_SEED = 7
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,7 +37,7 @@ def clean_stream(messages: DataFrame) -> DataFrame:
     return enrich(accepted(with_reject_reason(parse_transactions(messages))))
 
 
-def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
+def start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
     """Start a query; without an interval it takes all that is there now and ends."""
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -47,7 +50,7 @@ def bronze_sink(
     now = F.current_timestamp()
     raw = messages.select("value", now.alias("ingested_at"), F.to_date(now).alias("ingest_date"))
     writer = raw.writeStream.format("parquet").option("path", path).partitionBy("ingest_date")
-    return _start(writer, checkpoint, interval)
+    return start(writer, checkpoint, interval)
 
 
 def lake_sink(
@@ -56,7 +59,7 @@ def lake_sink(
     """Append enriched rows to a Parquet table by event date."""
     dated = enriched.withColumn("event_date", F.to_date("event_time"))
     writer = dated.writeStream.format("parquet").option("path", path).partitionBy("event_date")
-    return _start(writer, checkpoint, interval)
+    return start(writer, checkpoint, interval)
 
 
 def warehouse_sink(
@@ -68,7 +71,7 @@ def warehouse_sink(
         if not batch.isEmpty():
             append_new_payments(typed_for_storage(batch), batch_id, path)
 
-    return _start(enriched.writeStream.foreachBatch(write), checkpoint, interval)
+    return start(enriched.writeStream.foreachBatch(write), checkpoint, interval)
 
 
 def counter_sink(
@@ -80,7 +83,7 @@ def counter_sink(
         if not batch.isEmpty():
             write_counters(batch, batch_id, path)
 
-    return _start(enriched.writeStream.foreachBatch(write), checkpoint, interval)
+    return start(enriched.writeStream.foreachBatch(write), checkpoint, interval)
 
 
 def fan_out_sink(
@@ -88,17 +91,21 @@ def fan_out_sink(
 ) -> StreamingQuery:
     """One query for warehouse, counters and quarantine: messages are read and scored once."""
     write = partial(fan_out, targets=targets)
-    return _start(messages.writeStream.foreachBatch(write), checkpoint, interval)
+    return start(messages.writeStream.foreachBatch(write), checkpoint, interval)
 
 
 def dedup_stream(enriched: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Drop repeated transaction ids that arrive within `delay` of each other in event time.
 
     The watermark bounds the state and drops rows older than it; bronze keeps those, and the
-    daily batch counts them.
+    daily batch counts them. Copies are dropped in two steps: first within a random slot of
+    their id, so that an id repeated without end is worked off by many tasks, then among the
+    few rows that are left of it.
     """
-    marked = enriched.withWatermark("event_time", delay)
-    return marked.dropDuplicatesWithinWatermark(["transaction_id"])
+    slot = F.floor(F.rand(SLOT_SEED) * DEDUP_SLOTS)
+    spread = enriched.withWatermark("event_time", delay).withColumn("slot", slot)
+    thinned = spread.dropDuplicatesWithinWatermark(["transaction_id", "slot"]).drop("slot")
+    return thinned.dropDuplicatesWithinWatermark(["transaction_id"])
 
 
 def daily_totals(clean: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -143,7 +150,7 @@ def daily_totals_sink(
             batch.unpersist()
 
     writer = totals.writeStream.outputMode("update").foreachBatch(write)
-    return _start(writer, checkpoint, interval)
+    return start(writer, checkpoint, interval)
 
 
 def finish(query: StreamingQuery) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -14,8 +15,9 @@ from tallybrook.operators.counters import (
     counter_deltas,
     newest_batches,
 )
-from tallybrook.operators.parse import enrich, parse_transactions
+from tallybrook.operators.parse import fill_amount, parse_transactions, score
 from tallybrook.operators.quality import (
+    REJECT,
     accepted,
     dedup_earliest,
     rejected,
@@ -27,6 +29,8 @@ from tallybrook.schema import COUNTER_SCHEMA, COUNTER_VALUE, WAREHOUSE_COLUMNS
 
 MAX_PRUNED_DATES = 366
 
+log = logging.getLogger(__name__)
+
 
 def append_new_payments(batch: DataFrame, batch_id: int, path: str) -> None:
     """Add a batch to the warehouse table, leaving out ids that other batches brought.
@@ -137,30 +141,38 @@ def fold_counters(
 
 @dataclass(frozen=True)
 class Targets:
-    """Where the parts of the fan-out go."""
+    """Where the parts of the fan-out go; without `bronze` the raw messages are not kept."""
 
     warehouse: str
     counters: str
     quarantine: str
+    bronze: str | None = None
 
 
 def fan_out(batch: DataFrame, batch_id: int, targets: Targets) -> None:
-    """Write one batch of raw messages to all sinks: parsed, checked and scored once.
+    """Write one batch of raw messages to all sinks: read, parsed and checked once.
 
-    A batch without rows writes nothing. All sinks see the same ingestion time.
+    A batch without rows writes nothing. All sinks see the same ingestion time. The row counts
+    that are logged come from the one pass that fills the cache.
     """
-    checked = with_reject_reason(parse_transactions(batch, "value")).persist()
+    number = F.lit(batch_id).cast("bigint")
+    checked = (
+        with_reject_reason(parse_transactions(batch, "value"))
+        .withColumn("ingested_at", F.current_timestamp())
+        .persist()
+    )
     try:
-        if checked.isEmpty():
+        read, bad = checked.agg(F.count(F.lit(1)), F.count_if(F.col(REJECT) != "")).first()
+        if not read:
             return
-        good = typed_for_storage(enrich(accepted(checked)))
+        if targets.bronze:
+            raw = checked.select("value", "ingested_at", number.alias("batch_id"))
+            write_partitions(raw, targets.bronze, "batch_id")
+        good = typed_for_storage(score(fill_amount(accepted(checked).drop("value"))))
         append_new_payments(good, batch_id, targets.warehouse)
         write_counters(good, batch_id, targets.counters)
-        bad = rejected(checked).select("value", "reject_reason")
-        write_partitions(
-            bad.withColumn("batch_id", F.lit(batch_id).cast("bigint")),
-            targets.quarantine,
-            "batch_id",
-        )
+        broken = rejected(checked).select("value", REJECT, number.alias("batch_id"))
+        write_partitions(broken, targets.quarantine, "batch_id")
+        log.info("batch %s: %s messages, %s rejected", batch_id, read, bad)
     finally:
         checked.unpersist()
