@@ -20,7 +20,7 @@ BATCHES_PER_PIECE = 1024
 def counter_deltas(rows: DataFrame, batch_id: str = "batch_id") -> DataFrame:
     """What each batch adds to the counters, as (batch_id, metric, key, value).
 
-    Rows are aggregated once to (batch, service, region); the five counters are then unfolded
+    Rows are aggregated once to (batch, service, region); the six counters are then unfolded
     from that small table. Missing and empty keys are not counted by key.
     """
     base = rows.groupBy(batch_id, "service_type", "governorate").agg(
@@ -39,11 +39,12 @@ def counter_deltas(rows: DataFrame, batch_id: str = "batch_id") -> DataFrame:
         entry("total_fraud", "fraud", F.lit("")),
         entry("total_revenue", "egp", F.lit("")),
         entry("by_service", "n", F.coalesce("service_type", F.lit(""))),
+        entry("revenue_by_service", "egp", F.coalesce("service_type", F.lit(""))),
         entry("by_governorate", "n", F.coalesce("governorate", F.lit(""))),
     )
     return (
         base.select(batch_id, F.inline(entries))
-        .where(~F.col("metric").startswith("by_") | (F.col("key") != ""))
+        .where(F.col("metric").startswith("total_") | (F.col("key") != ""))
         .groupBy(F.col(batch_id).alias("batch_id"), "metric", "key")
         .agg(F.sum("value").cast(COUNTER_VALUE).alias("value"))
     )
@@ -58,6 +59,15 @@ def keyed_counts(deltas: DataFrame, metric: str, key_name: str) -> DataFrame:
     )
 
 
+def keyed_revenue(deltas: DataFrame) -> DataFrame:
+    """Running revenue per service."""
+    return (
+        deltas.where(F.col("metric") == "revenue_by_service")
+        .groupBy(F.col("key").alias("service_type"))
+        .agg(F.sum("value").cast(COUNTER_VALUE).alias("revenue"))
+    )
+
+
 def ranked_counts(counts: DataFrame, key: str, ascending: bool) -> DataFrame:
     """Counts per category with their position in chart order.
 

@@ -83,7 +83,3 @@ def newest(summary: DataFrame, key: str, rows: int = HISTORY_ROWS) -> DataFrame:
         .limit(rows)
     )
 
-
-def revenue_by_service(rows: DataFrame) -> DataFrame:
-    """Amount taken per service."""
-    return rows.groupBy("service_type").agg(F.sum(money()).cast(MONEY_SUM).alias("revenue"))

@@ -20,6 +20,7 @@ def live_frames(
     by_governorate = counters.keyed_counts(deltas, "by_governorate", "governorate")
     return {
         "kpis": counters.live_kpis(deltas),
+        "revenue": counters.keyed_revenue(deltas),
         "services": counters.ranked_counts(by_service, "service_type", ascending=True),
         "governorates": counters.ranked_counts(by_governorate, "governorate", ascending=False),
     }

@@ -213,6 +213,10 @@ deltas AS (
   SELECT batch_id, 'by_service', service_type, CAST(COUNT(*) AS DECIMAL(24,2))
   FROM batched WHERE service_type <> '' GROUP BY batch_id, service_type
   UNION ALL
+  SELECT batch_id, 'revenue_by_service', service_type,
+         CAST(SUM(CAST(amount_egp AS DECIMAL(12,2))) AS DECIMAL(24,2))
+  FROM batched WHERE service_type <> '' GROUP BY batch_id, service_type
+  UNION ALL
   SELECT batch_id, 'by_governorate', governorate, CAST(COUNT(*) AS DECIMAL(24,2))
   FROM batched WHERE governorate <> '' GROUP BY batch_id, governorate
 )"""
@@ -283,10 +287,8 @@ SELECT * FROM rollup ORDER BY summary_date DESC, service_type LIMIT 200""",
         "governorate_history": f"""WITH {GOVERNORATE}
 SELECT * FROM governorate_summary ORDER BY summary_date DESC, governorate LIMIT 200""",
         "revenue_by_service": f"""WITH {PAYMENTS}
-SELECT service_type,
-       CAST(SUM(CASE WHEN event_id % 40 = 9 THEN 0 ELSE CAST(amount_egp AS DECIMAL(12,2)) END)
-            AS DECIMAL(22,2)) AS revenue
-FROM payments GROUP BY service_type""",
+SELECT service_type, CAST(SUM(CAST(amount_egp AS DECIMAL(12,2))) AS DECIMAL(24,2)) AS revenue
+FROM payments WHERE service_type <> '' GROUP BY service_type""",
         "fraud_signature_report": f"""WITH {PAYMENTS}
 SELECT CAST(event_time AS DATE) AS event_date, service_type, COUNT(*) AS hits,
        CAST(SUM(CAST(amount_egp AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS amount_egp
@@ -433,5 +435,7 @@ UNION ALL
 SELECT 'quarantine' AS target, COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_fraud,
        CAST(0 AS DECIMAL(22,2)) AS amount_egp
 FROM checked WHERE reject_reason <> ''""",
+        "stream_merchant_summary": f"""WITH {CHECKED}
+{_daily('clean', 'merchant_id, service_type')}""",
         "stream_daily_summary": f"WITH {CHECKED} {_daily('clean', 'governorate')}",
     }

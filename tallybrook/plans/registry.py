@@ -196,11 +196,6 @@ def governorate_history(spark, sf_dir):
     return summaries.newest(governorate_daily_summary(spark, sf_dir), "governorate")
 
 
-@query
-def revenue_by_service(spark, sf_dir):
-    return summaries.revenue_by_service(source.payments_missing_amounts(spark, sf_dir))
-
-
 @query
 def fraud_signature_report(spark, sf_dir):
     return reports.fraud_signature_report(source.payments(spark, sf_dir))
@@ -248,6 +243,11 @@ def live_by_governorate(spark, sf_dir):
     return counters.keyed_counts(_deltas(spark, sf_dir), "by_governorate", "governorate")
 
 
+@query
+def revenue_by_service(spark, sf_dir):
+    return counters.keyed_revenue(_deltas(spark, sf_dir))
+
+
 @query
 def service_ranking(spark, sf_dir):
     return counters.ranked_counts(live_by_service(spark, sf_dir), "service_type", ascending=True)
@@ -438,9 +438,8 @@ def stream_dedup(spark, sf_dir):
     return naive_time(landed.select(*TRANSACTION_COLUMNS, "fraud_score"))
 
 
-@query
-def stream_daily_summary(spark, sf_dir):
-    """Governorate totals kept by a stream over the de-duplicated rows of another stream."""
+def _streamed_totals(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Totals kept by a stream over the de-duplicated rows of another stream."""
     out = work_dir(spark, "daily")
     rows = streams.clean_stream(_redelivered_stream(spark, sf_dir))
     once = streams.dedup_stream(rows, WHOLE_TABLE)
@@ -449,12 +448,17 @@ def stream_daily_summary(spark, sf_dir):
     clean = table_stream(
         spark, f"{out}/clean", landed.schema, maxFilesPerTrigger=FILES_PER_BATCH
     )
-    totals = streams.daily_totals(clean, WHOLE_TABLE)
-    streams.finish(
-        streams.daily_totals_sink(
-            spark, totals, f"{out}/gold", f"{out}/staging", f"{out}/gold_checkpoint", None
-        )
-    )
-    return spark.read.parquet(f"{out}/gold").select(
-        "summary_date", "governorate", *summaries.MEASURES
-    )
+    totals = streams.daily_totals(clean, keys, WHOLE_TABLE)
+    places = (f"{out}/gold", f"{out}/staging", f"{out}/gold_checkpoint")
+    streams.finish(streams.daily_totals_sink(spark, totals, keys, *places, None))
+    return spark.read.parquet(f"{out}/gold").select("summary_date", *keys, *summaries.MEASURES)
+
+
+@query
+def stream_daily_summary(spark, sf_dir):
+    return _streamed_totals(spark, sf_dir, "governorate")
+
+
+@query
+def stream_merchant_summary(spark, sf_dir):
+    return _streamed_totals(spark, sf_dir, "merchant_id", "service_type")

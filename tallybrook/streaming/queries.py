@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,24 @@ DEDUP_SLOTS = 16
 SLOT_SEED = 7
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+SAVE_CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_large_state(spark: SparkSession) -> None:
-    """Keep stream state in RocksDB on executor disks instead of the JVM heap."""
+    """Keep stream state in RocksDB instead of the JVM heap, and save only its changes per batch.
+
+    The working copy lies on executor disks, the saved state in the checkpoint folder. A local
+    session also gets one state partition per core: each costs a store to open and to save. On
+    a cluster the configured partitions hold, which the first checkpoint then fixes.
+    """
     spark.conf.set(STATE_STORE, ROCKSDB)
+    spark.conf.set(SAVE_CHANGES, "true")
+    if spark.conf.get("spark.master", "").startswith("local"):
+        cores = spark.sparkContext.defaultParallelism
+        if int(spark.conf.get(PARTITIONS)) > cores:
+            spark.conf.set(PARTITIONS, str(cores))
 
 
 def clean_stream(messages: DataFrame) -> DataFrame:
@@ -108,31 +121,32 @@ def dedup_stream(enriched: DataFrame, delay: str = "1 hour") -> DataFrame:
     return thinned.dropDuplicatesWithinWatermark(["transaction_id"])
 
 
-def daily_totals(clean: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Running governorate totals per event day; each change is emitted as the new total."""
+def daily_totals(clean: DataFrame, keys: Sequence[str], delay: str = "1 day") -> DataFrame:
+    """Running totals per event day and keys; each change is emitted as the new total."""
     day = F.window("event_time", "1 day")
     return (
         successful(clean)
         .withWatermark("event_time", delay)
-        .groupBy(day, "governorate")
+        .groupBy(day, *keys)
         .agg(
             F.count(F.lit(1)).alias("total_transactions"),
             F.sum(money()).cast(MONEY_SUM).alias("total_amount_egp"),
             F.count_if("is_fraud").alias("fraud_count"),
         )
-        .select("governorate", *MEASURES, F.to_date("window.start").alias("summary_date"))
+        .select(*keys, *MEASURES, F.to_date("window.start").alias("summary_date"))
     )
 
 
 def daily_totals_sink(
     spark: SparkSession,
     totals: DataFrame,
+    keys: Sequence[str],
     path: str,
     staging: str,
     checkpoint: str,
     interval: str | None = TABLE_INTERVAL,
 ) -> StreamingQuery:
-    """Upsert changed daily totals into the governorate summary table."""
+    """Upsert changed daily totals into a summary table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # the state must not be stepped once per use
@@ -142,7 +156,7 @@ def daily_totals_sink(
                 path,
                 f"{staging}/batch_id={batch_id}",
                 batch,
-                ["summary_date", "governorate"],
+                ["summary_date", *keys],
                 MEASURES,
                 "summary_date",
             )

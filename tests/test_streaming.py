@@ -183,8 +183,8 @@ def test_daily_totals_are_updated_batch_by_batch(spark, feed, folder):
     clean = table_stream(spark, f"{folder}/clean", landed.schema, maxFilesPerTrigger="1")
     streams.finish(
         streams.daily_totals_sink(
-            spark, streams.daily_totals(clean, "10 days"), f"{folder}/gold", f"{folder}/staging",
-            f"{folder}/c2", None,
+            spark, streams.daily_totals(clean, ["governorate"], "10 days"), ["governorate"],
+            f"{folder}/gold", f"{folder}/staging", f"{folder}/c2", None,
         )
     )
     columns = ["summary_date", "governorate", *MEASURES]
