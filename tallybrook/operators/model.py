@@ -180,7 +180,12 @@ def fit_model(labelled: DataFrame, seed: int = SEED) -> FraudModel:
         maxMemoryInMB=1024,
         cacheNodeIds=True,  # halves the time at this depth: trees are not sent out at every level
     )
-    fitted = forest.fit(prepare.transform(frame).select("features", "label", "weight"))
+    # the forest reads its input several times before it keeps a copy of its own
+    ready = prepare.transform(frame).select("features", "label", "weight").persist()
+    try:
+        fitted = forest.fit(ready)
+    finally:
+        ready.unpersist()
     return FraudModel(PipelineModel([*prepare.stages, fitted]), quantiles)
 
 

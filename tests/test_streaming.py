@@ -164,6 +164,13 @@ def test_dedup_across_batches(spark, feed, folder):
     assert dedup_ids(spark, feed, folder, "1 hour") == ["t1", "t2", "t3"]
 
 
+def test_dedup_of_an_id_repeated_without_end(spark, feed, folder):
+    copies = [message(1, "2024-01-01T10:00:00")] * 400
+    feed.add(*copies, message(2, "2024-01-01T10:00:00"))
+    feed.add(*copies, message(3, "2024-01-01T10:00:00"))
+    assert dedup_ids(spark, feed, folder, "1 hour") == ["t1", "t2", "t3"]
+
+
 def test_rows_older_than_the_watermark_are_dropped(spark, feed, folder):
     feed.add(message(1, "2024-01-01T10:00:00"))
     feed.add(message(2, "2024-01-01T15:00:00"))
