@@ -40,7 +40,6 @@ HEADLINE = [
     "stream_daily_summary",
     "train_fraud_model",
 ]
-ONCE = {"train_fraud_model"}
 
 
 def run(spark, name: str, sf_dir: str) -> float:
@@ -63,10 +62,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in sys.argv[1:] or HEADLINE:
-        if name not in ONCE:
-            run(spark, name, sf_dir)
-        count = 1 if name in ONCE else repeats
-        times[name] = round(min(run(spark, name, sf_dir) for _ in range(count)), 3)
+        run(spark, name, sf_dir)
+        times[name] = round(min(run(spark, name, sf_dir) for _ in range(repeats)), 3)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

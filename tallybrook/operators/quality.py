@@ -74,10 +74,14 @@ def typed_for_storage(enriched: DataFrame) -> DataFrame:
 
 
 def silver(parsed: DataFrame) -> DataFrame:
-    """Clean table of a batch: accepted rows, one per transaction id, scored, typed.
+    """Clean table of a batch of parsed rows."""
+    return clean_rows(with_reject_reason(parsed))
+
+
+def clean_rows(checked: DataFrame) -> DataFrame:
+    """Accepted rows, one per transaction id, scored and typed for storage.
 
     An unknown fraud flag takes the table's default here, FALSE.
     """
-    good = accepted(with_reject_reason(parsed))
-    once = dedup_earliest(good, ["transaction_id"], ["event_time"])
+    once = dedup_earliest(accepted(checked), ["transaction_id"], ["event_time"])
     return typed_for_storage(enrich(once)).fillna({"is_fraud": False})

@@ -32,11 +32,16 @@ def upsert(
     return t.join(s, same, "full_outer").select(*[value(c).alias(c) for c in target.columns])
 
 
-def read_if_present(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """The Parquet table at `path`, or None when there is none yet; other errors are raised."""
+def read_if_present(
+    spark: SparkSession, path: str, schema: str | None = None, base: str | None = None
+) -> DataFrame | None:
+    """The Parquet table at `path`, or None when there is none yet; other errors are raised.
+
+    `path` may be a pattern over partition folders of the table at `base`.
+    """
     try:
         reader = spark.read.schema(schema) if schema else spark.read
-        return reader.parquet(path)
+        return (reader.option("basePath", base) if base else reader).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

@@ -47,14 +47,16 @@ def refresh_silver(messages: DataFrame, batch_id: int, lake: Lake) -> list[dt.da
     """
     spark = messages.sparkSession
     staging = f"{lake.staging}/{batch_id}"
-    checked = quality.with_reject_reason(parse_transactions(messages, "value"))
-    bad = quality.rejected(checked).select("value", quality.REJECT)
-    write_partitions(
-        bad.withColumn("batch_id", F.lit(batch_id).cast("bigint")), lake.quarantine, "batch_id"
-    )
-    quality.silver(checked.drop("value", quality.REJECT)).write.mode("overwrite").parquet(
-        f"{staging}/fresh"
-    )
+    checked = quality.with_reject_reason(parse_transactions(messages, "value")).persist()
+    try:
+        bad = quality.rejected(checked).select("value", quality.REJECT)
+        write_partitions(
+            bad.withColumn("batch_id", F.lit(batch_id).cast("bigint")), lake.quarantine, "batch_id"
+        )
+        fresh = quality.clean_rows(checked.drop("value"))
+        fresh.write.mode("overwrite").parquet(f"{staging}/fresh")
+    finally:
+        checked.unpersist()
     rows = spark.read.parquet(f"{staging}/fresh")
     dates = sorted(row[0] for row in rows.select("event_date").distinct().collect())
     table = read_if_present(spark, lake.silver)
@@ -75,8 +77,9 @@ def catch_up(spark: SparkSession, lake: Lake) -> None:
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            run_daily(spark, lake, refresh_silver(batch, batch_id, lake))
+        dates = refresh_silver(batch, batch_id, lake)
+        if dates:
+            run_daily(spark, lake, dates)
 
     files = table_stream(
         spark, lake.bronze, "value binary, ingested_at timestamp", maxFilesPerTrigger="4096"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -58,7 +57,3 @@ def table_stream(spark: SparkSession, path: str, schema: str | StructType, **opt
     """A Parquet table read as a stream of its files, new ones included."""
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
-
-def only_date_range(table: DataFrame, column: str, first: str, last: str) -> DataFrame:
-    """Partitions of a date range, both ends included."""
-    return table.where(F.col(column).between(F.lit(first).cast("date"), F.lit(last).cast("date")))

@@ -15,7 +15,13 @@ from tallybrook.operators.quality import accepted, typed_for_storage, with_rejec
 from tallybrook.operators.summaries import MEASURES, successful
 from tallybrook.operators.upsert import upsert_partitions
 from tallybrook.schema import MONEY_SUM
-from tallybrook.streaming.sinks import Targets, append_new_payments, fan_out, write_counters
+from tallybrook.streaming.sinks import (
+    Targets,
+    append_new_payments,
+    each_batch,
+    fan_out,
+    write_counters,
+)
 
 # How often the sinks write.
 TABLE_INTERVAL = "30 seconds"
@@ -81,10 +87,9 @@ def warehouse_sink(
     """Add new payments to the warehouse table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            append_new_payments(typed_for_storage(batch), batch_id, path)
+        append_new_payments(typed_for_storage(batch), batch_id, path)
 
-    return start(enriched.writeStream.foreachBatch(write), checkpoint, interval)
+    return start(each_batch(enriched, write), checkpoint, interval)
 
 
 def counter_sink(
@@ -93,10 +98,9 @@ def counter_sink(
     """Keep the live counters."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            write_counters(batch, batch_id, path)
+        write_counters(batch, batch_id, path)
 
-    return start(enriched.writeStream.foreachBatch(write), checkpoint, interval)
+    return start(each_batch(enriched, write), checkpoint, interval)
 
 
 def fan_out_sink(
@@ -149,22 +153,17 @@ def daily_totals_sink(
     """Upsert changed daily totals into a summary table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # the state must not be stepped once per use
-        try:
-            upsert_partitions(
-                spark,
-                path,
-                f"{staging}/batch_id={batch_id}",
-                batch,
-                ["summary_date", *keys],
-                MEASURES,
-                "summary_date",
-            )
-        finally:
-            batch.unpersist()
-
-    writer = totals.writeStream.outputMode("update").foreachBatch(write)
-    return start(writer, checkpoint, interval)
+        upsert_partitions(
+            spark,
+            path,
+            f"{staging}/batch_id={batch_id}",
+            batch,
+            ["summary_date", *keys],
+            MEASURES,
+            "summary_date",
+        )
+
+    return start(each_batch(totals, write).outputMode("update"), checkpoint, interval)
 
 
 def finish(query: StreamingQuery) -> None:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tallybrook.operators.counters import (
     WINDOW_BATCHES,
@@ -36,19 +37,20 @@ def append_new_payments(batch: DataFrame, batch_id: int, path: str) -> None:
     """Add a batch to the warehouse table, leaving out ids that other batches brought.
 
     The table is partitioned by event date and batch: writing a batch again replaces what it
-    wrote before. Ids are compared only within the dates of the batch, so the cost of a batch
-    does not grow with the table; an id that comes back under another date is settled by the
-    batch job that builds the clean table.
+    wrote before. Ids are compared only within the dates of the batch, and only their folders
+    are listed, so the cost of a batch does not grow with the table; an id that comes back under
+    another date is settled by the batch job that builds the clean table. Call it with a cached
+    batch: its dates are read before its rows.
     """
-    spark = batch.sparkSession
     rows = batch.select(*WAREHOUSE_COLUMNS, F.to_date("event_time").alias("event_date"))
+    dates = rows.select("event_date").distinct().limit(MAX_PRUNED_DATES + 1).collect()
+    folders = path
+    if len(dates) <= MAX_PRUNED_DATES:
+        folders = f"{path}/event_date={{{','.join(row.event_date.isoformat() for row in dates)}}}"
     rows = dedup_earliest(rows, ["transaction_id"], ["event_time"])
-    table = read_if_present(spark, path)
+    table = read_if_present(batch.sparkSession, folders, base=path)
     if table is not None:
         others = table.where(F.col("batch_id") != batch_id)
-        dates = rows.select("event_date").distinct().limit(MAX_PRUNED_DATES + 1).collect()
-        if len(dates) <= MAX_PRUNED_DATES:
-            others = others.where(F.col("event_date").isin([row.event_date for row in dates]))
         known = others.select("event_date", "transaction_id")
         rows = rows.join(known, ["event_date", "transaction_id"], "left_anti")
     write_partitions(
@@ -84,6 +86,25 @@ def append_new_payments_jdbc(
     fresh.write.format("jdbc").options(**writer).mode("append").option("dbtable", table).save()
 
 
+def each_batch(
+    rows: DataFrame, write: Callable[[DataFrame, int], None]
+) -> DataStreamWriter:
+    """A stream writer that hands every batch with rows, cached, to `write`.
+
+    Uncached, each use of a batch would read its source again and step its state again.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                write(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.foreachBatch(step)
+
+
 def write_counters(batch: DataFrame, batch_id: int, path: str) -> None:
     """Store what a batch adds to the live counters as its own partition."""
     tagged = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
