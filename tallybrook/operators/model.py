@@ -189,15 +189,6 @@ def fit_model(labelled: DataFrame, seed: int = SEED) -> FraudModel:
     return FraudModel(PipelineModel([*prepare.stages, fitted]), quantiles)
 
 
-def spread_small(table: DataFrame) -> DataFrame:
-    """Spread a table with fewer file splits than the cluster has cores over all of them.
-
-    Growing a forest passes over its rows many times; a table of many splits is left as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 def train_and_test(labelled: DataFrame) -> tuple[FraudModel, DataFrame]:
     """Fit on the training part of the labelled rows and predict the test part."""
     known = labelled.where(F.col("is_fraud").isNotNull())

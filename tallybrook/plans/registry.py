@@ -23,7 +23,7 @@ from tallybrook.operators import (
 from tallybrook.schema import MONEY_SUM, TRANSACTION_COLUMNS, WAREHOUSE_COLUMNS
 from tallybrook.session import work_dir
 from tallybrook.sources import payments as source
-from tallybrook.sources.tables import table_stream
+from tallybrook.sources.tables import spread_small, table_stream
 from tallybrook.streaming import queries as streams
 from tallybrook.streaming.sinks import Targets, read_counters
 
@@ -351,7 +351,7 @@ def roc_auc(spark, sf_dir):
 @query
 def train_fraud_model(spark, sf_dir):
     """Confusion matrix of the fitted forest on the held-out fifth."""
-    rows = model.spread_small(source.payments(spark, sf_dir))
+    rows = spread_small(source.payments(spark, sf_dir))
     _, tested = model.train_and_test(rows)
     return evaluation.confusion_matrix(tested, "is_fraud", "predicted_fraud")
 
@@ -360,7 +360,7 @@ def train_fraud_model(spark, sf_dir):
 def ml_fraud_score(spark, sf_dir):
     """Fit, save, load, then score every payment."""
     path = work_dir(spark, "model")
-    rows = model.spread_small(source.payments(spark, sf_dir))
+    rows = spread_small(source.payments(spark, sf_dir))
     model.fit_model(rows).save(path)
     scored = model.score_with_model(rows, model.load_model(spark, path))
     return scored.select("transaction_id", "rule_score", "ml_score", "fraud_score", "is_fraud")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,38 +90,39 @@ def redelivered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
 
 
-def _wire_struct(**changed: Column | None) -> Column:
+def _wire_json(**changed: Column) -> Column:
     time = F.date_format(F.col("event_time").cast("timestamp"), WIRE_TIME_FORMAT)
-    fields = {name: F.col(name) for name in TRANSACTION_COLUMNS} | {"event_time": time} | changed
-    return F.struct(*[c.alias(n) for n, c in fields.items() if c is not None])
+    fields = {name: F.col(name) for name in TRANSACTION_COLUMNS} | {"event_time": time}
+    for name, value in changed.items():
+        fields[name] = value.otherwise(fields[name])
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
 def to_wire(rows: DataFrame, *keep: str) -> DataFrame:
-    """Payment rows as JSON messages in a `value` column."""
-    return rows.select(F.to_json(_wire_struct()).cast("binary").alias("value"), *keep)
+    """Payment rows as JSON messages in a `value` column; a NULL field is left out."""
+    return rows.select(_wire_json().cast("binary").alias("value"), *keep)
 
 
 def with_defects(rows: DataFrame, *keep: str) -> DataFrame:
     """Payment rows as JSON messages, every 200th broken in one of ten ways (needs event_id)."""
-    event_id = F.col("event_id")
+    event_id, defect = F.col("event_id"), F.col("defect")
     kind = F.when(event_id % 200 == 3, F.floor(event_id / 200) % 10)
     long_text = F.repeat(F.lit("x"), 60)
-    broken = [
-        F.lit("not json"),
-        F.to_json(_wire_struct(amount_egp=F.lit("abc"))),
-        F.to_json(_wire_struct(event_time=None)),
-        F.to_json(_wire_struct(channel=F.lit("kiosk"))),
-        F.to_json(_wire_struct(event_time=F.lit("2024-13-45T99:00:00"))),
-        F.to_json(_wire_struct(transaction_id=None)),
-        F.to_json(_wire_struct(merchant_id=long_text)),
-        F.to_json(_wire_struct(amount_egp=F.lit(1e11))),
-        F.to_json(_wire_struct(amount_egp=F.lit("NaN"))),
-        F.to_json(_wire_struct(status=long_text)),
-    ]
-    message = F.when(F.col("defect").isNull(), F.to_json(_wire_struct()))
-    for number, text in enumerate(broken):
-        message = message.when(F.col("defect") == number, text)
-    return rows.withColumn("defect", kind).select(message.cast("binary").alias("value"), *keep)
+    absent = F.lit(None)
+    message = _wire_json(
+        amount_egp=F.when(defect == 1, absent).when(defect == 7, 1e11).when(defect == 8, math.nan),
+        event_time=F.when(defect == 2, absent).when(defect == 4, "2024-13-45T99:00:00"),
+        transaction_id=F.when(defect == 5, absent),
+        merchant_id=F.when(defect == 6, long_text),
+        status=F.when(defect == 9, long_text),
+    )
+    opening = (
+        F.when(defect == 1, '{"amount_egp":"abc",')
+        .when(defect == 3, '{"channel":"kiosk",')
+        .otherwise("{")
+    )
+    text = F.when(defect == 0, "not json").otherwise(F.overlay(message, opening, 1, 1))
+    return rows.withColumn("defect", kind).select(text.cast("binary").alias("value"), *keep)
 
 
 def wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,12 @@ def table_stream(spark: SparkSession, path: str, schema: str | StructType, **opt
     """A Parquet table read as a stream of its files, new ones included."""
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
+
+def spread_small(table: DataFrame) -> DataFrame:
+    """Spread a table with fewer file splits than the cluster has cores over all of them.
+
+    For work that costs much per row, such as JSON or a forest. A table of many splits, which is
+    every large one, is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
