@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import bpe, langid, sharding, simhash
+from tallybrook.llm import bpe, langid, mixing, quality, sharding, simhash
 from tallybrook.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,11 @@ TOKENIZER = "word_bpe_49k.json"
 ORACLES: dict[str, str] = {}
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics, base rules and robust outlier verdicts of all documents."""
+    return quality.quality(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the shortest code under byte context trees."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -45,11 +50,21 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in a mix of all sources by weight, a row per document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    taken = (F.col("size") * F.size("drawn")).cast("bigint")
+    rows = mixed.withColumn("taken", taken).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))
+    )
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to eight shards of a weighted hash tree."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op2_language_id, op3_simhash, op7_bpe, op10_sharding)
+    query.__name__: query for query in (op1_quality, op2_language_id, op3_simhash, op7_bpe, op8_mixing, op10_sharding)
 }
