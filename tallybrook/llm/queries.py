@@ -8,13 +8,55 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import bpe, langid, mixing, quality, sharding, simhash
+from tallybrook.llm import bpe, langid, mixing, quality, sharding, simhash, urls, winnowing
 from tallybrook.llm.common import table
 
+#: Which urls are allowed or blocked, by host and start of the path.
+URL_RULES = (
+    urls.Rule(urls.ALLOW, "org", "/"),
+    urls.Rule(urls.BLOCK, "example.org", "/es/"),
+    urls.Rule(urls.BLOCK, "example.org", "/en/1"),
+    urls.Rule(urls.ALLOW, "com", "/fr/"),
+    urls.Rule(urls.BLOCK, "com", "/de/"),
+)
+#: Pages on hosts with one of these names make up the list of blocked urls.
+LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
 TOKENIZER = "word_bpe_49k.json"
 
 #: Text queries that SQL can express on whole tables, by query name.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_urls": r"""
+WITH parts AS (
+  SELECT page_id, url,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+),
+judged AS (
+  SELECT page_id, host, path,
+         regexp_matches(host, '(^|\.)example\.org$') AS example,
+         regexp_matches(host, '(^|\.)org$') AS org,
+         regexp_matches(host, '(^|\.)com$') AS com,
+         regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)(\.|$)')
+           AS listed
+  FROM parts
+),
+ruled AS (
+  SELECT *, CASE WHEN example AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN example AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN org AND starts_with(path, '/') THEN 'org/'
+                 WHEN com AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN com AND starts_with(path, '/de/') THEN 'com/de/' END AS rule
+  FROM judged
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+""",
+}
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +76,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages by rules and a list of blocked urls."""
+    pages = table(spark, sf_dir, "pages")
+    name = F.split(urls.host_of(F.col("url")), r"\.")
+    listed = pages.where(F.arrays_overlap(name, F.array(*map(F.lit, LISTED_NAMES)))).select("url")
+    return urls.judge_urls(pages, URL_RULES, listed)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and the texts they decode to, as digests."""
     path = public_tokenizers.path(TOKENIZER)
@@ -60,11 +110,29 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of all documents, and how they resemble an edit and the next."""
+    compared = winnowing.compare_with_edits(table(spark, sf_dir, "documents"))
+
+    def digest(name: str):
+        return F.lower(F.lpad(F.hex(F.xxhash64(f"{name}.hashes", f"{name}.positions")), 16, "0"))
+
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        digest("fingerprint").alias("fingerprint"),
+        digest("edited").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to eight shards of a weighted hash tree."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_quality, op2_language_id, op3_simhash, op7_bpe, op8_mixing, op10_sharding)
+    query.__name__: query for query in (op1_quality, op2_language_id, op3_simhash, op6_urls, op7_bpe, op8_mixing, op9_winnowing, op10_sharding)
 }
