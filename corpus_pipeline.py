@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import bpe, langid, queries, simhash
+from tallybrook.llm import bpe, langid, mixing, quality, queries, simhash
 from tallybrook.llm.common import stored, table
 
 #: A language counts as recognized from this share of the posterior on.
@@ -20,11 +20,21 @@ def recognized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(sure).select(*docs.columns)
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return quality.keep_good(docs)
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return simhash.one_of_each(docs)
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: not at all, once or twice."""
+    return mixing.mixed_rows(docs)
+
+
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts, a row for each copy in the mix."""
     path = public_tokenizers.path(queries.TOKENIZER)
@@ -33,7 +43,9 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", recognized),
+    ("quality", good),
     ("near-duplicates", distinct),
+    ("mix", mixed),
     ("tokens", tokenized),
 ]
 

@@ -22,6 +22,9 @@ ORDER = 4
 SAMPLE_BYTES = 400_000
 SAMPLE_TEXT_BYTES = 40_000
 
+#: Labels with totals that are sent to all executors; with more, rows are shuffled instead.
+MAX_SENT_LANGS = 10_000
+
 #: Bytes scored at a time.
 BLOCK_BYTES = 1 << 20
 
@@ -260,9 +263,11 @@ def train(docs: DataFrame) -> Model | None:
     size = F.octet_length("text")
     rows = rows.where((size > 0) & (size <= SAMPLE_TEXT_BYTES))
     draw = F.shiftrightunsigned(F.xxhash64("_id"), 12) / F.lit(float(1 << 52))
-    totals = rows.groupBy("lang").agg(F.sum(size).alias("_total"))
+    totals = rows.groupBy("lang").agg(F.sum(size).alias("_total")).persist()
+    # a row per language; only a table of junk labels is too long to send to all
+    small = totals.count() <= MAX_SENT_LANGS
     sample = (
-        rows.join(totals, "lang")
+        rows.join(F.broadcast(totals) if small else totals, "lang")
         .where(draw * F.col("_total") < F.lit(float(SAMPLE_BYTES)))
         .select("lang", _folded(F.col("text")).alias("text"))
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import bpe, langid, mixing, quality, sharding, simhash, urls, winnowing, wrappers
+from tallybrook.llm import bpe, kneserney, langid, mixing, quality, sharding, simhash, urls, winnowing, wrappers
 from tallybrook.llm.common import table
 
 #: Which urls are allowed or blocked, by host and start of the path.
@@ -76,6 +76,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a bigram model of most of them."""
+    return kneserney.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages by wrappers induced per host."""
     found = wrappers.main_text(table(spark, sf_dir, "pages"))
@@ -140,5 +145,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_quality, op2_language_id, op3_simhash, op5_html, op6_urls, op7_bpe, op8_mixing, op9_winnowing, op10_sharding)
+    query.__name__: query for query in (op1_quality, op2_language_id, op3_simhash, op4_lm, op5_html, op6_urls, op7_bpe, op8_mixing, op9_winnowing, op10_sharding)
 }
