@@ -108,7 +108,8 @@ def selected(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """rows plus `taken`, the copies of each unit in the mix.
 
     Every unit gets the whole copies that the target holds of its source. For the rest, units
-    in hash order are taken while their words fit; then shorter ones that still fit.
+    in hash order are taken while their words fit; then shorter ones that still fit; and in the
+    end the shortest one left, if that brings the words closer to the target.
     """
     whole = F.when(
         F.col("source_size") > 0,
@@ -123,8 +124,8 @@ def selected(rows: DataFrame, goals: DataFrame) -> DataFrame:
     bits = bucket_bits(rows.count())
     state = state.withColumn("extra", F.lit(0))
     for _ in range(1 + FILLS):
-        open_ = state.where((F.col("extra") == 0) & (F.col("words") <= F.col("rest")))
-        shut = state.where((F.col("extra") == 1) | (F.col("words") > F.col("rest")))
+        may = (F.col("extra") == 0) & (F.col("words") > 0) & (F.col("words") <= F.col("rest"))
+        open_, shut = state.where(may), state.where(~may)
         counted = running_sum(open_, ["source"], "perm", ["doc_id", "size"], "words", bits)
         fits = F.col("before") + F.col("words") <= F.col("rest")
         chosen = counted.withColumn("extra", F.when(fits, 1).otherwise(0)).drop("before")
@@ -140,9 +141,18 @@ def selected(rows: DataFrame, goals: DataFrame) -> DataFrame:
             "source", (F.col("target") - whole * F.col("source_size") - F.col("used")).alias("rest")
         )
         state = _with_source(state.drop("rest"), left)
-    return state.withColumn("taken", F.col("whole") + F.col("extra")).select(
-        *rows.columns, "taken"
+    key = F.struct("words", "perm", F.col("doc_id").isNull().alias("null"), "doc_id")
+    close = state.where(
+        (F.col("extra") == 0) & (F.col("words") > 0) & (F.col("words") < F.col("rest") * 2)
     )
+    shortest = close.groupBy("source").agg(F.min(key).alias("_shortest"))
+    state = state.join(
+        shortest.withColumnRenamed("source", "_source"),
+        _same_source(F.col("source"), F.col("_source")),
+        "left",
+    )
+    last = F.when(key.eqNullSafe(F.col("_shortest")), 1).otherwise(F.col("extra"))
+    return state.withColumn("taken", F.col("whole") + last).select(*rows.columns, "taken")
 
 
 def _uniform(*parts: Column) -> Column:

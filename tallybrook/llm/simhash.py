@@ -123,31 +123,34 @@ def _links_within(members: np.ndarray) -> np.ndarray:
     return np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), dtype=np.uint64)
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside the buckets of one partition; a = b marks a member of a larger bucket."""
+def _bucket_links(most: int):
+    """Finds links inside the buckets of one partition; a = b marks a member of a bucket of more
+    than `most`."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    parts = [(b.column("key"), b.column("block"), b.column("fp")) for b in batches]
-    if not parts:
-        return
-    key, block, fp = (pa.concat_arrays(list(c)).to_numpy() for c in zip(*parts))
-    del parts
-    order = np.lexsort((fp, key, block))
-    key, block, fp = key[order], block[order], fp[order].view(np.uint64)
-    first = np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]))
-    starts = np.flatnonzero(first)
-    sizes = np.diff(np.append(starts, len(key)))
-    pair = starts[sizes == 2]
-    a, b = fp[pair], fp[pair + 1]
-    near = np.bitwise_count(a ^ b) <= RADIUS
-    found = [np.stack([a[near], b[near]])]
-    for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        members = fp[start : start + size]
-        if size <= BUCKET_PAIRS:
-            found.append(_links_within(members))
-        else:
-            found.append(np.stack([members, members]))
-    links = np.unique(np.concatenate(found, axis=1), axis=1)
-    yield pa.RecordBatch.from_arrays([_signed(links[0]), _signed(links[1])], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("key"), b.column("block"), b.column("fp")) for b in batches]
+        if not parts:
+            return
+        key, block, fp = (pa.concat_arrays(list(c)).to_numpy() for c in zip(*parts))
+        del parts
+        order = np.lexsort((fp, key, block))
+        key, block, fp = key[order], block[order], fp[order].view(np.uint64)
+        starts = np.flatnonzero(
+            np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]))
+        )
+        sizes = np.diff(np.append(starts, len(key)))
+        pair = starts[sizes == 2]
+        a, b = fp[pair], fp[pair + 1]
+        near = np.bitwise_count(a ^ b) <= RADIUS
+        found = [np.stack([a[near], b[near]])]
+        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            members = fp[start : start + size]
+            found.append(_links_within(members) if size <= most else np.stack([members, members]))
+        links = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([_signed(links[0]), _signed(links[1])], schema=arrow)
+
+    return run
 
 
 def _full_balls(prints: DataFrame) -> DataFrame:
@@ -181,10 +184,11 @@ def _full_balls(prints: DataFrame) -> DataFrame:
     return balls.join(hubs, "key").select("a", F.col("fp").alias("b")).where("a != b").distinct()
 
 
-def links(distinct: DataFrame, count: int) -> DataFrame:
+def links(distinct: DataFrame, count: int, most: int = BUCKET_PAIRS) -> DataFrame:
     """Links a, b that connect all of `count` distinct fingerprints within RADIUS bits.
 
-    Not every link is returned, but two fingerprints are connected through the returned ones
+    Buckets of up to `most` fingerprints are compared; members of larger ones are linked over
+    all their variants. Not every link is returned, but two fingerprints are connected through the returned ones
     exactly if they are connected through all.
     """
     spark = distinct.sparkSession
@@ -192,7 +196,7 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(least, -(-count * per_print // PARTITION_ROWS))
     variants = ball_variants(distinct).repartition(partitions, "key", "block")
-    found = stored(map_arrow(variants, _bucket_links, EDGES), "simhash-links")
+    found = stored(map_arrow(variants, _bucket_links(most), EDGES), "simhash-links")
     close = found.where("a != b").distinct()
     crowded = found.where("a = b").select(F.col("a").alias("fp")).distinct()
     if crowded.isEmpty():
@@ -200,10 +204,10 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
     return close.union(_full_balls(stored(crowded, "simhash-crowded")))
 
 
-def _components(printed: DataFrame) -> DataFrame:
+def _components(printed: DataFrame, most: int = BUCKET_PAIRS) -> DataFrame:
     """fp, root and component_id of the distinct fingerprints among rows (doc_id, fp)."""
     nodes = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-nodes")
-    return smallest_reachable(links(nodes, nodes.count()), nodes, "fp", "doc_id")
+    return smallest_reachable(links(nodes, nodes.count(), most), nodes, "fp", "doc_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
