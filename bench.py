@@ -38,7 +38,11 @@ HEADLINE = [
     "stream_fanout",
     "stream_dedup",
     "stream_daily_summary",
+    "stream_merchant_summary",
+    "silver_incremental",
+    "label_encoding",
     "train_fraud_model",
+    "ml_fraud_score",
 ]
 
 

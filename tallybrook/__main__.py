@@ -1,8 +1,10 @@
 """Command line: python -m tallybrook <job> ..., or spark-submit with the package on the path.
 
-  stream   messages to warehouse, counters, quarantine and bronze, until stopped
+  stream   messages to warehouse, counters, quarantine, bronze and daily totals, until stopped;
+           scored by the model of the train job where there is one, else by the rules
   daily    new bronze files to the clean table and the summaries of the days they touch
-  train    fit, save and evaluate the fraud model on the clean table
+  train    fit, save and evaluate the fraud model on the clean table's source labels
+  fold     sum up the live counters of past batches
   frames   print the dashboard frames
 """
 
@@ -10,26 +12,16 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+from functools import partial
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from tallybrook.operators.model import load_model, score_with_model
 from tallybrook.plans import dashboard, jobs
 from tallybrook.session import build_session
-from tallybrook.sources.tables import message_stream
+from tallybrook.sources.tables import job_messages
 from tallybrook.streaming import queries as streams
-from tallybrook.streaming.sinks import Targets
-
-
-def lake_of(root: str) -> jobs.Lake:
-    """Default layout of a lake below one folder."""
-    return jobs.Lake(
-        bronze=f"{root}/bronze/transactions",
-        silver=f"{root}/silver/transactions",
-        quarantine=f"{root}/quarantine/silver",
-        gold=f"{root}/gold",
-        staging=f"{root}/staging/silver",
-        checkpoint=f"{root}/checkpoints/silver",
-    )
+from tallybrook.streaming.sinks import Targets, fold_counters
 
 
 def targets_of(root: str) -> Targets:
@@ -53,6 +45,7 @@ def parse_arguments(argv: list[str] | None = None) -> argparse.Namespace:
     daily = jobs_.add_parser("daily")
     daily.add_argument("--run-date", type=dt.date.fromisoformat, help="redo just this date")
     jobs_.add_parser("train")
+    jobs_.add_parser("fold")
     jobs_.add_parser("frames")
     for job in jobs_.choices.values():
         job.add_argument("--root", required=True, help="folder of all tables")
@@ -63,28 +56,41 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     """Run one job."""
     given = parse_arguments(argv)
     spark = spark or build_session(f"tallybrook {given.job}")
-    root, lake = given.root, lake_of(given.root)
+    root, lake = given.root, jobs.lake_at(given.root)
     if given.job == "stream":
         options = dict(option.split("=", 1) for option in given.option)
-        messages = message_stream(spark, given.format, options)
+        own = streams.stream_session(spark)
+        messages = job_messages(own, given.format, options)
+        interval = given.interval or None
+        score = partial(score_with_model, model=load_model(spark, f"{root}/model"))
         checkpoint = f"{root}/checkpoints/stream"
-        query = streams.fan_out_sink(messages, targets_of(root), checkpoint, given.interval or None)
-        if given.interval:
-            spark.streams.awaitAnyTermination()
-        else:
+        query = streams.fan_out_sink(messages, targets_of(root), checkpoint, interval, score)
+        if not interval:
             streams.finish(query)
+        jobs.stream_totals(own, messages, root, interval)
+        if interval:
+            own.streams.awaitAnyTermination()
     elif given.job == "daily" and given.run_date:
-        jobs.run_daily(spark, lake, [given.run_date]).show()
+        show(jobs.run_daily(spark, lake, [given.run_date]))
     elif given.job == "daily":
         jobs.catch_up(spark, lake)
+    elif given.job == "fold":
+        fold_counters(spark, targets_of(root).counters, f"{root}/counters/baseline")
     elif given.job == "train":
-        frames = jobs.train(spark, spark.read.parquet(lake.silver), f"{root}/model")
-        for frame in frames.values():
-            frame.show(truncate=False)
+        labelled = jobs.source_labels(spark.read.parquet(lake.silver))
+        for frame in jobs.train(spark, labelled, f"{root}/model").values():
+            show(frame)
     else:
         frames = dashboard.live_frames(spark, targets_of(root).counters, f"{root}/counters/baseline")
         for frame in [*frames.values(), *dashboard.history_frames(spark, lake.gold).values()]:
-            frame.show(200, truncate=False)
+            show(frame)
+
+
+def show(frame: DataFrame) -> None:
+    """Print all rows of a report."""
+    kept = frame.persist()
+    kept.show(max(1, kept.count()), truncate=False)
+    kept.unpersist()
 
 
 if __name__ == "__main__":

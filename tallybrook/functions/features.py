@@ -26,5 +26,7 @@ def amount_ratio(amount: str = "amount_egp") -> Column:
 
 
 def money(amount: str = "amount_egp") -> Column:
-    """Amount as exact decimal money, NULL as 0."""
-    return F.coalesce(F.col(amount), F.lit(0.0)).cast("decimal(12,2)")
+    """Amount as exact decimal money, NULL and what is no number as 0."""
+    value = F.col(amount).cast("double")
+    sound = F.when(~F.isnan(value), F.col(amount))
+    return F.coalesce(sound.cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))

@@ -83,8 +83,9 @@ def batch_sizes(rows: DataFrame, batch_id: str = "batch_id") -> DataFrame:
 
 
 def batch_sizes_from(deltas: DataFrame) -> DataFrame:
-    """Rows per micro-batch, read back from the counters."""
-    return deltas.where(F.col("metric") == "total_transactions").select(
+    """Rows per micro-batch, read back from the counters; sums of folded batches are no batch."""
+    counted = (F.col("metric") == "total_transactions") & F.col("batch_id").isNotNull()
+    return deltas.where(counted).select(
         "batch_id", F.col("value").cast("bigint").alias("n_rows")
     )
 

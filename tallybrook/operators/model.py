@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tallybrook.functions.features import amount_ratio, hour_of_day, odd_hour
 from tallybrook.functions.scoring import fraud_flag, rule_score
 from tallybrook.operators.ranking import amount_percentile
+from tallybrook.operators.running import log_bucket, running_totals
 from tallybrook.operators.splitting import SEED, class_weights, stratified_split
+from tallybrook.session import work_dir
 
 # The encoded columns, the model inputs in order, the forest's size.
 ENCODED = {"service_type": "service_enc", "governorate": "gov_enc", "payment_method": "payment_enc"}
@@ -32,45 +34,52 @@ TREES = 100
 DEPTH = 10
 SCORE_DIGITS = 4
 
-MAX_LABELS = 1000
-QUANTILES = [q / 100 for q in range(101)]
+QUANTILES = 100
 
+#: Partitions that the training rows are dealt to by id. The trees depend on them and on nothing
+#: else of the cluster, so the number is saved with the model.
+PARTITIONS = 32
 
-def category_labels(rows: DataFrame) -> dict[str, list[str]]:
-    """Distinct values of the encoded columns in alphabetical order.
 
-    The catalogue comes to the driver because an encoder is made from it; a column with more
-    than 1,000 values is no category and is refused before it is fetched whole.
-    """
+def category_codes(rows: DataFrame) -> DataFrame:
+    """name, label, code: the distinct values of the encoded columns, numbered from 0 in
+    alphabetical order. There may be any number of them: the table stays on the cluster."""
     columns = list(ENCODED)
-    combos = rows.groupBy(*columns).agg(F.count(F.lit(1)))
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("label")) for c in columns])
-    found = (
-        combos.select(F.inline(pairs))
-        .where(F.col("label").isNotNull())
-        .distinct()
-        .limit(MAX_LABELS * len(columns) + 1)
-        .collect()
-    )
-    labels = {c: sorted(row.label for row in found if row.name == c) for c in columns}
-    if any(len(values) > MAX_LABELS for values in labels.values()) or len(found) > MAX_LABELS * 3:
-        raise ValueError(f"a category column has more than {MAX_LABELS} values")
-    return labels
-
-
-def label_indexer(labels: dict[str, list[str]]) -> StringIndexerModel:
-    """Encoder that numbers labels alphabetically; an unseen or missing label gets the next number."""
-    return StringIndexerModel.from_arrays_of_labels(
-        [labels[c] or [""] for c in ENCODED],
-        list(ENCODED),
-        outputCols=list(ENCODED.values()),
-        handleInvalid="keep",
+    found = rows.groupBy(*columns).agg(F.count(F.lit(1))).select(F.inline(pairs))
+    found = found.where(F.col("label").isNotNull()).distinct()
+    numbered = running_totals(
+        found.withColumn("one", F.lit(1)),
+        {"code": "one"},
+        order="label",
+        bucket=F.substring("label", 1, 2),
+        group=["name"],
     )
+    return numbered.select("name", "label", F.col("code").cast("double").alias("code"))
+
+
+def encode_with(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Add the encoded columns; an unseen or missing label gets the next number.
+
+    Works on a stream too. Spark sends the table of codes to all executors where it is small
+    enough and shuffles otherwise.
+    """
+    names = rows.columns
+    for column, encoded in ENCODED.items():
+        own = codes.where(F.col("name") == column)
+        unseen = own.agg(F.count(F.lit(1)).cast("double")).scalar()
+        labels = own.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+        rows = (
+            rows.join(labels, F.col(column) == F.col("_label"), "left")
+            .withColumn(encoded, F.coalesce("_code", unseen))
+            .drop("_label", "_code")
+        )
+    return rows.select(*[c for c in names if c not in ENCODED.values()], *ENCODED.values())
 
 
 def encode_labels(rows: DataFrame) -> DataFrame:
     """Add the three encoded columns, fitted on the rows themselves."""
-    return label_indexer(category_labels(rows)).transform(rows)
+    return encode_with(rows, category_codes(rows))
 
 
 def with_time_features(rows: DataFrame) -> DataFrame:
@@ -85,23 +94,53 @@ def fraud_features(rows: DataFrame) -> DataFrame:
 
 
 def amount_quantiles(rows: DataFrame) -> DataFrame:
-    """101 amount quantiles per service: what serving needs to place a new amount."""
-    amount = F.when(~F.isnan("amount_egp"), F.col("amount_egp"))
-    return (
-        rows.where(F.col("service_type").isNotNull())
-        .groupBy("service_type")
-        .agg(F.percentile_approx(amount, QUANTILES, 10000).alias("quantiles"))
+    """101 exact amount quantiles per service: what serving needs to place a new amount.
+
+    The amount at share q is the smallest with at least that share of the payments not above
+    it. Running totals over the distinct amounts find them, so the result does not
+    depend on how rows are partitioned.
+    """
+    sums = (
+        rows.where(
+            F.col("service_type").isNotNull()
+            & F.col("amount_egp").isNotNull()
+            & ~F.isnan("amount_egp")
+        )
+        .groupBy("service_type", "amount_egp")
+        .agg(F.count(F.lit(1)).alias("ties"))
+    )
+    ranks = running_totals(
+        sums,
+        {"below": "ties"},
+        order="amount_egp",
+        bucket=log_bucket("amount_egp"),
+        group=["service_type"],
+        overall={"size": "ties"},
+    )
+    # the quantiles that an amount answers: q with below < max(1, ceil(q * size)) <= upto
+    wanted = F.transform(
+        F.sequence(F.lit(0), F.lit(QUANTILES)),
+        lambda q: F.struct(
+            q.alias("q"), F.greatest(F.ceil(q * F.col("size") / QUANTILES), F.lit(1)).alias("rank")
+        ),
+    )
+    upto = F.col("below") + F.col("ties")
+    held = F.filter(wanted, lambda w: (w["rank"] > F.col("below")) & (w["rank"] <= upto))
+    found = ranks.select("service_type", "amount_egp", F.explode(held).alias("w"))
+    listed = F.sort_array(F.collect_list(F.struct("w.q", "amount_egp")))
+    return found.groupBy("service_type").agg(
+        F.transform(listed, lambda x: x["amount_egp"]).alias("quantiles")
     )
 
 
 def place_amount(rows: DataFrame, quantiles: DataFrame) -> DataFrame:
-    """Add `amount_pct` from a fitted quantile table of at most 1,000 services (hence broadcast).
+    """Add `amount_pct` from a fitted quantile table.
 
     Share of the service's quantiles not above the amount; 0 for an unknown service.
     """
     held = F.filter("quantiles", lambda q: q <= F.col("amount_egp"))
-    share = F.coalesce(F.size(held), F.lit(0)) / F.lit(float(len(QUANTILES)))
-    placed = rows.join(F.broadcast(quantiles), "service_type", "left")
+    share = F.coalesce(F.size(held), F.lit(0)) / F.lit(float(QUANTILES + 1))
+    placed = rows.join(quantiles, "service_type", "left")
     return placed.select(
         *[rows[c] for c in rows.columns],
         F.when(F.col("quantiles").isNull(), F.lit(0.0)).otherwise(share).alias("amount_pct"),
@@ -110,16 +149,18 @@ def place_amount(rows: DataFrame, quantiles: DataFrame) -> DataFrame:
 
 @dataclass
 class FraudModel:
-    """A fitted pipeline (encoders, assembler, forest) and its amount quantiles."""
+    """A fitted pipeline (assembler, forest), its category codes and its amount quantiles."""
 
     pipeline: PipelineModel
+    codes: DataFrame
     quantiles: DataFrame
+    partitions: int = PARTITIONS
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add `fraud_probability` and `predicted_fraud`; works on a batch and a stream."""
         filled = rows.withColumn("amount_egp", F.coalesce("amount_egp", F.lit(0.0)))
-        ready = place_amount(with_time_features(filled), self.quantiles)
-        scored = self.pipeline.transform(ready)
+        coded = encode_with(with_time_features(filled), self.codes)
+        scored = self.pipeline.transform(place_amount(coded, self.quantiles))
         return scored.select(
             *rows.columns,
             vector_to_array("probability")[1].alias("fraud_probability"),
@@ -127,8 +168,12 @@ class FraudModel:
         )
 
     def save(self, path: str) -> None:
-        """Write both parts below one folder."""
+        """Write all parts below one folder."""
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        spark = self.codes.sparkSession
+        settings = spark.range(1).select(F.lit(self.partitions).alias("partitions"))
+        settings.write.mode("overwrite").parquet(f"{path}/settings")
         self.quantiles.write.mode("overwrite").parquet(f"{path}/quantiles")
 
 
@@ -140,7 +185,9 @@ def load_model(spark: SparkSession, path: str) -> FraudModel | None:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    return FraudModel(PipelineModel.load(f"{path}/pipeline"), quantiles)
+    codes = spark.read.parquet(f"{path}/codes")
+    partitions = spark.read.parquet(f"{path}/settings").first()["partitions"]
+    return FraudModel(PipelineModel.load(f"{path}/pipeline"), codes, quantiles, partitions)
 
 
 def model_files(spark: SparkSession, path: str) -> DataFrame:
@@ -149,50 +196,72 @@ def model_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.round(F.col("length") / 1024, 1).alias("size_kb"))
 
 
-def fit_model(labelled: DataFrame, seed: int = SEED) -> FraudModel:
-    """Fit on rows with a known `is_fraud`; classes weigh the same in total."""
-    known = labelled.where(F.col("is_fraud").isNotNull())
-    labels = category_labels(known)
-    quantiles = amount_quantiles(known)
-    weights = class_weights(known, "is_fraud").select("is_fraud", "weight")  # two rows
-    frame = (
-        place_amount(with_time_features(known), quantiles)
-        .join(F.broadcast(weights), "is_fraud")
-        .withColumn("label", F.col("is_fraud").cast("double"))
-    )
-    # codes are ordered numbers for the forest, so the encoder's category metadata is dropped
-    plain = ", ".join(f"{c} + 0D AS {c}" for c in ENCODED.values())
-    rest = f"* EXCEPT ({', '.join(ENCODED.values())})"
-    prepare = PipelineModel(
-        [
-            label_indexer(labels),
-            SQLTransformer(statement=f"SELECT {rest}, {plain} FROM __THIS__"),
-            VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep"),
-        ]
-    )
-    forest = RandomForestClassifier(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        numTrees=TREES,
-        maxDepth=DEPTH,
-        seed=seed,
-        maxMemoryInMB=1024,
-        cacheNodeIds=True,  # halves the time at this depth: trees are not sent out at every level
+def fit_model(
+    labelled: DataFrame, seed: int = SEED, partitions: int = PARTITIONS
+) -> FraudModel:
+    """Fit on rows with a known `is_fraud`; classes weigh the same in total.
+
+    Rows are dealt to `partitions` by a hash of their id and sorted there: the forest draws its
+    samples by partition and position, so the model does not depend on the cluster or the
+    files. Codes and quantiles are written out once, then used here and in serving.
+    """
+    spark = labelled.sparkSession
+    known = labelled.where(F.col("is_fraud").isNotNull()).select(
+        "transaction_id", "event_time", "amount_egp", *ENCODED, "is_fraud"
     )
-    # the forest reads its input several times before it keeps a copy of its own
-    ready = prepare.transform(frame).select("features", "label", "weight").persist()
+    dealt = known.repartition(partitions, "transaction_id").sortWithinPartitions(*known.columns)
+    dealt = dealt.persist()
     try:
-        fitted = forest.fit(ready)
+        parts = work_dir(spark, "fitted")
+        category_codes(dealt).write.parquet(f"{parts}/codes")
+        amount_quantiles(dealt).write.parquet(f"{parts}/quantiles")
+        codes = spark.read.parquet(f"{parts}/codes")
+        quantiles = spark.read.parquet(f"{parts}/quantiles")
+        weights = class_weights(dealt, "is_fraud").collect()  # two rows
+        weight = F.lit(None).cast("double")
+        for row in weights:
+            weight = F.when(F.col("is_fraud") == row.is_fraud, row.weight).otherwise(weight)
+        frame = place_amount(encode_with(with_time_features(dealt), codes), quantiles)
+        frame = frame.withColumns({"weight": weight, "label": F.col("is_fraud").cast("double")})
+        prepare = VectorAssembler(
+            inputCols=FEATURES, outputCol="features", handleInvalid="keep"
+        )
+        forest = RandomForestClassifier(
+            featuresCol="features",
+            labelCol="label",
+            weightCol="weight",
+            numTrees=TREES,
+            maxDepth=DEPTH,
+            seed=seed,
+            maxMemoryInMB=1024,
+            cacheNodeIds=True,  # halves the time at this depth: trees are not sent out each level
+        )
+        ready = prepare.transform(frame).select("transaction_id", "features", "label", "weight")
+        # a join above may have moved rows: deal them out again in the same way
+        ready = (
+            ready.repartition(partitions, "transaction_id")
+            .sortWithinPartitions("transaction_id", vector_to_array("features"), "label")
+            .persist()
+        )
+        try:
+            fitted = forest.fit(ready)
+        finally:
+            ready.unpersist()
     finally:
-        ready.unpersist()
-    return FraudModel(PipelineModel([*prepare.stages, fitted]), quantiles)
+        dealt.unpersist()
+    return FraudModel(PipelineModel([prepare, fitted]), codes, quantiles, partitions)
 
 
 def train_and_test(labelled: DataFrame) -> tuple[FraudModel, DataFrame]:
-    """Fit on the training part of the labelled rows and predict the test part."""
+    """Fit on the training part of the labelled rows and predict the test part.
+
+    The split is written out once, so that no later pass hashes and cuts again.
+    """
+    spark = labelled.sparkSession
     known = labelled.where(F.col("is_fraud").isNotNull())
-    parts = stratified_split(known, "is_fraud", "transaction_id")
+    split = work_dir(spark, "split")
+    stratified_split(known, "is_fraud", "transaction_id").write.parquet(split)
+    parts = spark.read.parquet(split)
     model = fit_model(parts.where(F.col("split") == "train").drop("split"))
     return model, model.predict(parts.where(F.col("split") == "test").drop("split"))
 

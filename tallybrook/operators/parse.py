@@ -40,5 +40,9 @@ def score(rows: DataFrame) -> DataFrame:
 
 
 def enrich(rows: DataFrame) -> DataFrame:
-    """Fill the amount, score, flag and stamp the ingestion time (one value per micro-batch)."""
-    return score(fill_amount(rows)).withColumn("ingested_at", F.current_timestamp())
+    """Fill the amount, score, flag and stamp the ingestion time (one value per micro-batch),
+    unless the rows bring the time at which they came in."""
+    scored = score(fill_amount(rows))
+    if "ingested_at" in rows.columns:
+        return scored
+    return scored.withColumn("ingested_at", F.current_timestamp())

@@ -61,7 +61,7 @@ def dedup_earliest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     )
 
 
-def typed_for_storage(enriched: DataFrame) -> DataFrame:
+def typed_for_storage(enriched: DataFrame, *keep: str) -> DataFrame:
     """Warehouse columns with their stored types, plus the partition date."""
     stored = {
         "amount_egp": F.col("amount_egp").cast(MONEY),
@@ -69,6 +69,7 @@ def typed_for_storage(enriched: DataFrame) -> DataFrame:
     }
     return enriched.select(
         *[stored[c].alias(c) if c in stored else F.col(c) for c in WAREHOUSE_COLUMNS],
+        *keep,
         F.to_date("event_time").alias("event_date"),
     )
 
@@ -81,7 +82,12 @@ def silver(parsed: DataFrame) -> DataFrame:
 def clean_rows(checked: DataFrame) -> DataFrame:
     """Accepted rows, one per transaction id, scored and typed for storage.
 
-    An unknown fraud flag takes the table's default here, FALSE.
+    An unknown fraud flag takes the table's default here, FALSE. `source_flag` keeps the flag as
+    it came, unknown included: it is the label that a model learns from. Of copies the earliest
+    stays, by event time, then by the time of ingestion if the rows bring it.
     """
-    once = dedup_earliest(accepted(checked), ["transaction_id"], ["event_time"])
-    return typed_for_storage(enrich(once)).fillna({"is_fraud": False})
+    good = accepted(checked)
+    order = [c for c in ("event_time", "ingested_at") if c in good.columns]
+    once = dedup_earliest(good, ["transaction_id"], order)
+    flagged = once.withColumn("source_flag", F.col("is_fraud"))
+    return typed_for_storage(enrich(flagged), "source_flag").fillna({"is_fraud": False})

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 TRAIN_SHARE = 0.8
 SEED = 42
 
-HASH_PREFIX = 5
+#: Rows of a label that share a hash prefix, about: those of one prefix are ranked.
+PREFIX_ROWS = 4096
 
 
 def split_key(row_id: str, seed: int = SEED) -> Column:
@@ -24,10 +25,13 @@ def split_cuts(
     """Per label, the last (hash, id) that belongs to the training part.
 
     Counts per hash prefix find the prefix in which each label's cut falls; only the rows of
-    that prefix, about a millionth of the data, are then ranked.
+    that prefix, about PREFIX_ROWS whatever the number of all, are then ranked.
     """
     hashed = rows.select(label, row_id, split_key(row_id, seed).alias("hash"))
-    prefix = F.substring("hash", 1, HASH_PREFIX)
+    total, length = rows.count(), 1
+    while 16**length * PREFIX_ROWS < total:
+        length += 1
+    prefix = F.substring("hash", 1, length)
     by_prefix = W.partitionBy(label).orderBy("prefix")
     wanted = F.floor(F.sum("n").over(W.partitionBy(label)).cast("double") * F.lit(share))
     cut = (

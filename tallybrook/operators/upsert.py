@@ -1,33 +1,35 @@
-"""Upsert by key, as a join and onto a partitioned table."""
+"""Upsert by key, as a join and onto a partitioned table that survives a stop at any point."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybrook.session import delete, exists, mark
+
 
 def upsert(
     target: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str]
 ) -> DataFrame:
     """Target rows with `update` taken from the source where the key matches, plus new keys.
 
-    Keys absent from the source stay, as do the other columns of a matched row.
+    Keys absent from the source stay, as do the other columns of a matched row. NULL is a key
+    value like any other.
     """
-    t, s = target.alias("t"), source.withColumn("_new", F.lit(True)).alias("s")
+    t = target.withColumn("_old", F.lit(True)).alias("t")
+    s = source.withColumn("_new", F.lit(True)).alias("s")
     same = F.lit(True)
     for k in keys:
-        same = same & (F.col(f"t.{k}") == F.col(f"s.{k}"))
+        same = same & F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}"))
 
-    def value(c: str):
+    def value(c: str) -> Column:
         old, new = F.col(f"t.{c}"), F.col(f"s.{c}")
-        if c in keys:
-            return F.coalesce(new, old)
-        if c in update:
+        if c in keys or c in update:
             return F.when(F.col("s._new"), new).otherwise(old)
-        return F.when(F.col(f"t.{keys[0]}").isNull(), new).otherwise(old)
+        return F.when(F.col("t._old"), old).otherwise(new)
 
     return t.join(s, same, "full_outer").select(*[value(c).alias(c) for c in target.columns])
 
@@ -62,6 +64,51 @@ def write_partitions(rows: DataFrame, path: str, *partition_by: str) -> None:
     )
 
 
+def touched_partitions(table: DataFrame, touched: DataFrame, partition: str) -> DataFrame:
+    """The rows of the touched partitions; which folders are read is known when the join runs.
+
+    Rows without a partition value are always among them, so that none is overwritten unread.
+    """
+    found = table.join(touched.select(partition).distinct(), partition, "left_semi")
+    return found.select(*table.columns).union(table.where(F.col(partition).isNull()))
+
+
+def finish_replacement(spark: SparkSession, path: str, staging: str, partition: str) -> None:
+    """Bring a staged replacement into the table, if one was left complete; run before reading.
+
+    The staged copy holds whole partitions and a list of all that are touched, so doing it
+    again changes nothing. Partitions that are listed and hold no row any more are removed.
+    """
+    if not exists(spark, f"{staging}/_complete"):
+        return
+    rows = spark.read.parquet(f"{staging}/rows")
+    write_partitions(rows, path, partition)
+    touched = spark.read.parquet(f"{staging}/touched")
+    emptied = touched.join(rows.select(partition).distinct(), partition, "left_anti")
+    for row in emptied.where(F.col(partition).isNotNull()).toLocalIterator():
+        delete(spark, f"{path}/{partition}={row[0]}")
+    # the mark goes first: without it the rest is a leftover that the next run replaces
+    delete(spark, f"{staging}/_complete")
+    delete(spark, staging)
+
+
+def replace_partitions(
+    rows: DataFrame, touched: DataFrame, path: str, staging: str, partition: str
+) -> None:
+    """Replace the partitions listed in `touched` by `rows`, which may be made from the table.
+
+    Rows are staged in full first and marked complete; a run that stops later is finished by the
+    next call of `finish_replacement`, one that stops before has changed nothing. `staging`
+    belongs to this table alone.
+    """
+    spark = rows.sparkSession
+    delete(spark, f"{staging}/_complete")
+    touched.select(partition).distinct().write.mode("overwrite").parquet(f"{staging}/touched")
+    rows.write.mode("overwrite").parquet(f"{staging}/rows")
+    mark(spark, f"{staging}/_complete")
+    finish_replacement(spark, path, staging, partition)
+
+
 def upsert_partitions(
     spark: SparkSession,
     path: str,
@@ -73,18 +120,16 @@ def upsert_partitions(
 ) -> None:
     """Upsert the source into the partitioned table at `path`, reading only touched partitions.
 
-    The merged partitions are written to `staging` in full before they replace the old ones, so
-    a job that dies in between loses nothing and can be run again. Both folders are given by
-    the caller and lie on shared storage.
+    A replacement that an earlier run left unfinished is finished first, so no row of it is
+    lost. Both folders are given by the caller and lie on shared storage.
     """
-    touched = [row[0] for row in source.select(partition).distinct().collect()]
-    if not touched:
-        return
+    finish_replacement(spark, path, staging, partition)
     target = read_if_present(spark, path)
     if target is None:
         merged = source
     else:
-        old = target.where(F.col(partition).isin(touched))
+        old = touched_partitions(target, source, partition)
         merged = upsert(old, source.select(*target.columns), keys, update)
-    merged.write.mode("overwrite").parquet(staging)
-    write_partitions(spark.read.parquet(staging), path, partition)
+    if source.isEmpty():
+        return
+    replace_partitions(merged, source, path, staging, partition)

@@ -11,14 +11,37 @@ from pyspark.sql import functions as F
 
 from tallybrook.operators import evaluation, model, quality, summaries
 from tallybrook.operators.parse import parse_transactions
-from tallybrook.operators.upsert import read_if_present, write_partitions
+from tallybrook.operators.upsert import (
+    finish_replacement,
+    read_if_present,
+    replace_partitions,
+    touched_partitions,
+    write_partitions,
+)
 from tallybrook.sources.tables import table_stream
-from tallybrook.streaming.queries import finish, start
+from tallybrook.streaming.queries import (
+    clean_stream,
+    daily_totals,
+    daily_totals_sink,
+    dedup_stream,
+    finish,
+    lake_sink,
+    start,
+)
 
 MERCHANT_TABLE = "merchant_daily_summary"
 GOVERNORATE_TABLE = "governorate_daily_summary"
 SERVICE_TABLE = "service_daily_rollup"
 
+TOTALS_DELAY = "1 day"
+CLEAN_STREAM_SCHEMA = (
+    "transaction_id string, event_time timestamp, merchant_id string, service_type string, "
+    "amount_egp double, governorate string, status string, is_fraud boolean"
+)
+
+#: Folders that the table of ids is cut into by a hash.
+ID_BUCKETS = 64
+
 
 def previous_day() -> dt.date:
     """The day that has just ended in UTC: what a job started at midnight should summarise."""
@@ -27,7 +50,8 @@ def previous_day() -> dt.date:
 
 @dataclass(frozen=True)
 class Lake:
-    """Folders of the lake: raw messages, clean rows, rejected messages, summaries, work space."""
+    """Folders of the lake: raw messages, clean rows, rejected messages, summaries, work space, and
+    the table of ids with the event dates they came under."""
 
     bronze: str
     silver: str
@@ -35,19 +59,36 @@ class Lake:
     gold: str
     staging: str
     checkpoint: str
+    ids: str
+
+
+def lake_at(root: str) -> Lake:
+    """Default layout of a lake below one folder."""
+    return Lake(
+        bronze=f"{root}/bronze/transactions",
+        silver=f"{root}/silver/transactions",
+        quarantine=f"{root}/quarantine/silver",
+        gold=f"{root}/gold",
+        staging=f"{root}/staging/silver",
+        checkpoint=f"{root}/checkpoints/silver",
+        ids=f"{root}/silver/ids",
+    )
 
 
-def refresh_silver(messages: DataFrame, batch_id: int, lake: Lake) -> list[dt.date]:
-    """Bring raw messages into the clean table and return the event dates touched.
+def refresh_silver(messages: DataFrame, batch_id: int, lake: Lake) -> DataFrame:
+    """Bring raw messages (value, and ingested_at if known) into the clean table and return the
+    event dates touched, as a table.
 
-    Late rows land in the partition of their event date. Only touched dates are read and
-    rewritten, via the work space, so a run that dies can be started again, and a second run
-    changes nothing. A repeated id counts once if it keeps its event date, as a redelivered
-    message does.
+    Late rows land in the partition of their event date. An id counts once over all dates: a
+    table of the ids and dates taken in so far tells in which other dates the ids of this batch
+    lie, and these are redone too; the earliest row stays. Only touched dates are read and
+    replaced. A run that stops is finished by the next one, and a second run changes nothing.
     """
     spark = messages.sparkSession
+    finish_replacement(spark, lake.silver, f"{lake.staging}/silver", "event_date")
     staging = f"{lake.staging}/{batch_id}"
-    checked = quality.with_reject_reason(parse_transactions(messages, "value")).persist()
+    keep = [c for c in messages.columns if c != "value"]
+    checked = quality.with_reject_reason(parse_transactions(messages, "value", *keep)).persist()
     try:
         bad = quality.rejected(checked).select("value", quality.REJECT)
         write_partitions(
@@ -58,16 +99,39 @@ def refresh_silver(messages: DataFrame, batch_id: int, lake: Lake) -> list[dt.da
     finally:
         checked.unpersist()
     rows = spark.read.parquet(f"{staging}/fresh")
-    dates = sorted(row[0] for row in rows.select("event_date").distinct().collect())
+    _touched(rows, lake).write.mode("overwrite").parquet(f"{staging}/touched")
+    touched = spark.read.parquet(f"{staging}/touched")
     table = read_if_present(spark, lake.silver)
     if table is not None:
-        old = table.where(F.col("event_date").isin(dates))
+        old = touched_partitions(table, touched, "event_date")
         both = old.unionByName(rows.select(*old.columns))
-        merged = quality.dedup_earliest(both, ["transaction_id"], ["event_time", "ingested_at"])
-        merged.write.mode("overwrite").parquet(f"{staging}/merged")
-        rows = spark.read.parquet(f"{staging}/merged")
-    write_partitions(rows, lake.silver, "event_date")
-    return dates
+        rows = quality.dedup_earliest(both, ["transaction_id"], ["event_time", "ingested_at"])
+    if not touched.isEmpty():
+        replace_partitions(rows, touched, lake.silver, f"{lake.staging}/silver", "event_date")
+    return touched
+
+
+def _touched(fresh: DataFrame, lake: Lake) -> DataFrame:
+    """Dates of the fresh rows and all dates under which their ids came before.
+
+    Ids are entered in the table of ids before the clean table changes, so none is missing
+    there after a stop; a date too many only costs a needless rewrite of it.
+    """
+    spark = fresh.sparkSession
+    spread = F.pmod(F.xxhash64("transaction_id"), F.lit(ID_BUCKETS)).cast("int")
+    own = fresh.select("transaction_id", "event_date").withColumn("id_bucket", spread)
+    dates = own.select("event_date")
+    known = read_if_present(spark, lake.ids)
+    if known is not None:
+        keys = ["id_bucket", "transaction_id"]
+        before = known.join(own.select(*keys), keys, "left_semi").select(*own.columns).distinct()
+        before.write.mode("overwrite").parquet(f"{lake.staging}/known")
+        before = spark.read.parquet(f"{lake.staging}/known")
+        dates = dates.union(before.select("event_date"))
+        own = own.join(before, own.columns, "left_anti")
+    by_bucket = own.hint("rebalance", F.col("id_bucket"))
+    by_bucket.write.mode("append").partitionBy("id_bucket").parquet(lake.ids)
+    return dates.distinct()
 
 
 def catch_up(spark: SparkSession, lake: Lake) -> None:
@@ -77,14 +141,35 @@ def catch_up(spark: SparkSession, lake: Lake) -> None:
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        dates = refresh_silver(batch, batch_id, lake)
-        if dates:
-            run_daily(spark, lake, dates)
+        touched = refresh_silver(batch, batch_id, lake)
+        if not touched.isEmpty():
+            _summarise(batch.sparkSession, lake, touched)
 
     files = table_stream(
         spark, lake.bronze, "value binary, ingested_at timestamp", maxFilesPerTrigger="4096"
     )
-    finish(start(files.select("value").writeStream.foreachBatch(step), lake.checkpoint, None))
+    writer = files.select("value", "ingested_at").writeStream.foreachBatch(step)
+    finish(start(writer, lake.checkpoint, None))
+
+
+def _summarise(spark: SparkSession, lake: Lake, touched: DataFrame) -> dict[str, DataFrame]:
+    """Recompute the summaries of the touched event dates in full and replace them; a date that
+    has no payment any more loses its rows."""
+    days = touched.select(F.col("event_date").alias("summary_date"))
+    clean = spark.read.parquet(lake.silver)
+    rows = clean.join(touched, "event_date", "left_semi")
+
+    def replace(name: str, frame: DataFrame) -> DataFrame:
+        path, staging = f"{lake.gold}/{name}", f"{lake.staging}/{name}"
+        finish_replacement(spark, path, staging, "summary_date")
+        replace_partitions(frame, days, path, staging, "summary_date")
+        table = read_if_present(spark, path)
+        return frame.limit(0) if table is None else touched_partitions(table, days, "summary_date")
+
+    merchants = replace(MERCHANT_TABLE, summaries.merchant_daily_summary(rows))
+    governorates = replace(GOVERNORATE_TABLE, summaries.governorate_daily_summary(rows))
+    replace(SERVICE_TABLE, summaries.service_daily_rollup(merchants))
+    return {MERCHANT_TABLE: merchants, GOVERNORATE_TABLE: governorates}
 
 
 def run_daily(
@@ -96,26 +181,41 @@ def run_daily(
     Returns the row count of each summary table for the dates.
     """
     days = list(dates) if dates is not None else [previous_day()]
-    gold_path = lake.gold
-    rows = spark.read.parquet(lake.silver).where(F.col("event_date").isin(days))
-    write_partitions(
-        summaries.merchant_daily_summary(rows), f"{gold_path}/{MERCHANT_TABLE}", "summary_date"
-    )
-    write_partitions(
-        summaries.governorate_daily_summary(rows),
-        f"{gold_path}/{GOVERNORATE_TABLE}",
-        "summary_date",
-    )
-    merchants = spark.read.parquet(f"{gold_path}/{MERCHANT_TABLE}")
-    fresh = merchants.where(F.col("summary_date").isin(days))
-    write_partitions(
-        summaries.service_daily_rollup(fresh), f"{gold_path}/{SERVICE_TABLE}", "summary_date"
+    touched = spark.createDataFrame([(day,) for day in days], "event_date date")
+    return summaries.summary_row_counts(_summarise(spark, lake, touched))
+
+
+def source_labels(silver: DataFrame) -> DataFrame:
+    """The clean table as training rows: `is_fraud` is the flag that came with the payment, not
+    the one that the score raised, and unknown where none came."""
+    return silver.withColumn("is_fraud", F.col("source_flag"))
+
+
+def stream_totals(spark: SparkSession, messages: DataFrame, root: str, interval: str | None):
+    """Start a stream that keeps the daily totals per governorate of payments seen once.
+
+    Copies of an id are dropped within a day of event time; the daily job redoes each day in
+    full from the clean table, late rows included.
+    """
+    once = dedup_stream(clean_stream(messages), TOTALS_DELAY)
+    # the first stream lands rows once, the second adds them up
+    landing, totals = f"{root}/stream/clean", f"{root}/stream/governorate_totals"
+    first = lake_sink(once, landing, f"{root}/checkpoints/clean", interval)
+    if interval is None:
+        finish(first)
+    clean = table_stream(messages.sparkSession, landing, CLEAN_STREAM_SCHEMA)
+    second = daily_totals_sink(
+        spark,
+        daily_totals(clean, ["governorate"], TOTALS_DELAY),
+        ["governorate"],
+        totals,
+        f"{root}/staging/governorate_totals",
+        f"{root}/checkpoints/totals",
+        interval,
     )
-    tables = {
-        name: spark.read.parquet(f"{gold_path}/{name}").where(F.col("summary_date").isin(days))
-        for name in (MERCHANT_TABLE, GOVERNORATE_TABLE)
-    }
-    return summaries.summary_row_counts(tables)
+    if interval is None:
+        finish(second)
+    return [first, second]
 
 
 def train(spark: SparkSession, labelled: DataFrame, path: str) -> dict[str, DataFrame]:

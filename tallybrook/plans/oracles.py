@@ -2,8 +2,67 @@
 
 from __future__ import annotations
 
-from tallybrook.schema import AMOUNT_RANGES, COLUMN_WIDTHS, GOVERNORATES, SERVICE_TYPES
-
+# Fixed values of the data contract, stated here again so that a wrong one in the package shows.
+SERVICE_TYPES = [
+    "electricity_bill",
+    "water_bill",
+    "gas_bill",
+    "mobile_topup",
+    "internet_bill",
+    "school_fees",
+    "university_fees",
+    "traffic_fines",
+    "telephone_bill",
+    "credit_card_payment",
+    "insurance_premium",
+    "pos_purchase",
+    "ecommerce_payment",
+    "government_fees",
+    "donations",
+]
+GOVERNORATES = [
+    "Cairo",
+    "Giza",
+    "Alexandria",
+    "Qalyubia",
+    "Sharqia",
+    "Dakahlia",
+    "Beheira",
+    "Minya",
+    "Assiut",
+    "Sohag",
+    "Luxor",
+    "Aswan",
+    "Port Said",
+    "Suez",
+    "Ismailia",
+]
+COLUMN_WIDTHS = {
+    "transaction_id": 36,
+    "customer_id": 36,
+    "merchant_id": 36,
+    "service_type": 50,
+    "governorate": 50,
+    "payment_method": 30,
+    "status": 20,
+}
+AMOUNT_RANGES = {
+    "electricity_bill": (50, 800),
+    "water_bill": (20, 300),
+    "gas_bill": (30, 400),
+    "mobile_topup": (10, 500),
+    "internet_bill": (100, 600),
+    "school_fees": (500, 5000),
+    "university_fees": (2000, 20000),
+    "traffic_fines": (100, 1000),
+    "telephone_bill": (50, 400),
+    "credit_card_payment": (200, 30000),
+    "insurance_premium": (300, 5000),
+    "pos_purchase": (20, 3000),
+    "ecommerce_payment": (50, 5000),
+    "government_fees": (50, 2000),
+    "donations": (10, 1000),
+}
 
 def _pick(index: str, domain: list[str]) -> str:
     cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(domain))
@@ -257,20 +316,37 @@ SELECT {TXN}, fraud_score, TRUE AS stamped FROM scored""",
         "quarantine": f"""WITH {CHECKED}
 SELECT transaction_id, merchant_id, reject_reason FROM checked WHERE reject_reason <> ''""",
         "dedup_transactions": f"WITH {PAYMENTS} SELECT {TXN} FROM payments",
-        "dedup_natural_keys": """SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity
+        "dedup_natural_keys": """SELECT * EXCLUDE (rn)
 FROM (SELECT *, ROW_NUMBER() OVER (
         PARTITION BY l_orderkey, l_linenumber
-        ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem) t
+        ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+                 l_returnflag, l_linestatus) AS rn FROM lineitem) t
 WHERE rn = 1""",
         "silver_transactions": f"""WITH {CHECKED}
 SELECT transaction_id, event_time, customer_id, merchant_id, service_type,
        CAST(amount_egp AS DECIMAL(12,2)) AS amount_egp, governorate, payment_method, status,
        COALESCE(is_fraud, FALSE) AS is_fraud, CAST(fraud_score AS DECIMAL(5,4)) AS fraud_score,
-       CAST(event_time AS DATE) AS event_date
+       CAST(event_time AS DATE) AS event_date, source_flag
 FROM clean""",
+        "silver_incremental": f"""WITH {PAYMENTS},
+delivered AS (
+  SELECT transaction_id, event_time, amount_egp, is_fraud FROM payments
+  UNION ALL
+  SELECT transaction_id, event_time - INTERVAL 2 DAY, amount_egp, is_fraud
+  FROM payments WHERE event_id % 15 = 2
+  UNION ALL
+  SELECT transaction_id, event_time + INTERVAL 1 DAY, amount_egp, is_fraud
+  FROM payments WHERE event_id % 25 = 3
+),
+ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY transaction_id ORDER BY event_time) AS rn FROM delivered
+)
+SELECT transaction_id, event_time, CAST(amount_egp AS DECIMAL(12,2)) AS amount_egp,
+       CAST(event_time AS DATE) AS event_date, is_fraud AS source_flag
+FROM ranked WHERE rn = 1""",
         "daily_slice": f"""WITH {PAYMENTS}
 SELECT {TXN} FROM payments
-WHERE CAST(event_time AS DATE) = (SELECT MAX(CAST(event_time AS DATE)) FROM payments)""",
+WHERE CAST(event_time AS DATE) = DATE '2024-01-29'""",
         "successful_payments": f"WITH {PAYMENTS} SELECT {TXN} FROM payments WHERE status = 'success'",
         "merchant_daily_summary": f"WITH {MERCHANT} SELECT * FROM merchant_summary",
         "governorate_daily_summary": f"WITH {GOVERNORATE} SELECT * FROM governorate_summary",
@@ -301,19 +377,19 @@ SELECT p.transaction_id, p.service_type, p.amount_egp, r.low, r.high
 FROM payments p JOIN ranges r ON p.service_type = r.service_type
 WHERE NOT p.amount_egp BETWEEN r.low AND r.high""",
         "summary_upsert": f"""WITH {SCORED},
-bounds AS (SELECT MAX(CAST(event_time AS DATE)) AS last_day FROM payments),
-old_rows AS (SELECT * FROM payments
-             WHERE CAST(event_time AS DATE) < (SELECT last_day FROM bounds)),
-new_rows AS (SELECT * FROM scored
-             WHERE CAST(event_time AS DATE) >= (SELECT last_day FROM bounds) - 1),
+placed AS (
+  SELECT * REPLACE (CASE WHEN event_id % 90 <> 1 THEN governorate END AS governorate) FROM scored
+),
+old_rows AS (SELECT * REPLACE (source_flag AS is_fraud) FROM placed
+             WHERE CAST(event_time AS DATE) < DATE '2024-01-29'),
+new_rows AS (SELECT * FROM placed WHERE CAST(event_time AS DATE) >= DATE '2024-01-28'),
 t AS ({_daily("old_rows", "governorate")}),
 s AS ({_daily("new_rows", "governorate")})
-SELECT COALESCE(s.summary_date, t.summary_date) AS summary_date,
-       COALESCE(s.governorate, t.governorate) AS governorate,
-       COALESCE(s.total_transactions, t.total_transactions) AS total_transactions,
-       COALESCE(s.total_amount_egp, t.total_amount_egp) AS total_amount_egp,
-       COALESCE(s.fraud_count, t.fraud_count) AS fraud_count
-FROM t FULL OUTER JOIN s ON t.summary_date = s.summary_date AND t.governorate = s.governorate""",
+SELECT * FROM s
+UNION ALL
+SELECT * FROM t WHERE NOT EXISTS (
+  SELECT 1 FROM s WHERE s.summary_date = t.summary_date
+                    AND s.governorate IS NOT DISTINCT FROM t.governorate)""",
         "counter_deltas": f"WITH {_COUNTERS} SELECT batch_id, metric, key, value FROM deltas",
         "live_kpis": f"""WITH {BATCHED},
 newest AS (SELECT n_rows FROM sizes ORDER BY batch_id DESC LIMIT 60),
@@ -414,6 +490,18 @@ c AS (
 )
 SELECT ROUND(SUM(pos * (below + neg * CAST(0.5 AS DOUBLE))) / (SUM(pos) * SUM(neg)), 6) AS auc
 FROM c""",
+        "train_fraud_model": f"""WITH {LABELLED},
+ranked AS (
+  SELECT is_fraud, ROW_NUMBER() OVER (PARTITION BY is_fraud
+                     ORDER BY md5(CONCAT(transaction_id, ':42')), transaction_id) AS r,
+         COUNT(*) OVER (PARTITION BY is_fraud) AS n
+  FROM labelled
+)
+SELECT is_fraud AS label, COUNT(*) AS support, COUNT(*) AS predicted
+FROM ranked WHERE r > CAST(n AS DOUBLE) * 0.8 GROUP BY is_fraud""",
+        "ml_fraud_score": f"""WITH {SCORED}
+SELECT transaction_id, fraud_score AS rule_score, TRUE AS in_range, TRUE AS rounded,
+       TRUE AS used, TRUE AS flag_follows FROM scored""",
         "stream_ingest": CLEAN_TXN,
         "stream_dedup": CLEAN_TXN,
         "bronze_sink": f"WITH {WIRE} SELECT {TXN} FROM parsed",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tallybrook.functions.scoring import FRAUD_THRESHOLD, rule_score
 from tallybrook.operators import (
@@ -20,20 +22,23 @@ from tallybrook.operators import (
     summaries,
     upsert,
 )
+from tallybrook.plans import jobs
 from tallybrook.schema import MONEY_SUM, TRANSACTION_COLUMNS, WAREHOUSE_COLUMNS
 from tallybrook.session import work_dir
 from tallybrook.sources import payments as source
-from tallybrook.sources.tables import spread_small, table_stream
+from tallybrook.sources.tables import table_stream
 from tallybrook.streaming import queries as streams
 from tallybrook.streaming.sinks import Targets, read_counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# The files of a test folder carry no time order, so a stream over them may meet any event at
-# any point; with this delay no row counts as late and results equal the batch results.
-WHOLE_TABLE = "400 days"
-FILES_PER_BATCH = "512"
+#: Files that a table is cut into by time for a stream, each a batch of its own, and how far an
+#: event may come behind later ones: not at all in such files, but the streams keep their margin.
+STREAM_FILES = 4
+DELAY = "1 day"
+#: State partitions of the registered streams.
+STATE_PARTITIONS = 8
 
 
 def query(function: Query) -> Query:
@@ -65,24 +70,30 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.batch_sizes(source.payments_in_batches(spark, sf_dir))
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # as a pattern, the path may be one file or a folder of files
+def _event_stream(
+    spark: SparkSession, sf_dir: str, files: int = STREAM_FILES
+) -> DataFrame:
+    """The events as a stream of several batches, in the order of their times."""
     source.use_utc(spark)
-    streams.use_large_state(spark)
-    return table_stream(
-        spark,
-        f"{sf_dir}/events.parque[t]",
-        source.EVENTS_SCHEMA,
-        maxFilesPerTrigger=FILES_PER_BATCH,
-    )
+    own = streams.stream_session(spark, STATE_PARTITIONS)
+    folder = source.events_by_time(spark, sf_dir, work_dir(spark, "events"), files)
+    return table_stream(own, folder, source.EVENTS_SCHEMA, maxFilesPerTrigger="1")
+
+
+def _run(query: StreamingQuery) -> None:
+    """Finish a registered stream: all its batches have run and no row was late."""
+    late = streams.finish(query)
+    if late:
+        raise RuntimeError(f"{late} rows came behind the watermark")
 
 
 def _message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.with_defects(source.to_payments(_event_stream(spark, sf_dir), "event_id"))
 
 
-def _redelivered_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = source.redelivered(_event_stream(spark, sf_dir))
+def _redelivered_stream(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
+    files = STREAM_FILES + 1 if again else STREAM_FILES
+    events = source.redelivered(_event_stream(spark, sf_dir, files))
     return source.with_defects(source.to_payments(events, "event_id"))
 
 
@@ -134,10 +145,7 @@ def dedup_transactions(spark, sf_dir):
 @query
 def dedup_natural_keys(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    picked = rows.select(
-        "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity"
-    )
-    return quality.dedup_earliest(picked, ["l_orderkey", "l_linenumber"], ["l_shipdate"])
+    return quality.dedup_earliest(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate"])
 
 
 @query
@@ -150,10 +158,13 @@ def silver_transactions(spark, sf_dir):
 # ---- filters, summaries, history ----
 
 
+#: The day that the daily queries report, as their job's argument would state it.
+REPORT_DAY = dt.date(2024, 1, 29)
+
+
 @query
 def daily_slice(spark, sf_dir):
-    rows = source.payments(spark, sf_dir)
-    return summaries.day_slice(rows, summaries.last_day(rows))
+    return summaries.day_slice(source.payments(spark, sf_dir), REPORT_DAY)
 
 
 @query
@@ -208,18 +219,50 @@ def amount_range_violations(spark, sf_dir):
 
 @query
 def summary_upsert(spark, sf_dir):
-    """Totals of all but the last day, then a rerun that covers the last two days."""
-    rows = source.payments(spark, sf_dir)
+    """Totals of all days before the report day, then a rerun that covers it and the day before.
+
+    Every 90th payment lacks its governorate: NULL is a key like any other.
+    """
+    rows = source.payments(spark, sf_dir, "event_id")
+    absent = F.col("event_id") % 90 == 1
+    place = F.when(~absent, F.col("governorate"))
+    rows = rows.withColumn("governorate", place).drop("event_id")
     day = F.to_date("event_time")
-    last = summaries.last_day(rows)
+    last = F.lit(REPORT_DAY)
     source_rows = summaries.governorate_daily_summary(
-        parse.score(rows).where(day >= F.date_sub(F.lit(last), 1))
+        parse.score(rows).where(day >= F.date_sub(last, 1))
     )
-    target = summaries.governorate_daily_summary(rows.where(day < F.lit(last)))
+    target = summaries.governorate_daily_summary(rows.where(day < last))
     keys = ["summary_date", "governorate"]
     return upsert.upsert(target, source_rows, keys, summaries.MEASURES)
 
 
+@query
+def silver_incremental(spark, sf_dir):
+    """The clean table after three deliveries in which ids come back under other dates.
+
+    Every 15th payment is delivered again with an event time two days earlier, every 25th with
+    one a day later; of an id the earliest row stays.
+    """
+    root = work_dir(spark, "silver")
+    lake = jobs.lake_at(root)
+    event_id = F.col("event_id")
+    rows = source.payments(spark, sf_dir, "event_id")
+    time = F.col("event_time")
+    deliveries = [
+        rows,
+        rows.where(event_id % 15 == 2).withColumn("event_time", time - F.expr("INTERVAL 2 DAYS")),
+        rows.where(event_id % 25 == 3).withColumn("event_time", time + F.expr("INTERVAL 1 DAY")),
+    ]
+    for number, delivery in enumerate(deliveries):
+        messages = source.to_wire(delivery).withColumn("ingested_at", F.current_timestamp())
+        jobs.refresh_silver(messages, number, lake)
+    clean = spark.read.parquet(lake.silver)
+    return naive_time(
+        clean.select("transaction_id", "event_time", "amount_egp", "event_date", "source_flag")
+    )
+
+
 # ---- live counters ----
 
 
@@ -350,20 +393,33 @@ def roc_auc(spark, sf_dir):
 
 @query
 def train_fraud_model(spark, sf_dir):
-    """Confusion matrix of the fitted forest on the held-out fifth."""
-    rows = spread_small(source.payments(spark, sf_dir))
-    _, tested = model.train_and_test(rows)
-    return evaluation.confusion_matrix(tested, "is_fraud", "predicted_fraud")
+    """Held-out payments per true label, all with a prediction of the fitted forest."""
+    _, tested = model.train_and_test(source.payments(spark, sf_dir))
+    cells = evaluation.confusion_matrix(tested, "is_fraud", "predicted_fraud")
+    return cells.groupBy("label").agg(
+        F.sum("n").alias("support"),
+        F.sum(F.when(F.col("prediction").isNotNull(), F.col("n")).otherwise(0)).alias("predicted"),
+    )
 
 
 @query
 def ml_fraud_score(spark, sf_dir):
-    """Fit, save, load, then score every payment."""
+    """Fit, save, load, then score every payment; of the scores what does not depend on trees."""
     path = work_dir(spark, "model")
-    rows = spread_small(source.payments(spark, sf_dir))
+    rows = source.payments(spark, sf_dir)
     model.fit_model(rows).save(path)
-    scored = model.score_with_model(rows, model.load_model(spark, path))
-    return scored.select("transaction_id", "rule_score", "ml_score", "fraud_score", "is_fraud")
+    asked = rows.withColumn("source_flag", F.col("is_fraud"))
+    scored = model.score_with_model(asked, model.load_model(spark, path))
+    ml = F.col("ml_score")
+    raised = F.col("source_flag") | (ml >= FRAUD_THRESHOLD)
+    return scored.select(
+        "transaction_id",
+        "rule_score",
+        ml.between(0, 1).alias("in_range"),
+        (F.round(ml, model.SCORE_DIGITS) == ml).alias("rounded"),
+        (F.col("fraud_score") == ml).alias("used"),
+        F.col("is_fraud").eqNullSafe(raised).alias("flag_follows"),
+    )
 
 
 # ---- streams ----
@@ -374,7 +430,7 @@ def stream_ingest(spark, sf_dir):
     """Parsed and enriched rows of the message stream, landed by event date."""
     out = work_dir(spark, "ingest")
     rows = streams.clean_stream(_message_stream(spark, sf_dir))
-    streams.finish(streams.lake_sink(rows, f"{out}/table", f"{out}/checkpoint", None))
+    _run(streams.lake_sink(rows, f"{out}/table", f"{out}/checkpoint", None))
     landed = spark.read.parquet(f"{out}/table")
     return naive_time(landed.select(*TRANSACTION_COLUMNS, "fraud_score"))
 
@@ -384,7 +440,7 @@ def bronze_sink(spark, sf_dir):
     """Raw messages as they landed."""
     out = work_dir(spark, "bronze")
     messages = _message_stream(spark, sf_dir)
-    streams.finish(streams.bronze_sink(messages, f"{out}/table", f"{out}/checkpoint", None))
+    _run(streams.bronze_sink(messages, f"{out}/table", f"{out}/checkpoint", None))
     return naive_time(
         parse.parse_transactions(spark.read.parquet(f"{out}/table")).select(*TRANSACTION_COLUMNS)
     )
@@ -395,8 +451,9 @@ def warehouse_sink(spark, sf_dir):
     """Warehouse rows after a stream with redelivered messages ran twice, its checkpoint lost."""
     out = work_dir(spark, "warehouse")
     for run in ("first", "again"):
-        rows = streams.clean_stream(_redelivered_stream(spark, sf_dir))
-        streams.finish(streams.warehouse_sink(rows, f"{out}/table", f"{out}/{run}", None))
+        # the second time the batches are cut in other places
+        rows = streams.clean_stream(_redelivered_stream(spark, sf_dir, again=run == "again"))
+        _run(streams.warehouse_sink(rows, f"{out}/table", f"{out}/{run}", None))
     landed = spark.read.parquet(f"{out}/table")
     return naive_time(landed.select(*[c for c in WAREHOUSE_COLUMNS if c != "ingested_at"]))
 
@@ -407,7 +464,7 @@ def stream_fanout(spark, sf_dir):
     out = work_dir(spark, "fanout")
     targets = Targets(f"{out}/warehouse", f"{out}/counters", f"{out}/quarantine")
     messages = _message_stream(spark, sf_dir)
-    streams.finish(streams.fan_out_sink(messages, targets, f"{out}/checkpoint", None))
+    _run(streams.fan_out_sink(messages, targets, f"{out}/checkpoint", None))
     counted = counters.live_kpis(read_counters(spark, targets.counters)).select(
         F.lit("counters").alias("target"),
         F.col("total_transactions").alias("n_rows"),
@@ -432,8 +489,8 @@ def stream_dedup(spark, sf_dir):
     """Clean rows, each id once, of a stream with redelivered messages."""
     out = work_dir(spark, "dedup")
     rows = streams.clean_stream(_redelivered_stream(spark, sf_dir))
-    once = streams.dedup_stream(rows, WHOLE_TABLE)
-    streams.finish(streams.lake_sink(once, f"{out}/table", f"{out}/checkpoint", None))
+    once = streams.dedup_stream(rows, DELAY)
+    _run(streams.lake_sink(once, f"{out}/table", f"{out}/checkpoint", None))
     landed = spark.read.parquet(f"{out}/table")
     return naive_time(landed.select(*TRANSACTION_COLUMNS, "fraud_score"))
 
@@ -442,15 +499,15 @@ def _streamed_totals(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     """Totals kept by a stream over the de-duplicated rows of another stream."""
     out = work_dir(spark, "daily")
     rows = streams.clean_stream(_redelivered_stream(spark, sf_dir))
-    once = streams.dedup_stream(rows, WHOLE_TABLE)
-    streams.finish(streams.lake_sink(once, f"{out}/clean", f"{out}/clean_checkpoint", None))
+    once = streams.dedup_stream(rows, DELAY)
+    _run(streams.lake_sink(once, f"{out}/clean", f"{out}/clean_checkpoint", None))
     landed = spark.read.parquet(f"{out}/clean")
     clean = table_stream(
-        spark, f"{out}/clean", landed.schema, maxFilesPerTrigger=FILES_PER_BATCH
+        streams.stream_session(spark, STATE_PARTITIONS), f"{out}/clean", landed.schema
     )
-    totals = streams.daily_totals(clean, keys, WHOLE_TABLE)
+    totals = streams.daily_totals(clean, keys, DELAY)
     places = (f"{out}/gold", f"{out}/staging", f"{out}/gold_checkpoint")
-    streams.finish(streams.daily_totals_sink(spark, totals, keys, *places, None))
+    _run(streams.daily_totals_sink(spark, totals, keys, *places, None))
     return spark.read.parquet(f"{out}/gold").select("summary_date", *keys, *summaries.MEASURES)
 
 

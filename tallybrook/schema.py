@@ -68,6 +68,7 @@ SERVICE_TYPES = [
     "donations",
 ]
 
+# The governorates, in order.
 GOVERNORATES = [
     "Cairo",
     "Giza",
@@ -86,6 +87,7 @@ GOVERNORATES = [
     "Ismailia",
 ]
 
+# The ways to pay, in order.
 PAYMENT_METHODS = [
     "wallet",
     "debit_card",
@@ -120,7 +122,10 @@ MONEY_SUM = "decimal(22,2)"
 SCORE = "decimal(5,4)"
 
 COUNTER_VALUE = "decimal(24,2)"
-COUNTER_SCHEMA = f"metric string, key string, value {COUNTER_VALUE}, batch_id bigint"
+STORED_COUNTERS = (
+    f"metric string, key string, value {COUNTER_VALUE}, written_at timestamp, "
+    "query_id string, batch_id bigint"
+)
 
 _MEASURES = f"total_transactions bigint, total_amount_egp {MONEY_SUM}, fraud_count bigint"
 GOVERNORATE_SUMMARY_SCHEMA = f"governorate string, {_MEASURES}, summary_date date"

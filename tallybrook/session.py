@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,15 +33,55 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def cloned(spark: SparkSession, **conf: str) -> SparkSession:
+    """A session with the same tables and settings and some of its own, for one query.
+
+    `conf` keys use `__` for dots; the given session keeps its settings.
+    """
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for key, value in conf.items():
+        own.conf.set(key.replace("__", "."), value)
+    return own
+
+
+_local_root: str | None = None
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for tables and checkpoints that all executors can reach.
 
     It lies in the folder the cluster names in spark.checkpoint.dir. Only a local session
-    without that setting gets a folder of its own machine.
+    without that setting gets a folder of its own machine, which goes when the driver ends.
     """
+    global _local_root
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="tallybrook-")
+        if _local_root is None:
+            _local_root = tempfile.mkdtemp(prefix="tallybrook-")
+            atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
+        root = _local_root
     return f"{root.rstrip('/')}/tallybrook/{purpose}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of a table, if it is there."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file."""
+    files, place = _file_system(spark, path)
+    files.create(place, True).close()

@@ -7,7 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.schema import GOVERNORATES, SERVICE_TYPES, TRANSACTION_COLUMNS
+from tallybrook.schema import (
+    GOVERNORATES,
+    PAYMENT_METHODS,
+    SERVICE_TYPES,
+    TRANSACTION_COLUMNS,
+)
 from tallybrook.session import use_utc
 
 EVENTS_SCHEMA = (
@@ -26,13 +31,9 @@ def to_payments(events: DataFrame, *extra: str) -> DataFrame:
     """Map events rows to payment rows; works on a batch or a stream. Keeps `extra` columns."""
     k = F.get_json_object("props", "$.k").cast("int")
     event_id = F.col("event_id")
-    method = (
-        F.when(F.col("event_type") == "click", "wallet")
-        .when(F.col("event_type") == "error", "debit_card")
-        .when(F.col("event_type") == "purchase", "credit_card")
-        .when(F.col("event_type") == "signup", "bank_transfer")
-        .otherwise("cash_at_agent")
-    )
+    method = F.lit(PAYMENT_METHODS[-1])
+    for kind, name in zip(("click", "error", "purchase", "signup"), PAYMENT_METHODS):
+        method = F.when(F.col("event_type") == kind, name).otherwise(method)
     status = (
         F.when(event_id % 6 == 4, "failed").when(event_id % 6 == 5, "pending").otherwise("success")
     )
@@ -58,6 +59,27 @@ def payments(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return to_payments(spark.read.parquet(f"{sf_dir}/events.parquet"), *extra)
 
 
+def events_by_time(spark: SparkSession, sf_dir: str, folder: str, files: int) -> str:
+    """Write the events to `folder` as files of consecutive times, the earliest first.
+
+    A stream that takes files in the order they were written meets events in the order of their
+    times, whatever the order of the table.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    shares = [i / files for i in range(1, files)]
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(moment, shares)).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = events
+        if low is not None:
+            part = part.where(moment >= low)
+        if high is not None:
+            part = part.where(moment < high)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def payments_missing_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments of which every 40th lacks its amount."""
     rows = payments(spark, sf_dir, "event_id")

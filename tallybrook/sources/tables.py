@@ -34,35 +34,20 @@ def message_stream(spark: SparkSession, fmt: str, options: Mapping[str, str]) ->
     return spark.readStream.format(fmt).options(**options).load().select("value")
 
 
-def kafka_messages(
-    spark: SparkSession,
-    servers: str,
-    topic: str,
-    starting_offsets: str = "earliest",
-    fail_on_data_loss: bool = False,
-    **options: str,
-) -> DataFrame:
-    """Messages of a topic. Starts with the oldest, so a new checkpoint skips nothing."""
-    settings = {
-        "kafka.bootstrap.servers": servers,
-        "subscribe": topic,
-        "startingOffsets": starting_offsets,
-        "failOnDataLoss": str(fail_on_data_loss).lower(),
-        **options,
-    }
-    return message_stream(spark, "kafka", settings)
+#: Settings of a topic unless others are given: a new checkpoint starts with the oldest message
+#: and skips none, and the stream goes on where the broker has lost some.
+KAFKA_SETTINGS = {"startingOffsets": "earliest", "failOnDataLoss": "false"}
 
 
-def table_stream(spark: SparkSession, path: str, schema: str | StructType, **options: str) -> DataFrame:
-    """A Parquet table read as a stream of its files, new ones included."""
-    return spark.readStream.schema(schema).options(**options).parquet(path)
+def job_messages(spark: SparkSession, fmt: str, options: Mapping[str, str]) -> DataFrame:
+    """The message stream of a job; a topic is read with KAFKA_SETTINGS unless told otherwise."""
+    return message_stream(spark, fmt, job_options(fmt, options))
 
 
-def spread_small(table: DataFrame) -> DataFrame:
-    """Spread a table with fewer file splits than the cluster has cores over all of them.
+def job_options(fmt: str, options: Mapping[str, str]) -> dict[str, str]:
+    return {**(KAFKA_SETTINGS if fmt == "kafka" else {}), **options}
 
-    For work that costs much per row, such as JSON or a forest. A table of many splits, which is
-    every large one, is left as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+def table_stream(spark: SparkSession, path: str, schema: str | StructType, **options: str) -> DataFrame:
+    """A Parquet table read as a stream of its files, new ones included."""
+    return spark.readStream.schema(schema).options(**options).parquet(path)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +11,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallybrook.functions.features import money
 from tallybrook.operators.parse import enrich, parse_transactions
+from tallybrook.operators.parse import score as rule
 from tallybrook.operators.quality import accepted, typed_for_storage, with_reject_reason
 from tallybrook.operators.summaries import MEASURES, successful
-from tallybrook.operators.upsert import upsert_partitions
+from tallybrook.operators.upsert import upsert_partitions, write_partitions
 from tallybrook.schema import MONEY_SUM
+from tallybrook.session import cloned
 from tallybrook.streaming.sinks import (
+    BATCH_KEYS,
+    Score,
     Targets,
     append_new_payments,
     each_batch,
     fan_out,
+    stream_id,
+    with_batch,
     write_counters,
 )
 
@@ -35,20 +41,21 @@ SAVE_CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.en
 PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+log = logging.getLogger(__name__)
 
-def use_large_state(spark: SparkSession) -> None:
-    """Keep stream state in RocksDB instead of the JVM heap, and save only its changes per batch.
 
-    The working copy lies on executor disks, the saved state in the checkpoint folder. A local
-    session also gets one state partition per core: each costs a store to open and to save. On
-    a cluster the configured partitions hold, which the first checkpoint then fixes.
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for streams whose state is kept in RocksDB instead of the JVM heap, of which only
+    changes are saved per batch; the given session keeps its settings.
+
+    The working copy lies on executor disks, the saved state in the checkpoint folder. Each
+    state partition costs a store to open and to save; without `state_partitions` there are
+    as many as shuffle partitions, which the first checkpoint then fixes.
     """
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    spark.conf.set(SAVE_CHANGES, "true")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        cores = spark.sparkContext.defaultParallelism
-        if int(spark.conf.get(PARTITIONS)) > cores:
-            spark.conf.set(PARTITIONS, str(cores))
+    own = {STATE_STORE: ROCKSDB, SAVE_CHANGES: "true"}
+    if state_partitions:
+        own[PARTITIONS] = str(state_partitions)
+    return cloned(spark, **{key.replace(".", "__"): value for key, value in own.items()})
 
 
 def clean_stream(messages: DataFrame) -> DataFrame:
@@ -66,19 +73,25 @@ def bronze_sink(
     messages: DataFrame, path: str, checkpoint: str, interval: str | None = TABLE_INTERVAL
 ) -> StreamingQuery:
     """Append every raw message, unchanged, to the bronze table, by ingestion date."""
-    now = F.current_timestamp()
-    raw = messages.select("value", now.alias("ingested_at"), F.to_date(now).alias("ingest_date"))
-    writer = raw.writeStream.format("parquet").option("path", path).partitionBy("ingest_date")
-    return start(writer, checkpoint, interval)
+
+    def write(batch: DataFrame, batch_id: int, query_id: str) -> None:
+        now = F.current_timestamp()
+        raw = batch.select("value", now.alias("ingested_at"), F.to_date(now).alias("ingest_date"))
+        write_partitions(with_batch(raw, batch_id, query_id), path, "ingest_date", *BATCH_KEYS)
+
+    return start(each_batch(messages, checkpoint, write), checkpoint, interval)
 
 
 def lake_sink(
     enriched: DataFrame, path: str, checkpoint: str, interval: str | None = TABLE_INTERVAL
 ) -> StreamingQuery:
-    """Append enriched rows to a Parquet table by event date."""
-    dated = enriched.withColumn("event_date", F.to_date("event_time"))
-    writer = dated.writeStream.format("parquet").option("path", path).partitionBy("event_date")
-    return start(writer, checkpoint, interval)
+    """Append enriched rows to a Parquet table by event date, in few files per batch."""
+
+    def write(batch: DataFrame, batch_id: int, query_id: str) -> None:
+        dated = batch.withColumn("event_date", F.to_date("event_time"))
+        write_partitions(with_batch(dated, batch_id, query_id), path, "event_date", *BATCH_KEYS)
+
+    return start(each_batch(enriched, checkpoint, write), checkpoint, interval)
 
 
 def warehouse_sink(
@@ -86,10 +99,10 @@ def warehouse_sink(
 ) -> StreamingQuery:
     """Add new payments to the warehouse table."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        append_new_payments(typed_for_storage(batch), batch_id, path)
+    def write(batch: DataFrame, batch_id: int, query_id: str) -> None:
+        append_new_payments(typed_for_storage(batch), batch_id, path, query_id)
 
-    return start(each_batch(enriched, write), checkpoint, interval)
+    return start(each_batch(enriched, checkpoint, write), checkpoint, interval)
 
 
 def counter_sink(
@@ -97,17 +110,24 @@ def counter_sink(
 ) -> StreamingQuery:
     """Keep the live counters."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        write_counters(batch, batch_id, path)
+    def write(batch: DataFrame, batch_id: int, query_id: str) -> None:
+        write_counters(batch, batch_id, path, query_id)
 
-    return start(each_batch(enriched, write), checkpoint, interval)
+    return start(each_batch(enriched, checkpoint, write), checkpoint, interval)
 
 
 def fan_out_sink(
-    messages: DataFrame, targets: Targets, checkpoint: str, interval: str | None = COUNTER_INTERVAL
+    messages: DataFrame,
+    targets: Targets,
+    checkpoint: str,
+    interval: str | None = COUNTER_INTERVAL,
+    score: Score = rule,
 ) -> StreamingQuery:
     """One query for warehouse, counters and quarantine: messages are read and scored once."""
-    write = partial(fan_out, targets=targets)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fan_out(batch, batch_id, targets, stream_id(batch.sparkSession, checkpoint), score)
+
     return start(messages.writeStream.foreachBatch(write), checkpoint, interval)
 
 
@@ -130,6 +150,7 @@ def daily_totals(clean: DataFrame, keys: Sequence[str], delay: str = "1 day") ->
     day = F.window("event_time", "1 day")
     return (
         successful(clean)
+        .where(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
         .withWatermark("event_time", delay)
         .groupBy(day, *keys)
         .agg(
@@ -150,22 +171,42 @@ def daily_totals_sink(
     checkpoint: str,
     interval: str | None = TABLE_INTERVAL,
 ) -> StreamingQuery:
-    """Upsert changed daily totals into a summary table."""
+    """Upsert changed daily totals into a summary table; rows without a key value stay out.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    `staging` belongs to this table, so that a new checkpoint finds what an old one left.
+    """
+
+    def write(batch: DataFrame, batch_id: int, query_id: str) -> None:
         upsert_partitions(
             spark,
             path,
-            f"{staging}/batch_id={batch_id}",
+            staging,
             batch,
             ["summary_date", *keys],
             MEASURES,
             "summary_date",
         )
 
-    return start(each_batch(totals, write).outputMode("update"), checkpoint, interval)
+    return start(each_batch(totals, checkpoint, write).outputMode("update"), checkpoint, interval)
+
 
+def finish(query: StreamingQuery) -> int:
+    """Wait for a query that ends by itself; a failure in it is raised here.
 
-def finish(query: StreamingQuery) -> None:
-    """Wait for a query that ends by itself; a failure in it is raised here."""
+    Returns how many rows came behind its watermark, which the stream leaves to the daily batch
+    jobs, and logs them. The count covers the progress reports the session keeps.
+    """
     query.awaitTermination()
+    late = sum(
+        state.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for state in progress.stateOperators
+    )
+    if late:
+        log.warning("%s rows came behind the watermark and are left to the daily job", late)
+    return late
+
+
+def batch_count(query: StreamingQuery) -> int:
+    """Batches with rows that a query has run, of those whose progress the session keeps."""
+    return len({p.batchId for p in query.recentProgress if p.numInputRows})

@@ -7,16 +7,13 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tallybrook.operators.counters import (
-    WINDOW_BATCHES,
-    batch_sizes_from,
-    counter_deltas,
-    newest_batches,
-)
-from tallybrook.operators.parse import fill_amount, parse_transactions, score
+from tallybrook.operators.counters import WINDOW_BATCHES, counter_deltas
+from tallybrook.operators.parse import fill_amount, parse_transactions
+from tallybrook.operators.parse import score as rule
 from tallybrook.operators.quality import (
     REJECT,
     accepted,
@@ -26,36 +23,66 @@ from tallybrook.operators.quality import (
     with_reject_reason,
 )
 from tallybrook.operators.upsert import read_if_present, write_partitions
-from tallybrook.schema import COUNTER_SCHEMA, COUNTER_VALUE, WAREHOUSE_COLUMNS
+from tallybrook.schema import COUNTER_VALUE, STORED_COUNTERS, WAREHOUSE_COLUMNS
+from tallybrook.session import delete
+
+#: Parts of a batch's own partition of a sink: the stream it belongs to and its number there.
+BATCH_KEYS = ("query_id", "batch_id")
+#: Copies of a payment whose event times lie this close are kept out of the warehouse.
+COPY_SPAN = "1 hour"
 
-MAX_PRUNED_DATES = 366
+#: Rows of a baseline that say up to which batch it holds a stream.
+UPTO = "upto"
+
+Score = Callable[[DataFrame], DataFrame]
 
 log = logging.getLogger(__name__)
 
 
-def append_new_payments(batch: DataFrame, batch_id: int, path: str) -> None:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream's checkpoint gives it, the same after every restart.
+
+    Batches are numbered from 0 again under a new checkpoint, so a number alone names no batch.
+    """
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+def with_batch(rows: DataFrame, batch_id: int, query_id: str) -> DataFrame:
+    """The rows with the keys of their batch."""
+    return rows.withColumns(
+        {"query_id": F.lit(query_id), "batch_id": F.lit(batch_id).cast("bigint")}
+    )
+
+
+def append_new_payments(batch: DataFrame, batch_id: int, path: str, query_id: str) -> None:
     """Add a batch to the warehouse table, leaving out ids that other batches brought.
 
-    The table is partitioned by event date and batch: writing a batch again replaces what it
-    wrote before. Ids are compared only within the dates of the batch, and only their folders
-    are listed, so the cost of a batch does not grow with the table; an id that comes back under
-    another date is settled by the batch job that builds the clean table. Call it with a cached
-    batch: its dates are read before its rows.
+    The table is partitioned by event date, stream and batch: writing a batch again replaces
+    what it wrote before and nothing else. Ids are compared with payments of the same time,
+    give or take COPY_SPAN: a redelivered message keeps its event time. Dates prune folders and
+    times prune files, so a batch reads as much at the end of a day as at its start. An id that
+    comes back under a time farther away is settled by the job that builds the clean table. Call
+    it with a cached batch: its times are read before its rows.
     """
     rows = batch.select(*WAREHOUSE_COLUMNS, F.to_date("event_time").alias("event_date"))
-    dates = rows.select("event_date").distinct().limit(MAX_PRUNED_DATES + 1).collect()
-    folders = path
-    if len(dates) <= MAX_PRUNED_DATES:
-        folders = f"{path}/event_date={{{','.join(row.event_date.isoformat() for row in dates)}}}"
     rows = dedup_earliest(rows, ["transaction_id"], ["event_time"])
-    table = read_if_present(batch.sparkSession, folders, base=path)
+    table = read_if_present(batch.sparkSession, path)
     if table is not None:
-        others = table.where(F.col("batch_id") != batch_id)
-        known = others.select("event_date", "transaction_id")
-        rows = rows.join(known, ["event_date", "transaction_id"], "left_anti")
-    write_partitions(
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")), path, "event_date", "batch_id"
-    )
+        known = known_ids(table, rows, batch_id, query_id)
+        rows = rows.join(known, ["transaction_id"], "left_anti")
+    write_partitions(with_batch(rows, batch_id, query_id), path, "event_date", *BATCH_KEYS)
+
+
+def known_ids(table: DataFrame, rows: DataFrame, batch_id: int, query_id: str) -> DataFrame:
+    """Ids that other batches brought with an event time near those of `rows`."""
+    span = F.expr(f"INTERVAL {COPY_SPAN}")
+    first, last = rows.agg(F.min("event_time") - span, F.max("event_time") + span).first()
+    others = ~((F.col("query_id") == query_id) & (F.col("batch_id") == batch_id))
+    return table.where(
+        others
+        & F.col("event_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+        & F.col("event_time").between(F.lit(first), F.lit(last))
+    ).select("transaction_id")
 
 
 def append_new_payments_jdbc(
@@ -87,9 +114,10 @@ def append_new_payments_jdbc(
 
 
 def each_batch(
-    rows: DataFrame, write: Callable[[DataFrame, int], None]
+    rows: DataFrame, checkpoint: str, write: Callable[[DataFrame, int, str], None]
 ) -> DataStreamWriter:
-    """A stream writer that hands every batch with rows, cached, to `write`.
+    """A stream writer that hands every batch with rows, cached, to `write` with its number and
+    the id of its stream.
 
     Uncached, each use of a batch would read its source again and step its state again.
     """
@@ -98,66 +126,123 @@ def each_batch(
         batch.persist()
         try:
             if not batch.isEmpty():
-                write(batch, batch_id)
+                write(batch, batch_id, stream_id(batch.sparkSession, checkpoint))
         finally:
             batch.unpersist()
 
     return rows.writeStream.foreachBatch(step)
 
 
-def write_counters(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Store what a batch adds to the live counters as its own partition."""
+def write_counters(batch: DataFrame, batch_id: int, path: str, query_id: str) -> None:
+    """Store what a batch adds to the live counters as its own partition.
+
+    Counters count messages as they arrive: a redelivered one counts again, as it does in the
+    stream's row counts. The warehouse and the tables made from it hold each payment once.
+    """
     tagged = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    deltas = counter_deltas(tagged).select("metric", "key", "value", "batch_id")
-    write_partitions(deltas, path, "batch_id")
+    deltas = counter_deltas(tagged).select("metric", "key", "value")
+    stored = deltas.withColumn("written_at", F.current_timestamp())
+    write_partitions(with_batch(stored, batch_id, query_id), path, *BATCH_KEYS)
 
 
 def read_counters(
     spark: SparkSession, deltas_path: str, baseline_path: str | None = None
 ) -> DataFrame:
-    """Counter rows: the newest baseline plus the deltas after it; empty before the first batch."""
-    deltas = read_if_present(spark, deltas_path, COUNTER_SCHEMA)
+    """Counter rows: the newest baseline plus the deltas after it; empty before the first batch.
+
+    `batch_id` orders batches of all streams by the time they were written; rows of a
+    baseline have none.
+    """
+    deltas = read_if_present(spark, deltas_path, STORED_COUNTERS)
     if deltas is None:
-        deltas = spark.createDataFrame([], COUNTER_SCHEMA)
-    upto = _newest_baseline(spark, baseline_path)
-    if upto is None:
-        return deltas
-    folded = (
-        spark.read.parquet(baseline_path)
-        .where(F.col("upto") == upto)
-        .select("metric", "key", "value", F.col("upto").cast("bigint").alias("batch_id"))
+        deltas = spark.createDataFrame([], STORED_COUNTERS)
+    folded, upto = _newest_baseline(spark, baseline_path)
+    if folded is not None:
+        deltas = deltas.join(upto, "query_id", "left").where(
+            F.col("upto").isNull() | (F.col("batch_id") > F.col("upto"))
+        )
+    live = deltas.select(
+        "metric", "key", "value", F.unix_micros("written_at").alias("batch_id")
     )
-    return deltas.where(F.col("batch_id") > upto).unionByName(folded)
+    if folded is None:
+        return live
+    return live.unionByName(folded.withColumn("batch_id", F.lit(None).cast("bigint")))
 
 
-def _newest_baseline(spark: SparkSession, path: str | None) -> int | None:
+def _newest_baseline(
+    spark: SparkSession, path: str | None
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Sums (metric, key, value) of the newest baseline, and per stream the last batch in it."""
     table = read_if_present(spark, path) if path else None
-    return None if table is None else table.agg(F.max("upto")).first()[0]
+    if table is None:
+        return None, None
+    newest = table.where(F.col("version") == table.agg(F.max("version")).first()[0])
+    sums = newest.where(F.col("metric") != UPTO).select("metric", "key", "value")
+    upto = newest.where(F.col("metric") == UPTO).select(
+        F.col("key").alias("query_id"), F.col("value").cast("bigint").alias("upto")
+    )
+    return sums, upto
 
 
 def fold_counters(
     spark: SparkSession, deltas_path: str, baseline_path: str, keep: int = WINDOW_BATCHES
 ) -> None:
-    """Sum all but the newest `keep` batches into one baseline, so that readers skip their deltas.
+    """Sum all but the newest `keep` batches of each stream into one baseline, so that readers
+    skip their deltas.
 
-    The kept batches serve the batch-size window. Each baseline is a partition of its own and
-    readers take the newest, so a run that dies half-way loses or doubles no count.
+    The kept batches serve the batch-size window. Each baseline is a partition of its own, holds
+    everything, and readers take the newest, so a run that stops half-way loses or
+    doubles no count. Deltas go one run after they were folded, when no reader needs them.
     """
-    live = read_counters(spark, deltas_path, baseline_path)
-    newest = newest_batches(batch_sizes_from(live), keep + 1).agg(
-        F.count("batch_id").alias("n"), F.min("batch_id").alias("upto")
+    deltas = read_if_present(spark, deltas_path, STORED_COUNTERS)
+    if deltas is None:
+        return
+    folded, upto = _newest_baseline(spark, baseline_path)
+    if upto is not None:
+        _drop_folded(spark, deltas, upto, deltas_path)
+        deltas = spark.read.schema(STORED_COUNTERS).parquet(deltas_path).join(upto, "query_id", "left").where(
+            F.col("upto").isNull() | (F.col("batch_id") > F.col("upto"))
+        ).drop("upto")
+    newest = W.partitionBy("query_id").orderBy(F.desc("batch_id"))
+    ends = (
+        deltas.select(*BATCH_KEYS)
+        .distinct()
+        .withColumn("rank", F.row_number().over(newest))
+        .where(F.col("rank") == keep + 1)
+        .select("query_id", F.col("batch_id").alias("end"))
     )
-    n, upto = newest.first()
-    done = _newest_baseline(spark, baseline_path)
-    if n <= keep or (done is not None and upto <= done):
+    if ends.isEmpty():
         return
-    folded = (
-        live.where(F.col("batch_id") <= upto)
-        .groupBy("metric", "key")
-        .agg(F.sum("value").cast(COUNTER_VALUE).alias("value"))
-        .withColumn("upto", F.lit(upto).cast("bigint"))
+    old = deltas.join(ends, "query_id").where(F.col("batch_id") <= F.col("end"))
+    sums = old.select("metric", "key", "value")
+    lasts = ends.select("query_id", F.col("end").alias("upto"))
+    if folded is not None:
+        sums = sums.unionByName(folded)
+        lasts = lasts.unionByName(upto)
+    sums = sums.groupBy("metric", "key").agg(F.sum("value").cast(COUNTER_VALUE).alias("value"))
+    ended = lasts.groupBy("query_id").agg(F.max("upto").alias("upto"))
+    rows = sums.unionByName(
+        ended.select(
+            F.lit(UPTO).alias("metric"),
+            F.col("query_id").alias("key"),
+            F.col("upto").cast(COUNTER_VALUE).alias("value"),
+        )
     )
-    write_partitions(folded, baseline_path, "upto")
+    # a version is the number of folds, the same when a stopped run is done again
+    done = read_if_present(spark, baseline_path)
+    version = 0 if done is None else done.agg(F.max("version")).first()[0] + 1
+    write_partitions(
+        rows.withColumn("version", F.lit(version).cast("bigint")), baseline_path, "version"
+    )
+
+
+def _drop_folded(
+    spark: SparkSession, deltas: DataFrame, upto: DataFrame, deltas_path: str
+) -> None:
+    """Remove the folders of batches that the newest baseline holds."""
+    gone = deltas.join(upto, "query_id").where(F.col("batch_id") <= F.col("upto"))
+    for row in gone.select(*BATCH_KEYS).distinct().toLocalIterator():
+        delete(spark, f"{deltas_path}/query_id={row.query_id}/batch_id={row.batch_id}")
 
 
 @dataclass(frozen=True)
@@ -170,13 +255,15 @@ class Targets:
     bronze: str | None = None
 
 
-def fan_out(batch: DataFrame, batch_id: int, targets: Targets) -> None:
+def fan_out(
+    batch: DataFrame, batch_id: int, targets: Targets, query_id: str, score: Score = rule
+) -> None:
     """Write one batch of raw messages to all sinks: read, parsed and checked once.
 
-    A batch without rows writes nothing. All sinks see the same ingestion time. The row counts
-    that are logged come from the one pass that fills the cache.
+    A batch without rows writes nothing. All sinks see the same ingestion time. `score` adds
+    fraud_score and raises is_fraud, by the rules or by a model. The row counts that
+    are logged come from the one pass that fills the cache.
     """
-    number = F.lit(batch_id).cast("bigint")
     checked = (
         with_reject_reason(parse_transactions(batch, "value"))
         .withColumn("ingested_at", F.current_timestamp())
@@ -187,13 +274,16 @@ def fan_out(batch: DataFrame, batch_id: int, targets: Targets) -> None:
         if not read:
             return
         if targets.bronze:
-            raw = checked.select("value", "ingested_at", number.alias("batch_id"))
-            write_partitions(raw, targets.bronze, "batch_id")
-        good = typed_for_storage(score(fill_amount(accepted(checked).drop("value"))))
-        append_new_payments(good, batch_id, targets.warehouse)
-        write_counters(good, batch_id, targets.counters)
-        broken = rejected(checked).select("value", REJECT, number.alias("batch_id"))
-        write_partitions(broken, targets.quarantine, "batch_id")
-        log.info("batch %s: %s messages, %s rejected", batch_id, read, bad)
+            raw = with_batch(checked.select("value", "ingested_at"), batch_id, query_id)
+            write_partitions(raw, targets.bronze, *BATCH_KEYS)
+        good = typed_for_storage(score(fill_amount(accepted(checked).drop("value")))).persist()
+        try:
+            append_new_payments(good, batch_id, targets.warehouse, query_id)
+            write_counters(good, batch_id, targets.counters, query_id)
+        finally:
+            good.unpersist()
+        broken = with_batch(rejected(checked).select("value", REJECT), batch_id, query_id)
+        write_partitions(broken, targets.quarantine, *BATCH_KEYS)
+        log.info("batch %s of %s: %s messages, %s rejected", batch_id, query_id, read, bad)
     finally:
         checked.unpersist()

@@ -41,10 +41,32 @@ def source_methods():
     return ["wallet", "debit_card", "credit_card", "bank_transfer", "cash_at_agent"]
 
 
-def test_columns_that_are_no_categories_are_refused(rows):
-    ids = rows.withColumn("governorate", F.concat("governorate", "transaction_id"))
-    with pytest.raises(ValueError):
-        model.category_labels(ids.unionByName(ids.withColumn("governorate", F.concat("governorate", F.lit("x")))))
+def test_columns_of_many_values_are_encoded(spark):
+    many = spark.range(5000).select(
+        F.format_string("m%05d", "id").alias("service_type"),
+        F.lit("Giza").alias("governorate"),
+        F.lit(None).cast("string").alias("payment_method"),
+    )
+    got = model.encode_labels(many).agg(F.sum("service_enc"), F.max("service_enc"), F.max("gov_enc"), F.max("payment_enc"))
+    assert tuple(got.first()) == (5000 * 4999 / 2, 4999.0, 0.0, 0.0)
+
+
+def test_quantiles_are_exact(spark):
+    import math
+
+    amounts = [float(i * i % 37) for i in range(250)]
+    rows = spark.createDataFrame([("gas", a) for a in amounts], "service_type string, amount_egp double")
+    (row,) = model.amount_quantiles(rows).collect()
+    ordered = sorted(amounts)
+    assert row.quantiles == [ordered[max(1, math.ceil(q * 250 / 100)) - 1] for q in range(101)]
+
+
+def test_model_does_not_depend_on_the_files(rows):
+    def trees(parts):
+        fit = model.fit_model(rows.repartition(parts), partitions=4)
+        return fit.pipeline.stages[-1].toDebugString.splitlines()[1:]
+
+    assert trees(2) == trees(8)
 
 
 def test_amount_is_placed_among_the_quantiles_of_its_service(spark):

@@ -4,10 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_point
 from check_queries import compare, connect
+from tallybrook.plans import oracles, registry
 
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
-WITHOUT_SQL = {"train_fraud_model", "ml_fraud_score"}
+QUERIES = registry.QUERIES
+SQL = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,12 +20,13 @@ def test_query_equals_its_sql(spark, connection, sf_dir, name, monkeypatch):
     from tallybrook.operators import model
 
     monkeypatch.setattr(model, "TREES", 5)
-    verdict = compare(spark, connection, sf_dir, name, QUERIES[name], SQL.get(name))
-    assert verdict.startswith("rows only" if name in WITHOUT_SQL else "match"), verdict
+    verdict = compare(spark, connection, sf_dir, name, QUERIES[name], SQL[name])
+    assert verdict.startswith("match"), verdict
 
 
-def test_only_model_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == WITHOUT_SQL and set(SQL) <= set(QUERIES)
+def test_every_query_has_its_sql_and_is_an_entry():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
 
 
 def test_entry_returns_rows(spark):

@@ -1,51 +1,57 @@
 from __future__ import annotations
 
-import itertools
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
 from tallybrook.functions.features import amount_ratio, odd_hour
 from tallybrook.functions.scoring import fraud_flag, rule_score
 from tallybrook.operators.parse import score
-from tallybrook.schema import PAYMENT_METHODS, SERVICE_TYPES
 from tallybrook.sources.payments import payments
 
 from .conftest import plan_of
 
-AMOUNTS = [
-    None, -5.0, 0.0, 2000.0, 2000.01, 3000.0, 3000.01, 5000.0, 5000.01, 8000.0, 8000.01,
-    15000.0, 15000.01, 50000.0, float("nan"),
-]
 SCHEMA = "amount_egp double, service_type string, payment_method string, status string"
 
-
-def expected(amount, service, method, status):
-    """The rules written out for one row."""
-    if amount is None or math.isnan(amount):
-        return 0.0
-    points = next((p for limit, p in ((15000, 0.6), (8000, 0.3), (3000, 0.1)) if amount > limit), 0)
-    points += 0.15 * (method == "credit_card" and amount > 5000)
-    points += 0.1 * (status == "failed" and amount > 2000)
-    if service in {"university_fees", "credit_card_payment"}:
-        points = max(points - 0.1, 0)
-    return round(min(points, 1), 4)
-
-
-def test_rule_score_on_boundary_grid(spark):
-    grid = list(
-        itertools.product(
-            AMOUNTS,
-            [*SERVICE_TYPES, None],
-            [*PAYMENT_METHODS, None],
-            ["success", "failed", "pending", None],
-        )
-    )
-    rows = spark.createDataFrame(grid, SCHEMA).withColumn("s", rule_score()).collect()
-    assert len(rows) == len(grid)
-    for row in rows:
-        assert row.s == pytest.approx(expected(*row[:4]), abs=1e-12), row
+# worked out by hand: amount, service, method, status, score
+CASES = [
+    (None, "gas_bill", "credit_card", "failed", 0.0),
+    (float("nan"), "gas_bill", "credit_card", "failed", 0.0),
+    (-5.0, "gas_bill", "credit_card", "failed", 0.0),
+    (0.0, "gas_bill", "wallet", "success", 0.0),
+    (2000.0, "gas_bill", "wallet", "failed", 0.0),
+    (2000.01, "gas_bill", "wallet", "failed", 0.1),
+    (2000.01, "gas_bill", "wallet", "pending", 0.0),
+    (3000.0, "gas_bill", "wallet", "success", 0.0),
+    (3000.01, "gas_bill", "wallet", "success", 0.1),
+    (3000.01, "gas_bill", "wallet", "failed", 0.2),
+    (5000.0, "gas_bill", "credit_card", "success", 0.1),
+    (5000.01, "gas_bill", "credit_card", "success", 0.25),
+    (5000.01, "gas_bill", "debit_card", "success", 0.1),
+    (5000.01, "gas_bill", "credit_card", "failed", 0.35),
+    (8000.0, "gas_bill", "wallet", "success", 0.1),
+    (8000.01, "gas_bill", "wallet", "success", 0.3),
+    (8000.01, "gas_bill", "credit_card", "failed", 0.55),
+    (15000.0, "gas_bill", "wallet", "success", 0.3),
+    (15000.01, "gas_bill", "wallet", "success", 0.6),
+    (15000.01, "gas_bill", "credit_card", "success", 0.75),
+    (15000.01, "gas_bill", "wallet", "failed", 0.7),
+    (50000.0, "gas_bill", "credit_card", "failed", 0.85),
+    (100.0, "university_fees", "wallet", "success", 0.0),
+    (3000.01, "university_fees", "wallet", "success", 0.0),
+    (3000.01, "credit_card_payment", "wallet", "failed", 0.1),
+    (8000.01, "credit_card_payment", "wallet", "success", 0.2),
+    (15000.01, "university_fees", "wallet", "success", 0.5),
+    (15000.01, "credit_card_payment", "credit_card", "failed", 0.75),
+    (15000.01, None, None, None, 0.6),
+    (15000.01, "new service", "barter", "unheard of", 0.6),
+    (5000.01, None, "credit_card", None, 0.25),
+]
+
+
+def test_rule_score_of_cases_worked_out_by_hand(spark):
+    rows = spark.createDataFrame(CASES, f"{SCHEMA}, want double")
+    for row in rows.withColumn("s", rule_score()).collect():
+        assert row.s == pytest.approx(row.want, abs=1e-12), row
 
 
 def test_score_at_threshold_is_flagged(spark):

@@ -3,18 +3,32 @@ from __future__ import annotations
 import json
 import os
 import time
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.operators import counters
-from tallybrook.operators.parse import parse_transactions
-from tallybrook.operators.quality import silver, with_reject_reason
+from tallybrook.operators import counters, model
+from tallybrook.operators.parse import enrich, fill_amount, parse_transactions
+from tallybrook.operators.quality import (
+    accepted,
+    silver,
+    typed_for_storage,
+    with_reject_reason,
+)
 from tallybrook.operators.summaries import MEASURES, governorate_daily_summary
+from tallybrook.operators.upsert import read_if_present
+from tallybrook.plans.registry import QUERIES
 from tallybrook.sources import payments as source
 from tallybrook.sources.tables import message_stream, table_stream
 from tallybrook.streaming import queries as streams
-from tallybrook.streaming.sinks import Targets, fan_out, read_counters
+from tallybrook.streaming.sinks import (
+    Targets,
+    append_new_payments,
+    fan_out,
+    known_ids,
+    read_counters,
+)
 
 
 def message(number, time_text, **changed):
@@ -53,7 +67,7 @@ class Feed:
 
     def open(self):
         options = {"path": self.path, "maxFilesPerTrigger": "1"}
-        return message_stream(self.spark, "text", options)
+        return message_stream(streams.stream_session(self.spark, 4), "text", options)
 
 
 @pytest.fixture
@@ -84,7 +98,7 @@ def test_stream_equals_batch_over_several_batches(spark, feed, sf_dir, targets,
     query = streams.fan_out_sink(feed.open(), targets, f"{folder}/check", None)
     streams.finish(query)
     whole = silver(parse_transactions(messages))
-    columns = [c for c in whole.columns if c not in ("ingested_at", "is_fraud")]
+    columns = [c for c in whole.columns if c not in ("ingested_at", "is_fraud", "source_flag")]
     stored = spark.read.parquet(targets.warehouse)
     assert rows_of(stored.select(columns)) == rows_of(whole.select(columns))
     assert stored.select("batch_id").distinct().count() == 4
@@ -104,15 +118,15 @@ def test_replayed_batch_changes_nothing(spark, sf_dir, targets):
         stored = spark.read.parquet(targets.warehouse).drop("ingested_at")
         return (
             rows_of(stored.select(sorted(stored.columns))),
-            rows_of(read_counters(spark, targets.counters)),
+            rows_of(read_counters(spark, targets.counters).drop("batch_id")),
             spark.read.parquet(targets.quarantine).count(),
         )
 
     for number in (0, 1):
-        fan_out(batch, number, targets)
+        fan_out(batch, number, targets, "q")
     before = state()
     for number in (1, 0):
-        fan_out(batch, number, targets)
+        fan_out(batch, number, targets, "q")
     assert state() == before
     ids = spark.read.parquet(targets.warehouse).select("transaction_id")
     assert ids.count() == ids.distinct().count()
@@ -128,8 +142,81 @@ def test_restart_from_checkpoint_loses_and_repeats_nothing(spark, feed, targets,
     assert kpis.total_transactions == 6 and kpis.avg_rows_per_batch == 2.0
 
 
+def test_same_batch_number_from_two_checkpoints(spark, feed, folder):
+    """Different messages as batch 0 of two streams: all of them are in every sink."""
+    targets = Targets(*[f"{folder}/{n}" for n in ("dw", "counters", "bad", "bronze")])
+    feed.add(*[message(n, "2024-01-01T10:00:00") for n in range(10)], "junk")
+    streams.finish(streams.fan_out_sink(feed.open(), targets, f"{folder}/c1", None))
+    other = Feed(spark, f"{folder}/other")
+    other.add(*[message(n, "2024-01-01T10:00:00") for n in range(20, 25)], "more junk")
+    streams.finish(streams.fan_out_sink(other.open(), targets, f"{folder}/c2", None))
+    assert spark.read.parquet(targets.warehouse).count() == 15
+    assert spark.read.parquet(targets.bronze).count() == 17
+    assert spark.read.parquet(targets.quarantine).count() == 2
+    kpis = counters.live_kpis(read_counters(spark, targets.counters)).first()
+    assert kpis.total_transactions == 15 and kpis.avg_rows_per_batch == 7.5
+
+
+def test_counters_count_redeliveries_and_the_warehouse_does_not(spark, feed, targets, folder):
+    feed.add(message(1, "2024-01-01T10:00:00"), message(2, "2024-01-01T10:00:01"))
+    feed.add(message(1, "2024-01-01T10:00:00"), message(3, "2024-01-01T10:30:00"))
+    streams.finish(streams.fan_out_sink(feed.open(), targets, f"{folder}/check", None))
+    assert spark.read.parquet(targets.warehouse).count() == 3
+    kpis = counters.live_kpis(read_counters(spark, targets.counters)).first()
+    assert kpis.total_transactions == 4
+
+
+def test_ids_read_per_batch_do_not_grow_over_a_day(spark, folder):
+    """20 batches of one day, an hour apart: each is compared with its neighbours alone."""
+    path, read = f"{folder}/dw", []
+    for number in range(20):
+        rows = spark.createDataFrame(
+            [(message(number * 50 + n, f"2024-01-01T{number:02d}:{n:02d}:00"),) for n in range(50)], "value string"
+        )
+        good = typed_for_storage(enrich(accepted(with_reject_reason(parse_transactions(rows)))))
+        table = read_if_present(spark, path)
+        if table is not None:
+            read.append(known_ids(table, good, number, "q").count())
+        append_new_payments(good, number, path, "q")
+    assert spark.read.parquet(path).count() == 1000
+    assert max(read) == read[0] <= 50
+
+
+def test_session_settings_stay_as_they_were(spark, sf_dir):
+    names = [streams.PARTITIONS, streams.STATE_STORE, streams.SAVE_CHANGES]
+    before = [spark.conf.get(n, None) for n in names]
+    own = streams.stream_session(spark, 3)
+    assert own.conf.get(streams.PARTITIONS) == "3" and own.conf.get(streams.STATE_STORE) == streams.ROCKSDB
+    QUERIES["stream_dedup"](spark, sf_dir).count()
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_model_scores_inside_the_stream(spark, feed, sf_dir, targets, folder, monkeypatch):
+    monkeypatch.setattr(model, "TREES", 3)
+    fitted = model.fit_model(source.payments(spark, sf_dir))
+    messages = fill(spark, feed, sf_dir)
+    score = partial(model.score_with_model, model=fitted)
+    streams.finish(streams.fan_out_sink(feed.open(), targets, f"{folder}/check", None, score))
+    whole = score(fill_amount(accepted(with_reject_reason(parse_transactions(messages)))))
+    want = whole.withColumn("ingested_at", F.current_timestamp()).transform(typed_for_storage)
+    columns = ["transaction_id", "fraud_score", "is_fraud"]
+    got = spark.read.parquet(targets.warehouse).select(columns)
+    assert rows_of(got.fillna(False)) == rows_of(want.select(columns).fillna(False))
+
+
+def test_registered_streams_run_several_batches(spark, sf_dir, folder):
+    path = source.events_by_time(spark, sf_dir, f"{folder}/events", 4)
+    events = table_stream(streams.stream_session(spark, 4), path, source.EVENTS_SCHEMA, maxFilesPerTrigger="1")
+    rows = source.to_payments(events)
+    query = streams.lake_sink(rows, f"{folder}/table", f"{folder}/check", None)
+    assert streams.finish(query) == 0 and streams.batch_count(query) == 4
+    spans = spark.read.parquet(f"{folder}/table").groupBy("batch_id").agg(F.min("event_time"), F.max("event_time"))
+    spans = sorted(map(tuple, spans.collect()))
+    assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+
+
 def test_empty_batch_writes_nothing(spark, targets):
-    fan_out(spark.createDataFrame([], "value string"), 3, targets)
+    fan_out(spark.createDataFrame([], "value string"), 3, targets, "q")
     assert not any(os.path.exists(p) for p in (targets.warehouse, targets.counters))
 
 
@@ -149,10 +236,10 @@ def test_lake_and_counter_and_warehouse_sinks_alone(spark, feed, folder):
     assert kpis.total_transactions == 4
 
 
-def dedup_ids(spark, feed, folder, delay):
-    streams.use_large_state(spark)
+def dedup_ids(spark, feed, folder, delay, late=0):
     once = streams.dedup_stream(streams.clean_stream(feed.open()), delay)
-    streams.finish(streams.lake_sink(once, f"{folder}/once", f"{folder}/check", None))
+    query = streams.lake_sink(once, f"{folder}/once", f"{folder}/check", None)
+    assert streams.finish(query) == late and streams.batch_count(query) == feed.count
     landed = spark.read.parquet(f"{folder}/once").select("transaction_id").collect()
     return sorted(row[0] for row in landed)
 
@@ -176,7 +263,7 @@ def test_rows_older_than_the_watermark_are_dropped(spark, feed, folder):
     feed.add(message(2, "2024-01-01T15:00:00"))
     feed.add(message(3, "2024-01-01T15:01:00"))
     feed.add(message(4, "2024-01-01T09:00:00"), message(5, "2024-01-01T14:30:00"))
-    assert dedup_ids(spark, feed, folder, "1 hour") == ["t1", "t2", "t3", "t5"]
+    assert dedup_ids(spark, feed, folder, "1 hour", late=1) == ["t1", "t2", "t3", "t5"]
 
 
 def test_daily_totals_are_updated_batch_by_batch(spark, feed, folder):

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.operators import summaries
+from tallybrook import session
+from tallybrook.operators import splitting, summaries
+from tallybrook.operators import upsert as upsert_module
 from tallybrook.operators.parse import parse_transactions, score
 from tallybrook.operators.quality import silver
 from tallybrook.operators.upsert import (
@@ -40,6 +44,54 @@ def test_upsert_sets_null_from_the_source(spark):
     assert rows_of(upsert(target, new, ["k"], ["n"])) == [("a", None)]
 
 
+def test_null_is_a_key_like_any_other(spark, folder):
+    schema = "k string, n int, d date"
+    old = spark.createDataFrame([(None, 5, DAY), ("a", 1, DAY), (None, 9, None)], schema)
+    new = spark.createDataFrame([(None, 7, DAY)], schema)
+    want = [("a", 1, DAY), (None, 7, DAY), (None, 9, None)]
+    got = upsert(old, new, ["d", "k"], ["n"]).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    for part in (old, new, new):
+        upsert_partitions(spark, f"{folder}/t", f"{folder}/s", part, ["d", "k"], ["n"], "d")
+    got = spark.read.parquet(f"{folder}/t").select("k", "n", "d").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_upsert_stopped_between_removing_and_writing_loses_nothing(spark, folder, monkeypatch):
+    path, staging = f"{folder}/t", f"{folder}/staging"
+    schema = "k string, n int, d date"
+
+    def put(*rows):
+        frame = spark.createDataFrame([(k, n, DAY) for k, n in rows], schema)
+        upsert_partitions(spark, path, staging, frame, ["d", "k"], ["n"], "d")
+
+    put(("a", 1), ("b", 2))
+
+    def stop(rows, place, *partition_by):
+        session.delete(spark, f"{place}/d={DAY}")
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(upsert_module, "write_partitions", stop)
+        with pytest.raises(RuntimeError):
+            put(("a", 5))
+    put(("a", 5))
+    assert rows_of(spark.read.parquet(path).select("k", "n")) == [("a", 5), ("b", 2)]
+    # also when other rows come next, and when the stop was before the staged copy was complete
+    with monkeypatch.context() as broken:
+        broken.setattr(upsert_module, "write_partitions", stop)
+        with pytest.raises(RuntimeError):
+            put(("b", 6))
+    put(("c", 7))
+    with monkeypatch.context() as broken:
+        broken.setattr(upsert_module, "mark", stop)
+        with pytest.raises(RuntimeError):
+            put(("c", 8))
+    put(("d", 9))
+    assert rows_of(spark.read.parquet(path).select("k", "n")) == [("a", 5), ("b", 6), ("c", 7), ("d", 9)]
+    assert not os.path.exists(staging)
+
+
 def test_upsert_into_partitions_twice(spark, folder):
     path, staging = f"{folder}/t", f"{folder}/staging"
     schema = "k string, n int, d date"
@@ -88,8 +140,69 @@ def test_history_is_newest_first_and_unambiguous(spark):
     assert got == [(29, "a"), (29, "b"), (29, "c"), (28, "a")]
 
 
-def lake_at(folder):
-    return jobs.Lake(*[f"{folder}/{n}" for n in ("bronze", "silver", "quarantine", "gold", "staging", "check")])
+lake_at = jobs.lake_at
+
+
+def delivery(spark, rows, at="2024-03-01"):
+    """Messages of (id, event time, changed fields), come in at a time."""
+    fields = {"status": "success", "governorate": "Giza", "merchant_id": "m", "service_type": "gas_bill", "amount_egp": 10.0}
+    texts = [json.dumps({"transaction_id": i, "event_time": time, **fields, **changed}) for i, time, changed in rows]
+    frame = spark.createDataFrame([(t,) for t in texts], "value string")
+    return frame.select(F.col("value").cast("binary").alias("value"), F.lit(at).cast("timestamp").alias("ingested_at"))
+
+
+def test_one_row_per_id_over_all_dates(spark, folder):
+    lake = lake_at(folder)
+
+    def state():
+        clean = spark.read.parquet(lake.silver)
+        totals = spark.read.parquet(f"{lake.gold}/{jobs.GOVERNORATE_TABLE}")
+        return (
+            rows_of(clean.select("transaction_id", F.col("event_date").cast("string"))),
+            rows_of(totals.select(F.col("summary_date").cast("string"), "total_transactions")),
+        )
+
+    def take(number, *rows):
+        touched = jobs.refresh_silver(delivery(spark, [(*r, {}) for r in rows]), number, lake)
+        jobs._summarise(spark, lake, touched)
+
+    take(0, ("t1", "2024-01-01T10:00:00"), ("t2", "2024-01-02T10:00:00"))
+    take(1, ("t1", "2024-01-02T10:00:00"))  # again, under a later date: the earlier one stays
+    assert state() == ([("t1", "2024-01-01"), ("t2", "2024-01-02")], [("2024-01-01", 1), ("2024-01-02", 1)])
+    take(2, ("t2", "2024-01-01T09:00:00"))  # an earlier one: its old date is left empty
+    for _ in range(2):
+        assert state() == ([("t1", "2024-01-01"), ("t2", "2024-01-01")], [("2024-01-01", 2)])
+        take(2, ("t2", "2024-01-01T09:00:00"))
+
+
+def test_the_time_of_ingestion_and_the_source_flag_are_kept(spark, folder):
+    lake = lake_at(folder)
+    rows = [
+        ("t1", "2024-01-01T10:00:00", {"amount_egp": 20000.0, "is_fraud": False}),
+        ("t2", "2024-01-01T10:00:00", {"is_fraud": True}),
+        ("t3", "2024-01-01T10:00:00", {"amount_egp": 1.0}),
+    ]
+    jobs.refresh_silver(delivery(spark, rows, "2024-03-05 06:07:08"), 0, lake)
+    clean = spark.read.parquet(lake.silver)
+    assert [r[0] for r in clean.select("ingested_at").distinct().collect()] == [dt.datetime(2024, 3, 5, 6, 7, 8)]
+    flags = {r.transaction_id: (r.is_fraud, r.source_flag) for r in clean.collect()}
+    assert flags == {"t1": (True, False), "t2": (True, True), "t3": (False, None)}
+    profile = splitting.label_profile(jobs.source_labels(clean).where("is_fraud IS NOT NULL"), "is_fraud").first()
+    assert (profile.n_rows, profile.label_mean) == (2, 0.5)
+
+
+def test_training_takes_the_source_label(spark, sf_dir, folder):
+    lake = lake_at(folder)
+    messages = source.wire_messages(spark, sf_dir).withColumn("ingested_at", F.current_timestamp())
+    jobs.refresh_silver(messages, 0, lake)
+    clean = spark.read.parquet(lake.silver)
+    own = source.payments(spark, sf_dir).join(clean.select("transaction_id"), "transaction_id", "left_semi")
+    labels = [
+        splitting.label_profile(rows.where("is_fraud IS NOT NULL"), "is_fraud").first()
+        for rows in (own, jobs.source_labels(clean))
+    ]
+    assert labels[0] == labels[1]
+    assert clean.where("is_fraud <> source_flag").count() > 0
 
 
 def test_daily_jobs_take_in_late_rows_and_can_be_repeated(spark, sf_dir, folder):
@@ -123,9 +236,9 @@ def test_daily_jobs_take_in_late_rows_and_can_be_repeated(spark, sf_dir, folder)
 def test_repeated_step_changes_nothing(spark, sf_dir, folder):
     lake = lake_at(folder)
     messages = source.wire_messages(spark, sf_dir)
-    first = jobs.refresh_silver(messages, 0, lake)
+    first = rows_of(jobs.refresh_silver(messages, 0, lake))
     before = rows_of(spark.read.parquet(lake.silver).drop("ingested_at"))
-    assert jobs.refresh_silver(messages, 0, lake) == first
+    assert rows_of(jobs.refresh_silver(messages, 0, lake)) == first
     assert rows_of(spark.read.parquet(lake.silver).drop("ingested_at")) == before
     assert spark.read.parquet(lake.quarantine).count() == 5 - 1
 
