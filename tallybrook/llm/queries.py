@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import bpe, kneserney, langid, mixing, quality, sharding, simhash, urls, winnowing, wrappers
+from tallybrook.llm import (
+    bpe,
+    kneserney,
+    langid,
+    mixing,
+    oracles,
+    quality,
+    sharding,
+    simhash,
+    urls,
+    winnowing,
+    wrappers,
+)
 from tallybrook.llm.common import table
 
 #: Which urls are allowed or blocked, by host and start of the path.
@@ -24,39 +36,8 @@ LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets"
 
 TOKENIZER = "word_bpe_49k.json"
 
-#: Text queries that SQL can express on whole tables, by query name.
-ORACLES: dict[str, str] = {
-    "op6_urls": r"""
-WITH parts AS (
-  SELECT page_id, url,
-         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
-  FROM pages
-),
-judged AS (
-  SELECT page_id, host, path,
-         regexp_matches(host, '(^|\.)example\.org$') AS example,
-         regexp_matches(host, '(^|\.)org$') AS org,
-         regexp_matches(host, '(^|\.)com$') AS com,
-         regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)(\.|$)')
-           AS listed
-  FROM parts
-),
-ruled AS (
-  SELECT *, CASE WHEN example AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-                 WHEN example AND starts_with(path, '/es/') THEN 'example.org/es/'
-                 WHEN org AND starts_with(path, '/') THEN 'org/'
-                 WHEN com AND starts_with(path, '/fr/') THEN 'com/fr/'
-                 WHEN com AND starts_with(path, '/de/') THEN 'com/de/' END AS rule
-  FROM judged
-)
-SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
-            WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled
-""",
-}
+#: Queries that SQL can express on whole tables; the others are tested against brute force.
+ORACLES: dict[str, str] = oracles.ORACLES
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
