@@ -234,7 +234,8 @@ counted AS (
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT)
            AS n_symbols,
          list_filter(string_split(text, chr(10)),
-                     lambda l: regexp_matches(l, '[^ 	-]')) AS lines,
+                     lambda l: regexp_matches(l, '[^ 	-
+]')) AS lines,
          COALESCE(r.n, 0) AS n_repeat_words,
          length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_capitals
   FROM docs d LEFT JOIN repeats r ON d.doc_id = r.doc_id
@@ -255,9 +256,9 @@ shares AS (
 ),
 pools AS (
   SELECT lang, source,
-         CASE WHEN n >= 60 THEN to_json([lang, source])
+         CASE WHEN n >= 60 THEN CAST(to_json([lang, source]) AS VARCHAR)
               WHEN SUM(CASE WHEN n < 60 THEN n ELSE 0 END) OVER (PARTITION BY lang) >= 60
-              THEN to_json([lang]) ELSE 'all' END AS pool
+              THEN CAST(to_json([lang]) AS VARCHAR) ELSE 'all' END AS pool
   FROM (SELECT lang, source, COUNT(*) AS n FROM documents GROUP BY lang, source) b
 ),
 vectors AS MATERIALIZED (
