@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.operators.running import running_totals
+from tallybrook.operators.running import data_bucket, running_totals
 
-SCORE_PIECES = 1000
 
 
 def confusion_matrix(rows: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -59,7 +58,7 @@ def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     by_score = rows.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
-    piece = F.floor(F.col("score") * SCORE_PIECES)
+    piece = data_bucket(by_score, "score")
     ranked = running_totals(by_score, {"neg_below": "neg"}, order="score", bucket=piece)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     wins = F.sum(pos * (F.col("neg_below") + neg * 0.5))

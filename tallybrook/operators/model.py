@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallybrook.functions.features import amount_ratio, hour_of_day, odd_hour
 from tallybrook.functions.scoring import fraud_flag, rule_score
 from tallybrook.operators.ranking import amount_percentile
-from tallybrook.operators.running import log_bucket, running_totals
+from tallybrook.operators.running import data_bucket, running_totals
 from tallybrook.operators.splitting import SEED, class_weights, stratified_split
 from tallybrook.session import work_dir
 
@@ -38,7 +38,7 @@ QUANTILES = 100
 
 #: Partitions that the training rows are dealt to by id. The trees depend on them and on nothing
 #: else of the cluster, so the number is saved with the model.
-PARTITIONS = 32
+PARTITIONS = 16
 
 
 def category_codes(rows: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def amount_quantiles(rows: DataFrame) -> DataFrame:
         sums,
         {"below": "ties"},
         order="amount_egp",
-        bucket=log_bucket("amount_egp"),
+        bucket=data_bucket(sums, "amount_egp"),
         group=["service_type"],
         overall={"size": "ties"},
     )

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.operators.running import log_bucket, running_totals
+from tallybrook.operators.running import data_bucket, running_totals
+from tallybrook.session import work_dir
 
 HOT_SHARE = 10_000
 
@@ -66,10 +67,13 @@ def amount_percentile(rows: DataFrame, service: str = "service_type") -> DataFra
         distinct,
         {"below": "ties"},
         order="amount_egp",
-        bucket=log_bucket("amount_egp"),
+        bucket=data_bucket(distinct, "amount_egp"),
         group=[service],
         overall={"size": "ties"},
     )
     mean_rank = F.col("below") + (F.col("ties") + 1) / F.lit(2.0)
-    ranks = ranks.select(*keys, "ties", (mean_rank / F.col("size")).alias("amount_pct"))
+    # written once: the lookup reads it for its total, its hot and its cold keys
+    path = work_dir(rows.sparkSession, "ranks")
+    ranks.select(*keys, "ties", (mean_rank / F.col("size")).alias("amount_pct")).write.parquet(path)
+    ranks = rows.sparkSession.read.parquet(path)
     return skew_safe_lookup(rows, ranks, keys, "amount_pct", "ties", "transaction_id")

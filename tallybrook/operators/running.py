@@ -63,3 +63,20 @@ def log_bucket(name: str, per_unit: int = 64) -> Column:
     """
     x = F.col(name).cast("double")
     return F.floor(F.signum(x) * F.log1p(F.abs(x)) * per_unit)
+
+
+#: Pieces that the data themselves cut an ordering into.
+DATA_PIECES = 64
+
+
+def data_bucket(rows: DataFrame, name: str) -> Column:
+    """Buckets of a number by its size and by where most of the rows lie.
+
+    `log_bucket` alone would leave a narrow range with very many numbers in one task; inside it
+    approximate quantiles of the rows at hand cut further. The totals do not depend on the cuts.
+    """
+    shares = [i / DATA_PIECES for i in range(1, DATA_PIECES)]
+    cuts = rows.agg(F.percentile_approx(name, shares, 1000)).first()[0] or []
+    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
+    piece = F.size(F.filter(bounds, lambda b: b <= F.col(name)))
+    return log_bucket(name) * (DATA_PIECES + 1) + piece

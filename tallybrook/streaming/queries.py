@@ -20,11 +20,11 @@ from tallybrook.session import cloned
 from tallybrook.streaming.sinks import (
     BATCH_KEYS,
     Score,
+    StreamId,
     Targets,
     append_new_payments,
     each_batch,
     fan_out,
-    stream_id,
     with_batch,
     write_counters,
 )
@@ -125,8 +125,10 @@ def fan_out_sink(
 ) -> StreamingQuery:
     """One query for warehouse, counters and quarantine: messages are read and scored once."""
 
+    stream = StreamId(checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        fan_out(batch, batch_id, targets, stream_id(batch.sparkSession, checkpoint), score)
+        fan_out(batch, batch_id, targets, stream.of(batch.sparkSession), score)
 
     return start(messages.writeStream.foreachBatch(write), checkpoint, interval)
 

@@ -39,12 +39,22 @@ Score = Callable[[DataFrame], DataFrame]
 log = logging.getLogger(__name__)
 
 
-def stream_id(spark: SparkSession, checkpoint: str) -> str:
-    """The id that a stream's checkpoint gives it, the same after every restart.
+class StreamId:
+    """The id that a stream's checkpoint gives it, the same after every restart; read once, with
+    the first batch.
 
     Batches are numbered from 0 again under a new checkpoint, so a number alone names no batch.
     """
-    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+    def __init__(self, checkpoint: str):
+        self.checkpoint = checkpoint
+        self.known: str | None = None
+
+    def of(self, spark: SparkSession) -> str:
+        if self.known is None:
+            saved = spark.read.schema("id string").json(f"{self.checkpoint}/metadata")
+            self.known = saved.first()["id"]
+        return self.known
 
 
 def with_batch(rows: DataFrame, batch_id: int, query_id: str) -> DataFrame:
@@ -122,11 +132,13 @@ def each_batch(
     Uncached, each use of a batch would read its source again and step its state again.
     """
 
+    stream = StreamId(checkpoint)
+
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             if not batch.isEmpty():
-                write(batch, batch_id, stream_id(batch.sparkSession, checkpoint))
+                write(batch, batch_id, stream.of(batch.sparkSession))
         finally:
             batch.unpersist()
 
