@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,13 @@ def day_slice(rows: DataFrame, day: dt.date, time: str = "event_time") -> DataFr
     return rows.where((F.col(time) >= start) & (F.col(time) < end))
 
 
-def last_day(rows: DataFrame, time: str = "event_time") -> dt.date:
-    """Latest calendar day in the rows (one aggregated row comes to the driver)."""
-    return rows.agg(F.to_date(F.max(time))).first()[0]
+def missing_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Successful payments that lack a key of a summary, and which."""
+    names = F.concat_ws(",", *[F.when(F.col(k).isNull(), k) for k in keys])
+    found = successful(rows).select(
+        "transaction_id", names.alias("missing"), F.to_date("event_time").alias("summary_date")
+    )
+    return found.where(F.col("missing") != "")
 
 
 def _measures() -> list:

@@ -32,6 +32,7 @@ from tallybrook.streaming.queries import (
 MERCHANT_TABLE = "merchant_daily_summary"
 GOVERNORATE_TABLE = "governorate_daily_summary"
 SERVICE_TABLE = "service_daily_rollup"
+MISSING_TABLE = "payments_without_summary_key"
 
 TOTALS_DELAY = "1 day"
 CLEAN_STREAM_SCHEMA = (
@@ -154,7 +155,11 @@ def catch_up(spark: SparkSession, lake: Lake) -> None:
 
 def _summarise(spark: SparkSession, lake: Lake, touched: DataFrame) -> dict[str, DataFrame]:
     """Recompute the summaries of the touched event dates in full and replace them; a date that
-    has no payment any more loses its rows."""
+    has no payment any more loses its rows.
+
+    The key columns of the summaries are never NULL: successful payments that lack one are left
+    out of that summary and listed in a table of their own.
+    """
     days = touched.select(F.col("event_date").alias("summary_date"))
     clean = spark.read.parquet(lake.silver)
     rows = clean.join(touched, "event_date", "left_semi")
@@ -166,8 +171,14 @@ def _summarise(spark: SparkSession, lake: Lake, touched: DataFrame) -> dict[str,
         table = read_if_present(spark, path)
         return frame.limit(0) if table is None else touched_partitions(table, days, "summary_date")
 
-    merchants = replace(MERCHANT_TABLE, summaries.merchant_daily_summary(rows))
-    governorates = replace(GOVERNORATE_TABLE, summaries.governorate_daily_summary(rows))
+    merchant_keys, governorate_keys = ["merchant_id", "service_type"], ["governorate"]
+    merchants = replace(
+        MERCHANT_TABLE, summaries.merchant_daily_summary(rows.dropna(subset=merchant_keys))
+    )
+    governorates = replace(
+        GOVERNORATE_TABLE, summaries.governorate_daily_summary(rows.dropna(subset=governorate_keys))
+    )
+    replace(MISSING_TABLE, summaries.missing_keys(rows, [*merchant_keys, *governorate_keys]))
     replace(SERVICE_TABLE, summaries.service_daily_rollup(merchants))
     return {MERCHANT_TABLE: merchants, GOVERNORATE_TABLE: governorates}
 

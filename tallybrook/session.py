@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
+log = logging.getLogger(__name__)
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -45,13 +49,15 @@ def cloned(spark: SparkSession, **conf: str) -> SparkSession:
 
 
 _local_root: str | None = None
+_own_folders: set[str] = set()
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for tables and checkpoints that all executors can reach.
 
-    It lies in the folder the cluster names in spark.checkpoint.dir. Only a local session
-    without that setting gets a folder of its own machine, which goes when the driver ends.
+    It lies in the folder the cluster names in spark.checkpoint.dir, below the application's id.
+    Only a local session without that setting gets a folder of its own machine. What an
+    application leaves there goes when its driver ends.
     """
     global _local_root
     root = spark.conf.get(CHECKPOINT_DIR, None)
@@ -62,7 +68,20 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             _local_root = tempfile.mkdtemp(prefix="tallybrook-")
             atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
         root = _local_root
-    return f"{root.rstrip('/')}/tallybrook/{purpose}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/tallybrook/{spark.sparkContext.applicationId}"
+    if own not in _own_folders:
+        _own_folders.add(own)
+        files, place = _file_system(spark, own)
+        atexit.register(_remove, files, place)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _remove(files, place) -> None:
+    """Remove the application's folder; without a JVM any more, it is left to the store."""
+    try:
+        files.delete(place, True)
+    except (Py4JError, OSError):
+        log.warning("%s is left in the shared folder", place)
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -175,6 +175,24 @@ def test_one_row_per_id_over_all_dates(spark, folder):
         take(2, ("t2", "2024-01-01T09:00:00"))
 
 
+def test_payments_without_a_summary_key_are_listed(spark, folder):
+    lake = lake_at(folder)
+    rows = [
+        ("t1", "2024-01-01T10:00:00", {}),
+        ("t2", "2024-01-01T10:00:00", {"governorate": None}),
+        ("t3", "2024-01-01T10:00:00", {"merchant_id": None, "service_type": None}),
+        ("t4", "2024-01-01T10:00:00", {"governorate": None, "status": "failed"}),
+    ]
+    jobs._summarise(spark, lake, jobs.refresh_silver(delivery(spark, rows), 0, lake))
+    read = {n: spark.read.parquet(f"{lake.gold}/{n}") for n in (jobs.MERCHANT_TABLE, jobs.GOVERNORATE_TABLE, jobs.MISSING_TABLE)}
+    assert [r.total_transactions for r in read[jobs.MERCHANT_TABLE].collect()] == [2]
+    assert [r.total_transactions for r in read[jobs.GOVERNORATE_TABLE].collect()] == [2]
+    assert rows_of(read[jobs.MISSING_TABLE].select("transaction_id", "missing")) == [
+        ("t2", "governorate"),
+        ("t3", "merchant_id,service_type"),
+    ]
+
+
 def test_the_time_of_ingestion_and_the_source_flag_are_kept(spark, folder):
     lake = lake_at(folder)
     rows = [
