@@ -135,8 +135,8 @@ def with_statistics(docs: DataFrame, kept: Sequence[str]) -> DataFrame:
     )
 
 
-def _with_pool(rows: DataFrame) -> DataFrame:
-    """Add `pool`: the row's language and source, or what it is joined to when that is small."""
+def _pools(rows: DataFrame) -> DataFrame:
+    """_lang, _source, pool: each language and source, or what it is joined to when small."""
     key = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
     lang_key = F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
     by_both = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
@@ -148,7 +148,7 @@ def _with_pool(rows: DataFrame) -> DataFrame:
         .over(Window.partitionBy("lang"))
         .alias("in_lang"),
     )
-    pools = wide.select(
+    return wide.select(
         F.col("lang").alias("_lang"),
         F.col("source").alias("_source"),
         F.when(F.col("n") >= MIN_POOL, key)
@@ -156,6 +156,9 @@ def _with_pool(rows: DataFrame) -> DataFrame:
         .otherwise("all")
         .alias("pool"),
     )
+
+
+def _with_pool(rows: DataFrame, pools: DataFrame) -> DataFrame:
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     return rows.join(pools, same).drop("_lang", "_source")
 
@@ -334,18 +337,26 @@ def covariance_estimates(vectors: DataFrame) -> DataFrame:
     )
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """Add `distance` and `kept` to stored rows with statistics, lang and source.
+def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pools and their estimates from stored rows with statistics, lang and source; both are
+    stored, so that Spark knows how small they are when it plans a join."""
+    pools = stored(_pools(rows), "quality-pools")
+    fitted = covariance_estimates(_with_pool(rows, pools).select("pool", *COORDINATES))
+    return pools, stored(fitted, "quality-estimates")
+
+
+def judge(rows: DataFrame, pools: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Add `distance` and `kept` to rows with statistics, lang and source.
 
     The covariance is scaled up until its COVERED share lies where that of a normal distribution
     would, never down; rows with a squared distance beyond CHI_REJECT go, as do rows
     that fail a base rule.
     """
-    pooled = _with_pool(rows)
-    fitted = covariance_estimates(pooled.select("pool", *COORDINATES))
     reach = (F.col("cut") + F.lit(1.0)) / F.lit(float(DISTANCE_STEP))
     scale = F.greatest(reach * reach / F.lit(CHI_COVERED), F.lit(1.0))
-    judged = _nearest(pooled, fitted).withColumn("distance", _squared_distance() / scale)
+    judged = _nearest(_with_pool(rows, pools), fitted).withColumn(
+        "distance", _squared_distance() / scale
+    )
     kept = ~F.col("base_failed") & (F.col("distance") <= F.lit(CHI_REJECT))
     names = [c for c in rows.columns if c not in ("distance", "kept")]
     return judged.select(*names, "distance", kept.alias("kept"))
@@ -360,7 +371,7 @@ def quality(docs: DataFrame) -> DataFrame:
     their names; an empty table gives no rows.
     """
     rows = stored(with_statistics(docs, ["doc_id", "lang", "source"]), "quality-rows")
-    return judge(rows).select(
+    return judge(rows, *fit(rows)).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -374,8 +385,15 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that `quality` keeps, with all their columns as they were."""
-    names = docs.columns
-    whole = docs.select("text", "lang", "source", F.struct(*names).alias("_row"))
-    rows = stored(with_statistics(whole, ["lang", "source", "_row"]), "quality-rows")
-    return judge(rows).where("kept").select("_row.*")
+    """The rows of docs that `quality` keeps, with all their columns as they were.
+
+    Statistics are taken twice, once for the estimates and once where rows are let through:
+    that costs less than to store or to shuffle whole texts.
+    """
+    found = fit(stored(with_statistics(docs, ["lang", "source"]), "quality-rows"))
+    whole = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
+    judged = judge(with_statistics(whole, ["lang", "source", "_row"]), *found)
+    # one number instead of two conditions: the optimizer would take all statistics once more to
+    # test the base rules before the join
+    off = F.col("distance") + F.when(F.col("base_failed"), 1).otherwise(0) * F.lit(2 * CHI_REJECT)
+    return judged.where(off <= F.lit(CHI_REJECT)).select("_row.*")

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from check_queries import compare, connect
 from tallybrook.llm import quality
-from tallybrook.llm.queries import op1_quality
+from tallybrook.llm.queries import ORACLES, op1_quality
 from tests.conftest import plan_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -127,10 +128,15 @@ def test_pools_join_small_groups(spark):
     groups = [("en", "a", 60), ("en", "b", 40), ("en", None, 30), ("fr", "a", 10), (None, "a", 5)]
     rows = [(lang, s) for lang, s, n in groups for _ in range(n)]
     frame = spark.createDataFrame(rows, "lang string, source string")
-    got = Counter(r.pool for r in quality._with_pool(frame).select("pool").collect())
+    got = Counter(r.pool for r in quality._with_pool(frame, quality._pools(frame)).select("pool").collect())
     assert sorted(got.values()) == [15, 60, 70]
 
 
+def test_query_equals_its_sql(spark, sf_dir):
+    verdict = compare(spark, connect(sf_dir), sf_dir, "op1", op1_quality, ORACLES["op1_quality"])
+    assert verdict.startswith("match"), verdict
+
+
 def test_query_over_the_table(spark, sf_dir):
     frame = op1_quality(spark, sf_dir)
     assert "Python" not in plan_of(frame) and "Arrow" not in plan_of(frame)
