@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallybrook.llm import bpe, langid, mixing, quality, queries, simhash
 from tallybrook.llm.common import stored, table
@@ -15,9 +14,7 @@ LANGUAGE_SCORE = 0.5
 
 def recognized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognized language; those without letters or between languages go."""
-    judged = langid.identify(docs, keep=True)
-    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)
-    return judged.where(sure).select(*docs.columns)
+    return langid.recognized(docs, LANGUAGE_SCORE)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

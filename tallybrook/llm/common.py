@@ -53,6 +53,29 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def renamed(docs: DataFrame) -> tuple[list[Column], str]:
+    """All columns of docs under names that clash with nothing, and the new name of `text`."""
+    names = docs.columns
+    columns = [F.col(f"`{name}`").alias(f"_c{i}") for i, name in enumerate(names)]
+    return columns, f"_c{names.index('text')}"
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs under their own names again."""
+    return rows.select(*[F.col(f"_c{i}").alias(name) for i, name in enumerate(docs.columns)])
+
+
+#: Rows that a Python worker converts at a time: batches hold many more, and texts may be long.
+SLICE_ROWS = 512
+
+
+def slices(batches):
+    """The batches in slices that share their memory."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def words(text: Column) -> Column:
     """Runs of characters other than white space, in order; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != F.lit(""))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybrook.llm.common import map_arrow
+from tallybrook.llm.common import map_arrow, renamed, restored, slices
 
 #: Longest context in bytes; a window of one more byte must fit a 64-bit key.
 ORDER = 4
@@ -60,10 +60,10 @@ def count_contexts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     arrow = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                by_lang.setdefault(lang, []).append(text.encode("utf-8"))
+                by_lang.setdefault(lang, []).append(folded(text))
             for lang, texts in by_lang.items():
                 texts = [t for t in texts if t]
                 if not texts:
@@ -250,8 +250,9 @@ def _spans(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _folded(text: Column) -> Column:
-    return F.lower(text)
+def folded(text: str) -> bytes:
+    """What is learned from and scored: letters lowered."""
+    return text.lower().encode("utf-8")
 
 
 def train(docs: DataFrame) -> Model | None:
@@ -269,7 +270,7 @@ def train(docs: DataFrame) -> Model | None:
     sample = (
         rows.join(F.broadcast(totals) if small else totals, "lang")
         .where(draw * F.col("_total") < F.lit(float(SAMPLE_BYTES)))
-        .select("lang", _folded(F.col("text")).alias("text"))
+        .select("lang", "text")
     )
     counted = count_contexts(sample).toPandas()
     if not len(counted):
@@ -288,25 +289,27 @@ def train(docs: DataFrame) -> Model | None:
 _models: dict[str, Model] = {}
 
 
-def _with_prediction(rows: DataFrame, model: Model | None) -> DataFrame:
-    """rows plus lang_pred and score; `_text` is what is scored, null where there is no letter."""
+def _with_prediction(rows: DataFrame, text: str, model: Model | None) -> DataFrame:
+    """rows plus lang_pred and score of the column `text`, where `_letters` says it has any."""
     if model is None:
-        return rows.drop("_text").withColumns(
+        return rows.drop("_letters").withColumns(
             {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0).cast("double")}
         )
     shared, name = rows.sparkSession.sparkContext.broadcast(model.to_bytes()), uuid.uuid4().hex
-    kept = [c for c in rows.columns if c != "_text"]
+    kept = [c for c in rows.columns if c != "_letters"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _models:
             _models.clear()
             _models[name] = Model.from_bytes(shared.value)
         own = _models[name]
-        for batch in batches:
-            texts = [t.encode("utf-8") if t else b"" for t in batch.column("_text").to_pylist()]
+        for batch in slices(batches):
+            known = batch.column("_letters").to_pylist()
+            texts = batch.column(text).to_pylist()
+            texts = [folded(t) if letters else b"" for t, letters in zip(texts, known)]
             langs, share = own.predict(texts)
-            langs = [lang if t else UNKNOWN for lang, t in zip(langs, texts)]
-            share = np.where([bool(t) for t in texts], share, 0.0)
+            langs = [lang if letters else UNKNOWN for lang, letters in zip(langs, known)]
+            share = np.where(np.array(known, dtype=bool), share, 0.0)
             columns = [batch.column(c) for c in kept]
             columns += [pa.array(langs, type=pa.string()), pa.array(share, type=pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
@@ -315,23 +318,38 @@ def _with_prediction(rows: DataFrame, model: Model | None) -> DataFrame:
     return map_arrow(rows, run, T.StructType([rows.schema[c] for c in kept] + added))
 
 
-def identify(docs: DataFrame, folds: int = 5, fold: int = 0, keep: bool = False) -> DataFrame:
+def _fitted(docs: DataFrame, folds: int, fold: int) -> Model | None:
+    out = held_out(F.col("doc_id"), folds, fold)
+    return train(docs.where(~out).select(F.col("doc_id").alias("_id"), "text", "lang"))
+
+
+def _letters() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+
+
+def identify(docs: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of every row of (doc_id, text, lang).
 
     Learns from text and non-null lang of the documents outside the held-out fold; predictions
     see the text alone. Texts that are null or without a letter are `und` with score 0, as is
     everything when there is nothing to learn from. Letters are lowered first. Repeated rows are
-    scored each; an empty table gives no rows. With `keep`, the columns of docs come back
-    instead of doc_id, with `lang_pred` and `score` added (and replaced if docs has them).
+    scored each; other columns are ignored; an empty table gives no rows.
     """
-    out = held_out(F.col("doc_id"), folds, fold)
-    base = docs.select("doc_id", "text", "lang", out.alias("held_out"))
-    model = train(base.where(~F.col("held_out")).withColumn("_id", F.col("doc_id")))
-    letters = F.when(F.col("text").rlike(r"\p{L}"), _folded(F.col("text")))
-    if keep:
-        rows = docs.drop("lang_pred", "score", "_text").withColumn("_text", letters)
-    else:
-        rows = base.select(
-            F.col("doc_id").cast("bigint").alias("doc_id"), "held_out", letters.alias("_text")
-        )
-    return _with_prediction(rows, model)
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        held_out(F.col("doc_id"), folds, fold).alias("held_out"),
+        "text",
+        _letters(),
+    )
+    return _with_prediction(rows, "text", _fitted(docs, folds, fold)).drop("text")
+
+
+def recognized(docs: DataFrame, least: float, folds: int = 5, fold: int = 0) -> DataFrame:
+    """The rows of docs whose language is known with a score of `least` or more, all columns
+    as they were."""
+    columns, text = renamed(docs)
+    judged = _with_prediction(
+        docs.select(*columns, _letters()), text, _fitted(docs, folds, fold)
+    )
+    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.lit(least))
+    return restored(judged.where(sure), docs)

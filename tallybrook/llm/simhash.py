@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybrook.llm.common import map_arrow, stored
+from tallybrook.llm.common import map_arrow, renamed, restored, slices, stored
 from tallybrook.llm.components import smallest_reachable
 
 SHINGLE = 3
@@ -23,7 +23,7 @@ RADIUS = 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 
 #: Rows of one partition of variants: they are sorted in memory.
-PARTITION_ROWS = 2_000_000
+PARTITION_ROWS = 1_000_000
 
 #: Fingerprints of one bucket whose pairs are compared one by one; larger buckets go another way.
 BUCKET_PAIRS = 512
@@ -62,26 +62,28 @@ def _unsigned(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def with_fingerprint(rows: DataFrame) -> DataFrame:
-    """The rows plus `fp`, the fingerprint of `text` as a signed number.
+def with_fingerprint(rows: DataFrame, text: str, keep_text: bool = True) -> DataFrame:
+    """The rows plus `fp`, the fingerprint of the column `text` as a signed number.
 
     Letters A to Z are lowered; words are runs without white space; a text of fewer words than
     a shingle counts as one shingle. Null and empty texts have fingerprint 0.
     """
-    names = rows.columns
+    kept = [c for c in rows.columns if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [fingerprint(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _signed(prints)], [*names, "fp"])
+        for batch in slices(batches):
+            prints = [fingerprint(t) for t in batch.column(text).to_pylist()]
+            columns = [batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, _signed(prints)], [*kept, "fp"])
 
-    return map_arrow(rows, run, T.StructType([*rows.schema, T.StructField("fp", T.LongType())]))
+    fields = [rows.schema[c] for c in kept]
+    return map_arrow(rows, run, T.StructType([*fields, T.StructField("fp", T.LongType())]))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp of every row of (doc_id, text)."""
     rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
-    return with_fingerprint(rows).select("doc_id", "fp")
+    return with_fingerprint(rows, "text", keep_text=False)
 
 
 def _variants(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -226,16 +228,31 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, with all its columns as they were.
 
     It is the row with the component's id; among rows that repeat this id, the smallest one.
+    Fingerprints are taken once for the components and once more where rows are let through,
+    so that whole texts are shuffled once and never stored.
     """
-    names = docs.columns
-    rows = docs.select(
-        F.col("doc_id").alias("_id"), "text", F.struct(*names).alias("_row")
-    )
-    printed = stored(with_fingerprint(rows), "simhash-rows")
-    ids = printed.select(F.col("_id").cast("bigint").alias("doc_id"), "fp")
-    components = _components(ids)
-    first = printed.join(components, "fp").where(
-        F.col("_id").eqNullSafe(F.col("component_id"))
+    printed = stored(fingerprints(docs), "simhash-prints")
+    found = printed.join(_components(printed), "fp").where(
+        F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    kept = first.groupBy("root").agg(F.min("_row").alias("_row"))
-    return kept.select("_row.*")
+    first = found.groupBy("root").agg(F.min("fp").alias("fp"), F.first("doc_id").alias("doc_id"))
+    kept = stored(first.select("fp", *_null_free("doc_id")), "simhash-kept")
+    columns, text = renamed(docs)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), *columns)
+    own = [f"_c{i}" for i in range(len(columns))]
+    keyed = with_fingerprint(rows, text).select("fp", *_null_free("_id"), *own)
+    # after the join, rows that repeat an id lie together
+    chosen = keyed.join(kept, _KEYS, "left_semi")
+    least = chosen.groupBy(*_KEYS).agg(F.min(F.struct(*own)).alias("_row")).select("_row.*")
+    return restored(least, docs)
+
+
+_KEYS = ["fp", "_number", "_missing"]
+
+
+def _null_free(doc_id: str) -> list[Column]:
+    """An id as two columns that are never null, so that joins and groups share a partitioning."""
+    return [
+        F.coalesce(doc_id, F.lit(0)).cast("bigint").alias("_number"),
+        F.col(doc_id).isNull().alias("_missing"),
+    ]

@@ -122,13 +122,15 @@ def test_rows_with_nulls_and_clashing_names(spark):
         assert 0 <= r.score <= 1
         name = "" if r.doc_id is None else str(r.doc_id)
         assert r.held_out == (zlib.crc32(name.encode()) % 5 == 0)
-    whole = langid.identify(docs, keep=True)
-    assert whole.columns == ["doc_id", "text", "lang", "held_out", "lang_pred", "score"]
-    assert whole.count() == len(rows)
+    sure = langid.recognized(docs, 0.5)
+    assert sure.columns == docs.columns
+    kept = sorted(str(r) for r in sure.collect())
+    assert kept == sorted(str(r) for r in docs.collect() if r.doc_id not in (500, 501, 502))
 
 
 def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], SCHEMA)
+    assert langid.recognized(none, 0.5).collect() == []
     assert langid.identify(none).collect() == []
     row = langid.identify(spark.createDataFrame([(1, "abc", None, None, 1)], SCHEMA)).first()
     assert (row.lang_pred, row.score) == ("und", 0.0)
