@@ -17,7 +17,7 @@ from tallybrook.llm.common import map_arrow
 #: Texts are encoded in blocks of about this many characters, and a worker remembers the ids of
 #: at most this many words; both bound its memory and change no result.
 BLOCK_CHARS = 4_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -166,9 +166,10 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop all words: a worker that goes on to other work holds no more than the vocabulary."""
         self.number: dict[str, int] = {}
         self.ids = np.zeros(0, dtype=np.int32)
         self.starts = np.zeros(0, dtype=np.int64)
@@ -196,7 +197,7 @@ class Encoder:
         """The ids of all texts on end, and how many each text has."""
         pieces = [self.vocabulary.words(t) for t in texts]
         if len(self.number) > CACHE_WORDS:
-            self._forget()
+            self.forget()
         fresh = set().union(*pieces).difference(self.number)
         if fresh:
             self._learn(sorted(fresh))
@@ -277,6 +278,7 @@ def encode(docs: DataFrame, path: str, with_decoded: bool = False) -> DataFrame:
                         )
                     )
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        coder.forget()
 
     schema = "doc_id bigint, ids array<int>" + (", decoded string" if with_decoded else "")
     rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
