@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from check_queries import compare, connect
 from tallybrook.llm import mixing
-from tallybrook.llm.queries import op8_mixing
+from tallybrook.llm.queries import ORACLES, op8_mixing
 from tests.conftest import plan_of
 
 SCHEMA = "doc_id bigint, text string, source string, size string, target int"
@@ -56,8 +57,8 @@ def test_targets_equal_the_rising_level(spark):
 
 
 def test_hypergeometric_draws_follow_the_law(spark):
-    cases = [(20, 8, 10), (7, 7, 3), (9, 0, 4), (1, 1, 0), (1000, 300, 500), (6, 3, 6)]
-    n = 4000
+    cases = [(20, 8, 10), (7, 7, 3), (9, 0, 4), (1, 1, 0), (120, 30, 60), (6, 3, 6)]
+    n = 800
     for total, marked, drawn in cases:
         uniform = (F.col("id") + F.lit(0.5)) / F.lit(float(n))
         draw = mixing.hypergeometric(F.lit(total), F.lit(marked), F.lit(drawn), uniform)
@@ -142,6 +143,11 @@ def test_empty_table(spark):
     assert mixing.mixed_rows(none).collect() == []
 
 
+def test_query_equals_its_sql(spark, sf_dir):
+    verdict = compare(spark, connect(sf_dir), sf_dir, "op8", op8_mixing, ORACLES["op8_mixing"])
+    assert verdict.startswith("match"), verdict
+
+
 def test_query_over_the_table(spark, sf_dir):
     frame = op8_mixing(spark, sf_dir)
     assert "Python" not in plan_of(frame) and "Arrow" not in plan_of(frame)
