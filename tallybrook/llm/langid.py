@@ -17,10 +17,13 @@ from tallybrook.llm.common import map_arrow, renamed, restored, slices
 #: Longest context in bytes; a window of one more byte must fit a 64-bit key.
 ORDER = 4
 
-#: Bytes of text that a language's statistics are fitted on, about, and the longest text among
-#: them. A bounded sample: rows are taken by a hash of their id until the bytes suffice.
+#: Bytes of text that a language's statistics are fitted on, about, and the longest piece among
+#: them; longer texts are cut into pieces. A bounded sample: pieces are taken by a hash of id, text
+#: and number until the bytes suffice, one at least.
 SAMPLE_BYTES = 400_000
 SAMPLE_TEXT_BYTES = 40_000
+#: A character has four bytes at most.
+PIECE_CHARS = SAMPLE_TEXT_BYTES // 4
 
 #: Labels with totals that are sent to all executors; with more, rows are shuffled instead.
 MAX_SENT_LANGS = 10_000
@@ -258,19 +261,53 @@ def folded(text: str) -> bytes:
 def train(docs: DataFrame) -> Model | None:
     """A model from labelled rows (text, lang) with an `_id`; None when there is nothing to learn.
 
-    Totals per language over all rows fix which share of its texts the bounded sample takes.
+    Totals per language over all texts fix which share of its pieces the bounded sample takes;
+    the piece with the lowest draw is always in it, so every label with text is learned. Rows
+    that repeat an id (or a null) and its text count once.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     size = F.octet_length("text")
-    rows = rows.where((size > 0) & (size <= SAMPLE_TEXT_BYTES))
-    draw = F.shiftrightunsigned(F.xxhash64("_id"), 12) / F.lit(float(1 << 52))
-    totals = rows.groupBy("lang").agg(F.sum(size).alias("_total")).persist()
+    cut = F.ceil(F.char_length("text") / F.lit(PIECE_CHARS)).cast("int")
+    rows = rows.where(size > 0).select(
+        "lang",
+        "text",
+        F.xxhash64("_id", "text").alias("_hash"),
+        F.when(size <= SAMPLE_TEXT_BYTES, F.lit(1)).otherwise(cut).alias("_pieces"),
+    )
+
+    def draw(piece: Column) -> Column:
+        hashed = F.xxhash64(F.col("_hash"), piece)
+        return F.shiftrightunsigned(hashed, 12) / F.lit(float(1 << 52))
+
+    def piece_of(piece: Column) -> Column:
+        slice_ = F.substr("text", piece * PIECE_CHARS + 1, F.lit(PIECE_CHARS))
+        text = F.when(F.col("_pieces") == 1, F.col("text")).otherwise(slice_)
+        return F.struct(piece.alias("piece"), text.alias("text"))
+
+    numbers = F.sequence(F.lit(0), F.col("_pieces") - 1)
+    least = F.array_min(F.transform(numbers, draw))
+    different = rows.groupBy("lang", "_hash").agg(
+        F.max(size).alias("_bytes"), F.min(least).alias("_least")
+    )
+    totals = (
+        different.groupBy("lang")
+        .agg(F.sum("_bytes").alias("_total"), F.min("_least").alias("_first"))
+        .persist()
+    )
     # a row per language; only a table of junk labels is too long to send to all
     small = totals.count() <= MAX_SENT_LANGS
+    taken = F.filter(
+        numbers,
+        lambda k: (draw(k) * F.col("_total") < F.lit(float(SAMPLE_BYTES)))
+        | (draw(k) == F.col("_first")),
+    )
     sample = (
         rows.join(F.broadcast(totals) if small else totals, "lang")
-        .where(draw * F.col("_total") < F.lit(float(SAMPLE_BYTES)))
+        .select("lang", "_hash", F.explode(F.transform(taken, piece_of)).alias("_piece"))
+        .select("lang", "_hash", "_piece.piece", "_piece.text")
+        .dropDuplicates(["lang", "_hash", "piece"])
         .select("lang", "text")
+        .repartition("lang")  # bounded per language; one count of a window, not one per task
     )
     counted = count_contexts(sample).toPandas()
     if not len(counted):
