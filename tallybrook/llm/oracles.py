@@ -302,4 +302,60 @@ FROM vectors v JOIN fitted f ON v.pool = f.pool
 """
 
 
-ORACLES = {"op1_quality": quality(), "op6_urls": URLS, "op8_mixing": mixing()}
+#: CRC-32 of a decimal number: each byte joins the lowest bits, then eight steps of one bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(
+  range(8 * length(CAST(conv_id AS VARCHAR))),
+  lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(conv_id AS VARCHAR), CAST(i // 8 + 1 AS INTEGER), 1)) ELSE 0 END)),
+  lambda crc, x: CASE WHEN xor(crc, x) & 1 = 1 THEN xor(xor(crc, x) >> 1, 3988292384) ELSE xor(crc, x) >> 1 END))"""
+
+PREFIX_TRIE = rf"""
+WITH own AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id,
+         md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, turn_key) AS i FROM own
+),
+convs AS (SELECT conv_id, {_CRC} % 4 AS h, count(*) AS n FROM own GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, p.i AS place, turn_key, words
+  FROM convs c JOIN placed p ON p.conv_id = c.conv_id - c.conv_id % 20 AND p.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1000 + p.i AS place, turn_key, words
+  FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.i > c.h
+),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS depth, '' AS node, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS words
+  FROM convs
+  UNION ALL
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(turn_key, '') OVER w AS node,
+         left(string_agg(turn_key, '') OVER w, -32) AS parent, words
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM paths),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id,
+         count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM ended GROUP BY node
+),
+children AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+sums AS (
+  SELECT a.node, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves,
+         sum((b.n_convs - 1) * b.words) AS saved_tokens
+  FROM counted b JOIN paths a ON a.conv_id = b.conv_id AND a.depth <= b.depth GROUP BY a.node
+)
+SELECT c.conv_id, c.depth, up.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums s USING (node) LEFT JOIN nodes up ON up.node = c.parent
+"""
+
+ORACLES = {
+    "op1_quality": quality(),
+    "op6_urls": URLS,
+    "op8_mixing": mixing(),
+    "op11_prefix_trie": PREFIX_TRIE,
+}

@@ -14,6 +14,7 @@ from tallybrook.llm import (
     langid,
     mixing,
     oracles,
+    prefixtrie,
     quality,
     sharding,
     simhash,
@@ -125,6 +126,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct start of the rebuilt conversations as a node of one trie."""
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_quality, op2_language_id, op3_simhash, op4_lm, op5_html, op6_urls, op7_bpe, op8_mixing, op9_winnowing, op10_sharding)
+    query.__name__: query
+    for query in (
+        op1_quality,
+        op2_language_id,
+        op3_simhash,
+        op4_lm,
+        op5_html,
+        op6_urls,
+        op7_bpe,
+        op8_mixing,
+        op9_winnowing,
+        op10_sharding,
+        op11_prefix_trie,
+    )
 }
