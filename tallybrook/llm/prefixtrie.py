@@ -18,6 +18,8 @@ MOST_HEAD = 3
 
 #: A prefix with more turns below it is cut further down, so that no shard outgrows a task.
 SHARD_TURNS = 200_000
+#: Prefixes with fewer turns are never cut further down.
+LEAST_TURNS = 2_000
 #: Turns of one task, which holds many shards and one double array.
 TASK_TURNS = 500_000
 #: Upper nodes that may be broadcast to the tops of shards; more are joined by a shuffle.
@@ -407,7 +409,9 @@ def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> Dat
     total = paths.agg(F.sum(F.octet_length("turns") / DIGEST)).first()[0] or 0
     least = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(least, int(total) // TASK_TURNS + 1)
-    dealt = with_cuts(paths, shard_turns).repartition(tasks, _prefix(F.col("cut")))
+    # a quarter of a task's share at most, so that one hot prefix fills no task by itself
+    most = min(shard_turns, max(LEAST_TURNS, int(total) // (4 * tasks)))
+    dealt = with_cuts(paths, most).repartition(tasks, _prefix(F.col("cut")))
     nodes = stored(map_arrow(dealt, _trie_rows, NODES), "trie-nodes")
     uppers = stored(_merged_uppers(nodes), "trie-uppers")
     names = uppers.select(F.col("node").alias("parent"), F.col("conv_id").alias("_conv"))

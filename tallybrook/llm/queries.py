@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybrook.llm import (
+    alignment,
     bpe,
     kneserney,
     langid,
@@ -36,6 +37,8 @@ URL_RULES = (
 LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 #: Queries that SQL can express on whole tables; the others are tested against brute force.
 ORACLES: dict[str, str] = oracles.ORACLES
@@ -131,6 +134,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers over all documents."""
+    return alignment.cross_tokenizer_alignment(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path(BYTE_TOKENIZER),
+        public_tokenizers.path(PIECE_TOKENIZER),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -145,5 +157,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_winnowing,
         op10_sharding,
         op11_prefix_trie,
+        op12_alignment,
     )
 }

@@ -83,7 +83,8 @@ ROWS = [
 
 
 @pytest.mark.parametrize("limit", [prefixtrie.SHARD_TURNS, 40, 2])
-def test_all_nodes_however_the_paths_are_cut(spark, limit):
+def test_all_nodes_however_the_paths_are_cut(spark, limit, monkeypatch):
+    monkeypatch.setattr(prefixtrie, "LEAST_TURNS", 1)
     rows = found(prefix_trie(spark.createDataFrame(ROWS, SCHEMA), limit))
     assert len(rows) == len(set(rows))
     assert set(rows) == brute(ROWS)
