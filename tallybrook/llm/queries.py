@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallybrook.llm import (
     alignment,
     bpe,
+    jaccardjoin,
     kneserney,
     langid,
     mixing,
@@ -143,6 +144,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose shingle sets share nine tenths of their union."""
+    return jaccardjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -158,5 +164,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sharding,
         op11_prefix_trie,
         op12_alignment,
+        op13_jaccard_join,
     )
 }
