@@ -29,6 +29,12 @@ SIZE_STEP = 1.12
 #: Below this size a link may not share enough tokens for a combination.
 LEAST_COMBINED = 10
 
+#: Tokens whose last bits are 0 come first in the order of tokens, by frequency; only they are
+#: counted. A prefix is a tenth of a set, so it seldom reaches beyond a quarter of its tokens.
+COUNTED_BITS = 3
+#: In place of a frequency, that of a token beyond these. It is indexed by itself.
+UNCOUNTED = 1 << 62
+
 #: Sets of one token that are held until all are counted; tokens of more are equally frequent.
 HELD_SETS = 1_000_000
 #: Members of a bucket that are compared with all others in one round.
@@ -113,33 +119,52 @@ def signed_rows(docs: DataFrame, seed: int) -> DataFrame:
     return map_arrow(rows, run, "doc_id bigint, n_shingles bigint, node bigint, check bigint")
 
 
+def counted(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & tokens.dtype.type(COUNTED_BITS)) == 0
+
+
+def indexed_tokens(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """The tokens of a set that may lie in its prefix, and how many of them are counted."""
+    first = counted(own)
+    number = int(first.sum())
+    # two more than the prefix of single tokens, for combinations of three
+    missing = len(own) + (-PERCENT * len(own) // 100) + 3 - number
+    if missing <= 0:
+        return own[first], number
+    rest = own[~first].view(np.int64)
+    return np.append(own[first], np.sort(rest)[:missing].view(np.uint64)), number
+
+
 def _token_rows(docs: DataFrame, seed: int) -> DataFrame:
-    """Rows (token, node, n) of all sets; equal sets of one task come once."""
-    arrow = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
+    """Rows (token, node, sizes) of all sets; equal sets of one task come once. sizes holds the
+    size of the set and, in its lower half, how many counted tokens it has."""
+    arrow = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("sizes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
-            sets, nodes = [], []
+            sets, nodes, both = [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text)
                 node = _digest(own, seed)[0]
                 if len(own) and node not in seen:
                     seen.add(node)
-                    sets.append(own)
+                    tokens, number = indexed_tokens(own)
+                    sets.append(tokens)
                     nodes.append(node)
+                    both.append((len(own) << 32) + number)
             if sets:
-                sizes = np.array([len(own) for own in sets])
+                count = np.array([len(tokens) for tokens in sets])
                 yield pa.RecordBatch.from_arrays(
                     [
                         _signed(np.concatenate(sets)),
-                        pa.array(np.repeat(np.array(nodes, dtype=np.int64), sizes)),
-                        pa.array(np.repeat(sizes, sizes).astype(np.int32)),
+                        pa.array(np.repeat(np.array(nodes, dtype=np.int64), count)),
+                        pa.array(np.repeat(np.array(both, dtype=np.int64), count)),
                     ],
                     schema=arrow,
                 )
 
-    return map_arrow(docs.select("text"), run, "token bigint, node bigint, n int")
+    return map_arrow(docs.select("text"), run, "token bigint, node bigint, sizes bigint")
 
 
 def _starts(values: np.ndarray) -> np.ndarray:
@@ -147,46 +172,48 @@ def _starts(values: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, node), each once, plus how many sets have the token; tokens of one
-    set are left out. A token of more than `most` sets passes through without being held."""
+    """Rows sorted by (token, node), each once, plus how many sets have the token; counted tokens
+    of one set are left out. A token of more than `most` sets passes without being held."""
     arrow = pa.schema(
-        [("node", pa.int64()), ("df", pa.int64()), ("token", pa.int64()), ("n", pa.int32())]
+        [(c, pa.int64()) for c in ("node", "df", "token", "sizes")]
     )
 
-    def rows(token, node, n, df) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node, df, token, n)], schema=arrow)
+    def rows(token, node, sizes, df) -> Iterator[pa.RecordBatch]:
+        df = np.where(counted(token), df, UNCOUNTED)
+        out = df > 1
+        if out.any():
+            columns = [pa.array(c[out]) for c in (node, df, token, sizes)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    held = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)]
+    held = [np.zeros(0, dtype=np.int64)] * 3
     frequent, latest = None, None
     for batch in batches:
-        token, node, n = (
+        token, node, size = (
             np.concatenate([h, batch.column(c).to_numpy()])
-            for h, c in zip(held, ("token", "node", "n"))
+            for h, c in zip(held, ("token", "node", "sizes"))
         )
         if not len(token):
             continue
         new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
         if latest is not None and (token[0], node[0]) == latest:
             new &= ~((token == latest[0]) & (node == latest[1]))
-        token, node, n = token[new], node[new], n[new]
+        token, node, size = token[new], node[new], size[new]
         if not len(token):
-            held = [token, node, n]
+            held = [token, node, size]
             continue
         starts = _starts(token)
-        sizes = np.diff(np.append(starts, len(token)))
+        runs = np.diff(np.append(starts, len(token)))
+        df = runs.copy()
         if frequent is not None and token[0] == frequent:
-            sizes[0] = most + 1
-        full = len(token) if sizes[-1] > most else int(starts[-1])
+            df[0] = most + 1
+        full = len(token) if df[-1] > most else int(starts[-1])
         if full == len(token):
             frequent, latest = token[-1], (token[-1], node[-1])
-        df = np.minimum(np.repeat(sizes, np.diff(np.append(starts, len(token)))), most + 1)
-        out = np.flatnonzero(df[:full] > 1)
-        if len(out):
-            yield rows(token[out], node[out], n[out], df[out])
-        held = [token[full:], node[full:], n[full:]]
-    if len(held[0]) > 1:
-        df = np.full(len(held[0]), len(held[0]), dtype=np.int64)
-        yield rows(held[0], held[1], held[2], df)
+        df = np.repeat(np.minimum(df, most + 1), runs)
+        yield from rows(token[:full], node[:full], size[:full], df[:full])
+        held = [token[full:], node[full:], size[full:]]
+    if len(held[0]):
+        yield from rows(*held, np.full(len(held[0]), len(held[0])))
 
 
 def size_class(n: int) -> int:
@@ -203,9 +230,15 @@ def most_combined(key_class: int) -> int:
 
 
 def signatures(
-    tokens: np.ndarray, df: np.ndarray, n: int, classes: tuple[int, int] = CLASSES
+    tokens: np.ndarray,
+    df: np.ndarray,
+    n: int,
+    counted: int,
+    classes: tuple[int, int] = CLASSES,
 ) -> np.ndarray:
-    """What a set of `n` tokens is indexed under, given those that other sets have, rarest first.
+    """What a set of `n` tokens, of them `counted` ones that are counted, is indexed under.
+
+    `tokens` are those that come after the counted ones that no other set has, rarest first.
 
     With o = 90 % of n, any partner shares o tokens. Of n - o + k tokens in the order of
     frequency, linked sets share k, and the first shared one lies among the n - o + 1 first. If
@@ -213,11 +246,12 @@ def signatures(
     frequent, and both index the combination of the first k they share.
     """
     need = -(-PERCENT * n // 100)
-    alone = n - len(tokens)
+    beyond = df == UNCOUNTED
+    alone = counted - int(len(df) - beyond.sum())
     first = n - need + 1 - alone
     if first <= 0:
         return np.zeros(0, dtype=np.uint64)
-    rare = df[:first] <= classes[0]
+    rare = (df[:first] <= classes[0]) | beyond[:first]
     found = [_mixed(tokens[:first][rare])]
     own = size_class(n)
     for key in (own, own + 1):
@@ -245,15 +279,19 @@ def _signature_rows(classes: tuple[int, int]):
         [("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("alone", pa.int64())]
     )
 
-    def of(node, df, token, n) -> Iterator[pa.RecordBatch]:
+    def of(node, df, token, sizes) -> Iterator[pa.RecordBatch]:
+        new = np.append(True, (node[1:] != node[:-1]) | (token[1:] != token[:-1]))
+        node, df, token, sizes = node[new], df[new], token[new], sizes[new]
         starts = _starts(node)
-        sizes = np.diff(np.append(starts, len(node)))
-        total = n[starts].astype(np.int64)
-        alone = total - sizes
+        total, number = sizes[starts] >> 32, sizes[starts] & 0xFFFFFFFF
+        alone = number - np.add.reduceat((df != UNCOUNTED).astype(np.int64), starts)
+        ends = np.append(starts[1:], len(node))
         found, owner = [], []
         for i in np.flatnonzero(total + (-PERCENT * total // 100) + 1 > alone).tolist():
-            own = slice(starts[i], starts[i] + sizes[i])
-            sig = signatures(token[own].view(np.uint64), df[own], int(total[i]), classes)
+            own = slice(starts[i], ends[i])
+            sig = signatures(
+                token[own].view(np.uint64), df[own], int(total[i]), int(number[i]), classes
+            )
             found.append(sig)
             owner.append(np.full(len(sig), i))
         if found:
@@ -265,7 +303,7 @@ def _signature_rows(classes: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("node", "df", "token", "n")]
+            columns = [batch.column(c).to_numpy() for c in ("node", "df", "token", "sizes")]
             if held is not None:
                 columns = [np.concatenate(pair) for pair in zip(held, columns)]
             # the last set may go on in the next batch
@@ -445,7 +483,7 @@ def jaccard_components(
     sets are one node whatever their number; repeated rows share it; other columns are ignored;
     an empty table gives no rows.
 
-    Tokens are counted over all sets, and only those of two sets or more go on. Sets are read
+    Tokens are counted over all sets, and of those counted only the ones of two sets or more go on. Sets are read
     from the texts once more for nodes that share a bucket with another, so that texts are never
     shuffled or stored. Nodes are 64-bit digests; if two sets ever share one, others are drawn.
     """
@@ -464,7 +502,7 @@ def jaccard_components(
     known = map_arrow(
         tokens,
         lambda batches: _frequencies(batches, held_sets),
-        "node bigint, df bigint, token bigint, n int",
+        "node bigint, df bigint, token bigint, sizes bigint",
     )
     dealt = known.repartition("node").sortWithinPartitions("node", "df", "token")
     sigs = map_arrow(dealt, _signature_rows(classes), SIGNATURES)

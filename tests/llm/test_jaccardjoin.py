@@ -8,7 +8,13 @@ import pyarrow as pa
 import pytest
 
 from tallybrook.llm import jaccardjoin, queries
-from tallybrook.llm.jaccardjoin import jaccard_components, shingles, signatures
+from tallybrook.llm.jaccardjoin import (
+    counted,
+    indexed_tokens,
+    jaccard_components,
+    shingles,
+    signatures,
+)
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -139,18 +145,24 @@ def test_linked_sets_share_a_signature(classes):
         out = rng.permutation(n)[:cut]
         side = rng.random(cut) < rng.random()
         both = [np.delete(union, out[side]), np.delete(union, out[~side])]
-        df = dict(zip(union.tolist(), rng.integers(2, 9, n).tolist()))
+        known = np.where(counted(union), rng.integers(2, 9, n), jaccardjoin.UNCOUNTED)
+        only = out[counted(union[out])]
+        known[only[::2]] = 1
+        df = dict(zip(union.tolist(), known.tolist()))
         sigs = []
         for own in both:
-            order = sorted(own.tolist(), key=lambda t: (df[t], t - (1 << 64) if t >> 63 else t))
+            order, number = indexed_tokens(own)
+            order = sorted(order.tolist(), key=lambda t: (df[t], t))
             tokens = np.array(order, dtype=np.uint64)
-            sigs.append(signatures(tokens, np.array([df[t] for t in order]), len(own), classes))
+            of = np.array([df[t] for t in order])
+            sigs.append(signatures(tokens[of > 1], of[of > 1], len(own), number, classes))
         assert len(np.intersect1d(*sigs))
 
 
 def test_frequencies_stream_over_batches():
     rng = np.random.default_rng(2)
-    rows = np.unique(rng.integers(0, 12, (900, 2)) ** 2, axis=0)
+    rows = np.unique(rng.integers(0, 12, (900, 2)) ** 2 * 4, axis=0)
+    rows[:, 0] += rows[:, 0] // 4 % 5 == 0
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     rows = np.repeat(rows, rng.integers(1, 3, len(rows)), axis=0)
     df = Counter(t for t, _ in {tuple(r) for r in rows.tolist()})
@@ -158,8 +170,8 @@ def test_frequencies_stream_over_batches():
         for size in (1, 2, 5, 50):
             batches = [
                 pa.RecordBatch.from_arrays(
-                    [pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(b[:, 0].astype(np.int32))],
-                    names=["token", "node", "n"],
+                    [pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(b[:, 0])],
+                    names=["token", "node", "sizes"],
                 )
                 for b in (rows[i : i + size] for i in range(0, len(rows), size))
             ]
@@ -168,7 +180,11 @@ def test_frequencies_stream_over_batches():
                 for b in jaccardjoin._frequencies(iter(batches), most)
                 for r in b.to_pylist()
             ]
-            want = {(n, min(df[t], most + 1), t, t) for t, n in map(tuple, rows.tolist()) if df[t] > 1}
+            want = {
+                (n, min(df[t], most + 1) if t % 4 == 0 else jaccardjoin.UNCOUNTED, t, t)
+                for t, n in map(tuple, rows.tolist())
+                if df[t] > 1 or t % 4
+            }
             assert len(got) == len(want) and set(got) == want
 
 
