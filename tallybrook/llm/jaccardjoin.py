@@ -20,7 +20,7 @@ PERCENT = 90
 
 #: Classes of tokens by the number of sets that have them: up to the first bound a token is
 #: indexed by itself, up to the second in combinations of two, beyond in combinations of three.
-CLASSES = (100, 10_000)
+CLASSES = (20, 400)
 #: Tokens of a prefix up to which combinations of two and of three are made; longer prefixes
 #: would have too many combinations and index single tokens instead.
 PAIR_PREFIX, TRIPLE_PREFIX = 64, 16
@@ -29,8 +29,10 @@ SIZE_STEP = 1.12
 #: Below this size a link may not share enough tokens for a combination.
 LEAST_COMBINED = 10
 
-#: Tokens whose last bits are 0 come first in the order of tokens, by frequency; only they are
-#: counted. A prefix is a tenth of a set, so it seldom reaches beyond a quarter of its tokens.
+#: In a first pass over all sets, tokens whose last bits are 0 come first in the order of tokens, by
+#: frequency, and only they are counted: a prefix is a tenth of a set and seldom reaches beyond a
+#: quarter of its tokens. Sets that share no signature have no link. The others, as a rule few,
+#: are then ordered by the frequency of all their tokens.
 COUNTED_BITS = 3
 #: In place of a frequency, that of a token beyond these. It is indexed by itself.
 UNCOUNTED = 1 << 62
@@ -38,7 +40,7 @@ UNCOUNTED = 1 << 62
 #: Sets of one token that are held until all are counted; tokens of more are equally frequent.
 HELD_SETS = 1_000_000
 #: Members of a bucket that are compared with all others in one round.
-ROUND_HUBS = 64
+ROUND_HUBS = 256
 #: Members that one task compares with a hub.
 TASK_MEMBERS = 2_000
 #: Candidate sets whose ids may be broadcast; more are joined by a shuffle.
@@ -119,13 +121,13 @@ def signed_rows(docs: DataFrame, seed: int) -> DataFrame:
     return map_arrow(rows, run, "doc_id bigint, n_shingles bigint, node bigint, check bigint")
 
 
-def counted(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & tokens.dtype.type(COUNTED_BITS)) == 0
+def counted(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens & tokens.dtype.type(bits)) == 0
 
 
-def indexed_tokens(own: np.ndarray) -> tuple[np.ndarray, int]:
+def indexed_tokens(own: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
     """The tokens of a set that may lie in its prefix, and how many of them are counted."""
-    first = counted(own)
+    first = counted(own, bits)
     number = int(first.sum())
     # two more than the prefix of single tokens, for combinations of three
     missing = len(own) + (-PERCENT * len(own) // 100) + 3 - number
@@ -135,43 +137,64 @@ def indexed_tokens(own: np.ndarray) -> tuple[np.ndarray, int]:
     return np.append(own[first], np.sort(rest)[:missing].view(np.uint64)), number
 
 
+def _token_batches(sets: list[np.ndarray], nodes: list[int], bits: int) -> pa.RecordBatch:
+    """Rows (token, node, sizes) of some sets. sizes holds the size of the set and, in its lower
+    half, how many counted tokens it has."""
+    found = [indexed_tokens(own, bits) for own in sets]
+    count = np.array([len(tokens) for tokens, _ in found])
+    sizes = np.array([(len(own) << 32) + k for own, (_, k) in zip(sets, found)], dtype=np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            _signed(np.concatenate([tokens for tokens, _ in found])),
+            pa.array(np.repeat(np.array(nodes, dtype=np.int64), count)),
+            pa.array(np.repeat(sizes, count)),
+        ],
+        names=["token", "node", "sizes"],
+    )
+
+
+TOKENS = "token bigint, node bigint, sizes bigint"
+
+
 def _token_rows(docs: DataFrame, seed: int) -> DataFrame:
-    """Rows (token, node, sizes) of all sets; equal sets of one task come once. sizes holds the
-    size of the set and, in its lower half, how many counted tokens it has."""
-    arrow = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("sizes", pa.int64())])
+    """Tokens of the sets of all texts; equal sets of one task come once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
-            sets, nodes, both = [], [], []
+            sets, nodes = [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text)
                 node = _digest(own, seed)[0]
                 if len(own) and node not in seen:
                     seen.add(node)
-                    tokens, number = indexed_tokens(own)
-                    sets.append(tokens)
+                    sets.append(own)
                     nodes.append(node)
-                    both.append((len(own) << 32) + number)
             if sets:
-                count = np.array([len(tokens) for tokens in sets])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _signed(np.concatenate(sets)),
-                        pa.array(np.repeat(np.array(nodes, dtype=np.int64), count)),
-                        pa.array(np.repeat(np.array(both, dtype=np.int64), count)),
-                    ],
-                    schema=arrow,
-                )
+                yield _token_batches(sets, nodes, COUNTED_BITS)
 
-    return map_arrow(docs.select("text"), run, "token bigint, node bigint, sizes bigint")
+    return map_arrow(docs.select("text"), run, TOKENS)
+
+
+def _tokens_of(sets: DataFrame) -> DataFrame:
+    """All tokens of stored sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in batch.column("own")]
+            if own:
+                yield _token_batches(own, batch.column("node").to_pylist(), 0)
+
+    return map_arrow(sets, run, TOKENS)
 
 
 def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, values[1:] != values[:-1]))
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _frequencies(
+    batches: Iterator[pa.RecordBatch], most: int, bits: int
+) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (token, node), each once, plus how many sets have the token; counted tokens
     of one set are left out. A token of more than `most` sets passes without being held."""
     arrow = pa.schema(
@@ -179,7 +202,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Re
     )
 
     def rows(token, node, sizes, df) -> Iterator[pa.RecordBatch]:
-        df = np.where(counted(token), df, UNCOUNTED)
+        df = np.where(counted(token, bits), df, UNCOUNTED)
         out = df > 1
         if out.any():
             columns = [pa.array(c[out]) for c in (node, df, token, sizes)]
@@ -318,7 +341,10 @@ def _signature_rows(classes: tuple[int, int]):
 
 
 def _sets(docs: DataFrame, seed: int, wanted: DataFrame) -> DataFrame:
-    """node and its set as bytes, once for each wanted node."""
+    """node and its set as bytes, once for each wanted (node, doc_id).
+
+    Only texts of the ids named are read, of any id where too many are named.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -335,15 +361,23 @@ def _sets(docs: DataFrame, seed: int, wanted: DataFrame) -> DataFrame:
                 names=["node", "own"],
             )
 
-    found = map_arrow(docs.select("text"), run, "node bigint, own binary")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text")
+    ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
+    wanted = wanted.select("node")
     if wanted.count() <= BROADCAST_SETS:
         wanted = F.broadcast(wanted)
+        named = F.col("_id").eqNullSafe(F.col("_wanted"))
+        texts = texts.join(F.broadcast(ids), named, "left_semi")
+    found = map_arrow(texts.select("text"), run, "node bigint, own binary")
     return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own"))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, salt, node), the hub's own first: links (a, b) to its members."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Rows sorted by (hub, salt, node), the hub's own first: each member as (a, b, near, far),
+    near if it links to the hub a, far its Jaccard distance."""
+    arrow = pa.schema(
+        [("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_()), ("far", pa.float64())]
+    )
     hub, own = None, None
     for whole in batches:
         for start in range(0, whole.num_rows, 1024):
@@ -366,15 +400,22 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens = np.concatenate(others)
                 at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
                 common = np.add.reduceat(own[at] == tokens, np.cumsum(sizes) - sizes)
-                near = 100 * common >= PERCENT * (len(own) + sizes - common)
-                found.append(np.stack([np.full(near.sum(), hub), nodes[lo:hi][near]]))
+                union = len(own) + sizes - common
+                found.append(
+                    (
+                        np.full(hi - lo, hub),
+                        nodes[lo:hi],
+                        100 * common >= PERCENT * union,
+                        1 - common / union,
+                    )
+                )
             if found:
-                both = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=arrow)
+                columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (hub, node) that link, as (a, b). Members of a hub are dealt to tasks of at most
+    """The pairs (hub, node) as (a, b, near, far). Members of a hub are dealt to tasks of at most
     about TASK_MEMBERS, each of which gets the hub's set."""
     count = pairs.groupBy(F.col("hub").alias("_hub")).agg(F.count(F.lit(1)).alias("_m"))
     large = count.where(F.col("_m") > TASK_MEMBERS)
@@ -390,19 +431,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         hubs.select("hub", "salt", F.lit(False).alias("member"), F.col("hub").alias("node"), "own")
     )
     dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
-    return map_arrow(dealt, _linked, "a bigint, b bigint")
+    return map_arrow(dealt, _linked, "a bigint, b bigint, near boolean, far double")
 
 
-def _may_link(n: str, other: str) -> Column:
-    """Whether sets of these sizes can share enough."""
-    return 100 * F.least(n, other) >= PERCENT * F.greatest(n, other)
+def _may_link() -> Column:
+    """Whether a member and a hub can share enough: at most all but their tokens of their own."""
+    common = F.least(F.col("n") - F.col("alone"), F.col("hub_n") - F.col("hub_alone"))
+    return 100 * common >= PERCENT * (F.col("n") + F.col("hub_n") - common)
 
 
 def set_links(sigs: DataFrame, sets: DataFrame, hubs_per_round: int = ROUND_HUBS) -> DataFrame:
     """Links a, b that connect all sets in common buckets with the similarity asked for.
 
     Of each bucket, the member with the fewest tokens of its own is compared with all others; in
-    a group of near copies most are linked then. Later rounds compare, in buckets whose members
+    a group of near copies most are linked then. By the triangle inequality, members whose distances
+    from it differ by over a tenth cannot link. Later rounds compare, in buckets whose members
     are not all connected, those outside the largest connected part with all members of other
     parts, some per bucket and round. A member compared leaves its buckets. Rounds end when every
     bucket is connected or used up, so pairs that stay uncompared are connected already.
@@ -410,16 +453,26 @@ def set_links(sigs: DataFrame, sets: DataFrame, hubs_per_round: int = ROUND_HUBS
     order = F.struct("alone", "node", "n")
     hubs = sigs.groupBy("sig").agg(F.min(order).alias("h"), F.count(F.lit(1)).alias("m"))
     hubs = hubs.where("m > 1").select(
-        "sig", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")
+        "sig",
+        F.col("h.node").alias("hub"),
+        F.col("h.n").alias("hub_n"),
+        F.col("h.alone").alias("hub_alone"),
     )
     hubs = stored(hubs, "join-hubs")
     open_sigs = stored(sigs.join(hubs.select("sig"), "sig", "left_semi"), "join-sigs")
     pairs = open_sigs.join(hubs, "sig").where(
-        (F.col("node") != F.col("hub")) & _may_link("n", "hub_n")
+        (F.col("node") != F.col("hub")) & _may_link()
     )
     pairs = stored(pairs.select("hub", "node").distinct(), "join-pairs")
-    links = stored(_verified(pairs, sets), "join-links")
+    first = stored(_verified(pairs, sets), "join-links")
+    links = first.where("near").select("a", "b")
     parts, compared = _parts(links), pairs
+    # how far each member is from the first hub of its bucket: Jaccard distance is a metric
+    away = first.select(F.col("a").alias("hub"), F.col("b").alias("node"), "far")
+    away = open_sigs.join(hubs.select("sig", "hub"), "sig").join(away, ["hub", "node"], "left")
+    open_sigs = stored(away.drop("hub"), "join-sigs")
+    apart = F.abs(F.col("far") - F.col("hub_far"))
+    near_enough = F.coalesce(apart <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
     while True:
         left = open_sigs.join(
             hubs.select("sig", F.col("hub").alias("node")), ["sig", "node"], "left_anti"
@@ -445,17 +498,19 @@ def set_links(sigs: DataFrame, sets: DataFrame, hubs_per_round: int = ROUND_HUBS
                 "sig",
                 F.col("node").alias("hub"),
                 F.col("n").alias("hub_n"),
+                F.col("alone").alias("hub_alone"),
+                F.col("far").alias("hub_far"),
                 F.col("root").alias("hub_root"),
             ),
             "join-hubs",
         )
         pairs = open_sigs.join(hubs, "sig").where(
-            (F.col("root") != F.col("hub_root")) & _may_link("n", "hub_n")
+            (F.col("root") != F.col("hub_root")) & _may_link() & near_enough
         )
         pairs = pairs.select("hub", "node").distinct()
         pairs = stored(pairs.join(compared, ["hub", "node"], "left_anti"), "join-pairs")
         compared = compared.union(pairs)
-        more = stored(_verified(pairs, sets), "join-links")
+        more = stored(_verified(pairs, sets), "join-links").where("near").select("a", "b")
         if not more.isEmpty():
             links = links.union(more)
             parts = _parts(links)
@@ -469,6 +524,21 @@ def _parts(links: DataFrame) -> DataFrame:
     return stored(parts.select("node", "root"), "join-parts")
 
 
+def _shared_signatures(
+    tokens: DataFrame, classes: tuple[int, int], held_sets: int, bits: int
+) -> DataFrame:
+    """Rows (sig, node, n, alone) of all signatures that several sets have, stored."""
+    known = map_arrow(
+        tokens.repartition("token").sortWithinPartitions("token", "node"),
+        lambda batches: _frequencies(batches, held_sets, bits),
+        "node bigint, df bigint, token bigint, sizes bigint",
+    )
+    dealt = known.repartition("node").sortWithinPartitions("node", "df", "token")
+    sigs = stored(map_arrow(dealt, _signature_rows(classes), SIGNATURES), "join-signatures")
+    several = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return stored(sigs.join(several.select("sig"), "sig", "left_semi"), "join-shared")
+
+
 def jaccard_components(
     docs: DataFrame,
     hubs_per_round: int = ROUND_HUBS,
@@ -498,19 +568,10 @@ def jaccard_components(
         if nodes.where("lo != hi").isEmpty():
             break
         seed += 1
-    tokens = _token_rows(docs, seed).repartition("token").sortWithinPartitions("token", "node")
-    known = map_arrow(
-        tokens,
-        lambda batches: _frequencies(batches, held_sets),
-        "node bigint, df bigint, token bigint, sizes bigint",
-    )
-    dealt = known.repartition("node").sortWithinPartitions("node", "df", "token")
-    sigs = map_arrow(dealt, _signature_rows(classes), SIGNATURES)
-    sigs = stored(sigs, "join-signatures")
-    several = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    sigs = stored(sigs.join(several.select("sig"), "sig", "left_semi"), "join-shared")
-    wanted = stored(sigs.select("node").distinct(), "join-wanted")
-    sets = stored(_sets(docs, seed, wanted), "join-sets")
+    found = _shared_signatures(_token_rows(docs, seed), classes, held_sets, COUNTED_BITS)
+    wanted = stored(found.select("node").distinct().join(nodes, "node"), "join-wanted")
+    sets = stored(_sets(docs, seed, wanted.select("node", "doc_id")), "join-sets")
+    sigs = _shared_signatures(_tokens_of(sets), classes, held_sets, 0)
     links = set_links(sigs, sets, hubs_per_round)
     found = smallest_reachable(links, nodes.select("node", "doc_id"), "node", "doc_id")
     some = rows.where("n_shingles > 0").join(found.select("node", "component_id"), "node")

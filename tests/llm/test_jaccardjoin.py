@@ -135,7 +135,8 @@ def test_documents_of_the_table(spark, sf_dir):
 
 
 @pytest.mark.parametrize("classes", [(0, 0), (0, 10**9), (3, 6), (10**9, 10**9)])
-def test_linked_sets_share_a_signature(classes):
+@pytest.mark.parametrize("bits", [0, jaccardjoin.COUNTED_BITS])
+def test_linked_sets_share_a_signature(classes, bits):
     rng = np.random.default_rng(5)
     for _ in range(400):
         n = int(rng.choice([1, 2, 5, 9, 11, 12, 20, 50, 130, 400, 700]))
@@ -145,13 +146,13 @@ def test_linked_sets_share_a_signature(classes):
         out = rng.permutation(n)[:cut]
         side = rng.random(cut) < rng.random()
         both = [np.delete(union, out[side]), np.delete(union, out[~side])]
-        known = np.where(counted(union), rng.integers(2, 9, n), jaccardjoin.UNCOUNTED)
-        only = out[counted(union[out])]
+        known = np.where(counted(union, bits), rng.integers(2, 9, n), jaccardjoin.UNCOUNTED)
+        only = out[counted(union[out], bits)]
         known[only[::2]] = 1
         df = dict(zip(union.tolist(), known.tolist()))
         sigs = []
         for own in both:
-            order, number = indexed_tokens(own)
+            order, number = indexed_tokens(own, bits)
             order = sorted(order.tolist(), key=lambda t: (df[t], t))
             tokens = np.array(order, dtype=np.uint64)
             of = np.array([df[t] for t in order])
@@ -177,7 +178,7 @@ def test_frequencies_stream_over_batches():
             ]
             got = [
                 tuple(r.values())
-                for b in jaccardjoin._frequencies(iter(batches), most)
+                for b in jaccardjoin._frequencies(iter(batches), most, jaccardjoin.COUNTED_BITS)
                 for r in b.to_pylist()
             ]
             want = {
