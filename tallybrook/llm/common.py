@@ -47,9 +47,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(rows: DataFrame, purpose: str) -> DataFrame:
     """The rows, written to the shared work folder and read again, so that nothing before them
-    is computed twice and a lost executor costs only its running tasks."""
+    is computed twice and a lost executor costs only its running tasks.
+
+    Spark removes the shuffle files and broadcasts of a finished step once the driver has collected
+    its plan. A chain of steps would pile up both until the driver's heap is full, so each
+    step ends with a collection.
+    """
     path = work_dir(rows.sparkSession, f"llm-{purpose}")
     rows.write.parquet(path)
+    rows.sparkSession.sparkContext._jvm.System.gc()
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -167,62 +167,96 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column
     Logarithms of neighbouring probabilities' ratios are summed over the range within REACH
     deviations of the mean, so that the range grows with the root of the numbers.
     """
-    mean = drawn * marked / F.greatest(total, F.lit(1))
-    spread = F.sqrt(
-        F.greatest(
-            mean * (F.lit(1.0) - marked / F.greatest(total, F.lit(1))), F.lit(0.0)
-        )
+    given = F.struct(
+        total.cast("bigint").alias("total"),
+        marked.cast("bigint").alias("marked"),
+        drawn.cast("bigint").alias("drawn"),
+        uniform.alias("uniform"),
     )
-    low = F.greatest(
-        F.lit(0), drawn - total + marked, F.floor(mean - spread * REACH).cast("int")
-    ).cast("int")
-    high = F.least(marked, drawn, F.ceil(mean + spread * REACH).cast("int")).cast("int")
-
-    def step(state: Column, k: Column) -> Column:
-        # from the probability of k - 1 to that of k
-        ratio = ((marked - k + 1) * (drawn - k + 1) * F.lit(1.0)) / (
-            k * (total - marked - drawn + k) * F.lit(1.0)
+    # every value is bound once: as nested expressions they would be repeated in the plan
+    return let(given, _within_reach)
+
+
+def _within_reach(given: Column) -> Column:
+    total, marked, drawn = given["total"], given["marked"], given["drawn"]
+    share = marked / F.greatest(total, F.lit(1))
+
+    def bounded(mean: Column) -> Column:
+        reach = F.sqrt(F.greatest(mean * (F.lit(1.0) - share), F.lit(0.0))) * REACH
+        return F.struct(
+            F.greatest(F.lit(0), drawn - total + marked, F.floor(mean - reach)).alias("low"),
+            F.least(marked, drawn, F.ceil(mean + reach)).alias("high"),
         )
-        log = state["log"] + F.log(ratio)
-        return F.struct(log.alias("log"), F.concat(state["logs"], F.array(log)).alias("logs"))
 
-    zero = F.struct(F.lit(0.0).alias("log"), F.array(F.lit(0.0)).alias("logs"))
-    later = F.when(high > low, F.sequence(low + 1, high)).otherwise(
-        F.array().cast("array<int>")
-    )
-    logs = F.aggregate(later, zero, step, lambda s: s["logs"])
-
-    def invert(logs: Column) -> Column:
-        top = F.array_max(logs)
-        shares = F.transform(logs, lambda x: F.exp(x - top))
-        whole = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
-        found = F.aggregate(
-            shares,
-            F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")),
-            lambda s, x: F.struct(
-                (s["sum"] + x).alias("sum"),
-                (s["k"] + F.when(s["sum"] + x < uniform * whole, 1).otherwise(0)).alias("k"),
-            ),
-            lambda s: s["k"],
+    return let(let(drawn * share, bounded), lambda range_: _inverted(given, range_))
+
+
+def _inverted(given: Column, range_: Column) -> Column:
+    total, marked, drawn, uniform = (given[c] for c in ("total", "marked", "drawn", "uniform"))
+    low, high = range_["low"], range_["high"]
+    nothing = F.array().cast("array<bigint>")
+    later = F.when(high > low, F.sequence(low + 1, high)).otherwise(nothing)
+
+    def ratio(k: Column) -> Column:
+        # of the probabilities of k and k - 1, in doubles: products of counts leave 64 bits
+        up = (marked - k + 1).cast("double") * (drawn - k + 1)
+        return F.log(up / (k.cast("double") * (total - marked - drawn + k)))
+
+    def sums(top: Column, first, add) -> Column:
+        """Folds the shares exp(log - top) of all k, the lowest included."""
+        start = F.struct(F.lit(0.0).alias("log"), first(F.exp(-top)).alias("sum"))
+
+        def step(state: Column, k: Column) -> Column:
+            return let(
+                state["log"] + ratio(k),
+                lambda log: F.struct(
+                    log.alias("log"), add(state["sum"], F.exp(log - top)).alias("sum")
+                ),
+            )
+
+        return F.aggregate(later, start, step, lambda s: s["sum"])
+
+    def invert(top: Column) -> Column:
+        whole = sums(top, lambda x: x, lambda a, x: a + x)
+
+        def below(whole: Column) -> Column:
+            def count(upto: Column, share: Column, k: Column) -> Column:
+                upto = upto + share
+                more = F.when(upto < uniform * whole, 1).otherwise(0)
+                return F.struct(upto.alias("upto"), (k + more).cast("bigint").alias("k"))
+
+            return sums(
+                top,
+                lambda x: count(F.lit(0.0), x, F.lit(0)),
+                lambda s, x: count(s["upto"], x, s["k"]),
+            )["k"]
+
+        return F.least(low + let(whole, below), high)
+
+    # the largest logarithm, so that no share is lost to underflow
+    zero = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("top"))
+
+    def climb(state: Column, k: Column) -> Column:
+        return let(
+            state["log"] + ratio(k),
+            lambda log: F.struct(log.alias("log"), F.greatest(state["top"], log).alias("top")),
         )
-        return F.least(low + found, high)
 
-    return let(logs, invert)
+    return let(F.aggregate(later, zero, climb, lambda s: s["top"]), invert)
 
 
 def _source_draw(seed: int, level: int):
     """The step of a node's draw: state and number of the next source to the next state."""
 
     def draw(state: Column, i: Column) -> Column:
-        here = state["all"][i]
         uniform = _uniform(F.lit(seed), F.lit(level), state["shard"], i)
-        part = hypergeometric(state["total"], here, state["open"], uniform)
+        part = hypergeometric(state["total"], state["all"][i], state["open"], uniform)
         return let(
             part,
             lambda x: F.struct(
                 state["all"].alias("all"),
                 state["shard"].alias("shard"),
-                (state["total"] - here).alias("total"),
+                (state["total"] - state["all"][i]).alias("total"),
                 (state["open"] - x).alias("open"),
                 F.concat(state["left"], F.array(x)).alias("left"),
             ),
@@ -232,23 +266,25 @@ def _source_draw(seed: int, level: int):
 
 
 def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = 0) -> DataFrame:
-    """shard and quotas (array<int>): one row with `quotas` cut into 2 ** levels shards.
+    """shard and quotas (array<bigint>): one row with `quotas` cut into 2 ** levels shards.
 
     At each node of a binary tree the left child gets half of the node's blocks; how many of
     each source follows the multivariate hypergeometric law, drawn source by source from
     what is left. Every block goes to exactly one shard.
     """
-    nodes = quotas.select(F.lit(0).alias("shard"), "quotas")
+    nodes = quotas.select(
+        F.lit(0).alias("shard"), F.col("quotas").cast("array<bigint>").alias("quotas")
+    )
     for level in range(levels):
-        total = F.aggregate("quotas", F.lit(0), lambda a, x: a + x)
+        total = F.aggregate("quotas", F.lit(0).cast("bigint"), lambda a, x: a + x)
         start = let(
             total,
             lambda t: F.struct(
                 F.col("quotas").alias("all"),
                 F.col("shard").alias("shard"),
                 t.alias("total"),
-                F.floor(t / 2).cast("int").alias("open"),
-                F.array().cast("array<int>").alias("left"),
+                F.floor(t / 2).alias("open"),
+                F.array().cast("array<bigint>").alias("left"),
             ),
         )
         each = F.when(
@@ -271,11 +307,12 @@ def shards_of_blocks(blocks: DataFrame, goals: DataFrame, levels: int, seed: int
     A source's blocks, permuted by a hash, are dealt out in the numbers the splitting tree
     gives each shard.
     """
-    order = Window.partitionBy("source").orderBy(
-        F.xxhash64(F.lit(seed), "copy", "block"), "copy", "block"
-    )
-    numbered = blocks.withColumn("number", F.row_number().over(order))
-    per_source = blocks.groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    permuted = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "copy", "block"), 64 - HASH_BITS)
+    keyed = blocks.withColumn("key", permuted).withColumn("one", F.lit(1))
+    bits = bucket_bits(blocks.count())
+    numbered = running_sum(keyed, ["source"], "key", ["copy", "block"], "one", bits)
+    numbered = numbered.withColumn("number", F.col("before") + 1)
+    per_source = blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     placed = _with_source(goals.select("source", "place"), per_source)
     by_place = F.sort_array(F.collect_list(F.struct("place", "n", "source")))
     gathered = placed.agg(by_place.alias("all"))
@@ -360,7 +397,7 @@ def mixed_rows(docs: DataFrame, levels: int = LEVELS, seed: int = 0) -> DataFram
     text = F.coalesce(F.col("text"), F.lit(""))
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))
     names = docs.columns
-    keyed = docs.select(md5_key(name).alias("_perm"), "source", F.struct(*names).alias("_row"))
+    keyed = docs.select(md5_key(name).alias("_perm"), "source", F.struct(*[F.col(f"`{name}`") for name in names]).alias("_row"))
     plan = mix(docs, levels, seed).where(F.size("drawn") > 0)
     plan = plan.select(F.col("perm").alias("_p"), F.col("source").alias("_source"), "drawn")
     same = (F.col("_perm") == F.col("_p")) & _same_source(F.col("source"), F.col("_source"))

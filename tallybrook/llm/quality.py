@@ -391,7 +391,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     that costs less than to store or to shuffle whole texts.
     """
     found = fit(stored(with_statistics(docs, ["lang", "source"]), "quality-rows"))
-    whole = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    whole = docs.select("text", "lang", "source", row.alias("_row"))
     judged = judge(with_statistics(whole, ["lang", "source", "_row"]), *found)
     # one number instead of two conditions: the optimizer would take all statistics once more to
     # test the base rules before the join

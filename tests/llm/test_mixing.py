@@ -84,6 +84,25 @@ def test_splitting_keeps_every_block(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_a_million_blocks_split_without_overflow(spark):
+    quotas = [600_000, 400_000, 3_000_000_000, 1]
+    table = spark.range(1).select(F.array(*[F.lit(q) for q in quotas]).alias("quotas"))
+    got = mixing.split_quotas(table, levels=2).collect()
+    assert [sum(r.quotas[i] for r in got) for i in range(4)] == quotas
+    for i, quota in enumerate(quotas[:3]):
+        for r in got:
+            assert r.quotas[i] == pytest.approx(quota / 4, abs=6 * math.sqrt(quota))
+
+
+def test_columns_with_dots_and_clashing_names_stay(spark):
+    docs = spark.createDataFrame(
+        [(i, "some words here " * (i + 1), "s", i) for i in range(6)],
+        "doc_id bigint, text string, source string, `a.b` bigint",
+    ).selectExpr("*", "1 AS shard", "2 AS perm")
+    rows = mixing.mixed_rows(docs).collect()
+    assert rows and all(r["a.b"] == r.doc_id and r.shard == 1 and r.perm == 2 for r in rows)
+
+
 def check(rows, mixed):
     size = defaultdict(int)
     for _, text, source in rows:
