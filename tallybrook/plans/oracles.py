@@ -253,6 +253,69 @@ def _code_ctes() -> str:
 
 _CODE_JOINS = " ".join(f"JOIN {code} USING ({name})" for name, code in _CODES.items())
 
+_TREE_FEATURES = ("amount_bin", "hour_of_day", *_CODES.values())
+
+
+def _gini(fraud: str, other: str) -> str:
+    whole = f"({fraud} + {other})"
+    return f"(1 - ({fraud} / {whole}) * ({fraud} / {whole}) - ({other} / {whole}) * ({other} / {whole}))"
+
+
+def _tree_level(depth: int) -> str:
+    """Splits of one level, and the rows of the next one."""
+    long = " UNION ALL ".join(
+        f"SELECT node, label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM rows{depth}"
+        for f in _TREE_FEATURES
+    )
+    right_f, right_o = "(f - lf)", "(o - lo)"
+    value = " ".join(f"WHEN '{f}' THEN {f}" for f in _TREE_FEATURES)
+    return f"""
+counts{depth} AS (
+  SELECT node, feature, value, SUM(label) AS fraud, SUM(1 - label) AS other
+  FROM ({long}) long GROUP BY node, feature, value
+),
+sums{depth} AS (
+  SELECT node, feature, value AS threshold,
+         SUM(fraud) OVER upto / p AS lf, SUM(other) OVER upto / q AS lo,
+         SUM(fraud) OVER every / p AS f, SUM(other) OVER every / q AS o,
+         MAX(value) OVER every AS last
+  FROM counts{depth}, totals
+  WINDOW upto AS (PARTITION BY node, feature ORDER BY value),
+         every AS (PARTITION BY node, feature)
+),
+scored{depth} AS (
+  SELECT node, feature, threshold, ROUND({_gini("f", "o")}, 9) AS impurity,
+         ROUND({_gini("f", "o")} - ((lf + lo) * {_gini("lf", "lo")}
+               + (f - lf + o - lo) * {_gini(right_f, right_o)}) / (f + o), 9) AS gain
+  FROM sums{depth} WHERE threshold < last
+),
+split{depth} AS (
+  SELECT {depth} AS depth, node, feature, threshold, impurity, gain FROM scored{depth} WHERE gain > 0
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY node ORDER BY gain DESC, feature, threshold) = 1
+),
+rows{depth + 1} AS (
+  SELECT r.* EXCLUDE (node),
+         r.node * 2 + CASE WHEN CASE feature {value} END > threshold THEN 1 ELSE 0 END AS node
+  FROM rows{depth} r JOIN split{depth} USING (node)
+)"""
+
+
+def _tree_splits(levels: int = 2) -> str:
+    parts = ", ".join(_tree_level(depth) for depth in range(levels))
+    found = " UNION ALL ".join(f"SELECT * FROM split{depth}" for depth in range(levels))
+    return f"""WITH {PAYMENTS}, {_code_ctes()},
+rows0 AS (
+  SELECT CAST(1 AS BIGINT) AS node, CAST(is_fraud AS INT) AS label,
+         LEAST(FLOOR(amount_egp / 100) * 100, 50000) AS amount_bin,
+         EXTRACT(hour FROM event_time) AS hour_of_day, {", ".join(f"{c}.{c}" for c in _CODES.values())}
+  FROM payments {_CODE_JOINS} WHERE is_fraud IS NOT NULL
+),
+totals AS (
+  SELECT CAST(SUM(label) AS DOUBLE) AS p, CAST(SUM(1 - label) AS DOUBLE) AS q FROM rows0
+), {parts}
+{found}"""
+
+
 _RANGES = ", ".join(
     f"('{s}', CAST({low} AS DOUBLE), CAST({high} AS DOUBLE))"
     for s, (low, high) in AMOUNT_RANGES.items()
@@ -447,6 +510,7 @@ SELECT transaction_id, amount_egp, service_enc.service_enc, gov_enc.gov_enc,
        CAST(CASE WHEN EXTRACT(hour FROM event_time) <= 4 THEN 1 ELSE 0 END AS INT) AS odd_hour,
        LEAST(amount_egp / CAST(50000 AS DOUBLE), CAST(1 AS DOUBLE)) AS amount_ratio
 FROM percentiles {_CODE_JOINS}""",
+        "fraud_tree_splits": _tree_splits(),
         "label_profile": f"""WITH {LABELLED}
 SELECT COUNT(*) AS n_rows, ROUND(AVG(CASE WHEN is_fraud THEN CAST(1 AS DOUBLE) ELSE 0 END), 8)
        AS label_mean

@@ -20,6 +20,7 @@ from tallybrook.operators import (
     reports,
     splitting,
     summaries,
+    treesplits,
     upsert,
 )
 from tallybrook.plans import jobs
@@ -37,6 +38,8 @@ QUERIES: dict[str, Query] = {}
 #: event may come behind later ones: not at all in such files, but the streams keep their margin.
 STREAM_FILES = 4
 DELAY = "1 day"
+#: What the first levels of a tree may split on.
+TREE_FEATURES = ("amount_bin", "hour_of_day", *model.ENCODED.values())
 #: State partitions of the registered streams.
 STATE_PARTITIONS = 8
 
@@ -402,6 +405,40 @@ def train_fraud_model(spark, sf_dir):
     )
 
 
+@query
+def fraud_model_confusion(spark, sf_dir):
+    """Held-out payments by true label and the forest's verdict."""
+    _, tested = model.train_and_test(source.payments(spark, sf_dir))
+    return evaluation.confusion_matrix(tested, "is_fraud", "predicted_fraud")
+
+
+@query
+def fraud_tree_splits(spark, sf_dir):
+    """The first two levels of a class-weighted decision tree over the labelled payments."""
+    known = model.with_time_features(model.encode_labels(source.payments(spark, sf_dir)))
+    known = known.where(F.col("is_fraud").isNotNull())
+    rows = known.select(
+        treesplits.amount_bin().alias("amount_bin"),
+        "hour_of_day",
+        *model.ENCODED.values(),
+        F.col("is_fraud").cast("int").alias("label"),
+    )
+    return treesplits.first_levels(rows, TREE_FEATURES)
+
+
+@query
+def ml_payment_scores(spark, sf_dir):
+    """Rule score, the forest's score and the flag of every payment, scored by a saved model."""
+    path = work_dir(spark, "model")
+    rows = source.payments(spark, sf_dir)
+    model.fit_model(rows).save(path)
+    asked = rows.withColumn("source_flag", F.col("is_fraud"))
+    scored = model.score_with_model(asked, model.load_model(spark, path))
+    return scored.select(
+        "transaction_id", "rule_score", "ml_score", "fraud_score", "source_flag", "is_fraud"
+    )
+
+
 @query
 def ml_fraud_score(spark, sf_dir):
     """Fit, save, load, then score every payment; of the scores what does not depend on trees."""
