@@ -440,6 +440,19 @@ def _may_link() -> Column:
     return 100 * common >= PERCENT * (F.col("n") + F.col("hub_n") - common)
 
 
+def _distinct_buckets(sigs: DataFrame) -> DataFrame:
+    """The rows of one bucket among those with the same members: near copies share many
+    signatures, and each pair is to come from few of them."""
+    wide = "decimal(38,0)"
+    buckets = sigs.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("m"),
+        F.sum(F.xxhash64("node").cast(wide)).alias("s"),
+        F.sum(F.xxhash64(F.lit("again"), "node").cast(wide)).alias("t"),
+    )
+    first = buckets.where("m > 1").groupBy("m", "s", "t").agg(F.min("sig").alias("sig"))
+    return sigs.join(first.select("sig"), "sig", "left_semi")
+
+
 def set_links(sigs: DataFrame, sets: DataFrame, hubs_per_round: int = ROUND_HUBS) -> DataFrame:
     """Links a, b that connect all sets in common buckets with the similarity asked for.
 
@@ -450,6 +463,7 @@ def set_links(sigs: DataFrame, sets: DataFrame, hubs_per_round: int = ROUND_HUBS
     parts, some per bucket and round. A member compared leaves its buckets. Rounds end when every
     bucket is connected or used up, so pairs that stay uncompared are connected already.
     """
+    sigs = stored(_distinct_buckets(sigs), "join-buckets")
     order = F.struct("alone", "node", "n")
     hubs = sigs.groupBy("sig").agg(F.min(order).alias("h"), F.count(F.lit(1)).alias("m"))
     hubs = hubs.where("m > 1").select(
