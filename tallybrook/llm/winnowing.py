@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from tallybrook.llm.common import let
 
-#: Words in a gram and grams in a window: a run of GRAM + SPAN - 1 words that two texts share
-#: always gives them a common hash, and no run of fewer than GRAM words ever does.
+#: Tokens in a gram and grams in a window: a run of GRAM + SPAN - 1 tokens that two texts share
+#: always gives them a common hash, and no run of fewer than GRAM tokens ever does.
 GRAM = 4
 SPAN = 4
-#: Longer words are cut, so that text without white space has grams too.
+#: A word of up to so many code points is a token. In a longer run without white space a token
+#: starts at every code point, so a passage keeps its grams wherever in the run it stands.
 WORD_CHARS = 16
+#: Code points of a token inside such a run; fewer at the run's end.
+PIECE_CHARS = 4
+_CHAR = r"[^\x20\x09-\x0D]"
+_WORD = rf"(?<!{_CHAR}){_CHAR}{{1,{WORD_CHARS}}}+(?!{_CHAR})"
+#: Group 1 is the token; what a match uses up is the word, or one code point of a longer run.
+TOKEN = rf"(?=({_WORD}|{_CHAR}{{1,{PIECE_CHARS}}}))(?:{_WORD}|{_CHAR})"
 
 #: Documents in one range of ids, about.
 RANGE_ROWS = 10_000
@@ -22,15 +29,14 @@ MAX_RANGES = 4096
 def fingerprint(text: Column) -> Column:
     """struct<positions array<int>, hashes array<bigint>> of a whole text.
 
-    Hashes of grams of words are grouped into windows of SPAN neighbours, and of each the
-    smallest is kept, of equal ones the rightmost. Positions are the numbers of the grams' first
-    words, ascending. A text shorter than a gram is one gram, fewer grams than a
-    window are one window; a null text or one without words keeps nothing.
+    Tokens are words and, in runs of more than WORD_CHARS code points, the PIECE_CHARS code
+    points from each one on. Hashes of grams of tokens are grouped into windows of SPAN
+    neighbours, and of each the smallest is kept, of equal ones the rightmost. Positions are the
+    numbers of the grams' first tokens, ascending. A text shorter than a gram is one gram, fewer
+    grams than a window are one window; a null text or one without words keeps nothing.
     """
     none = F.array().cast("array<int>")
-    tokens = F.regexp_extract_all(
-        F.coalesce(text, F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{WORD_CHARS}}}"), F.lit(0)
-    )
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(1))
 
     def numbers(count: Column) -> Column:
         return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(none)

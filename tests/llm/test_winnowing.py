@@ -12,7 +12,15 @@ from tallybrook.llm import winnowing
 from tallybrook.llm.queries import op9_winnowing
 from tests.conftest import plan_of
 
-WORD = re.compile(r"[^\x20\x09-\x0D]{1,16}")
+RUN = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def tokens_of(text):
+    """Words of up to 16 code points; of longer runs the four code points from each one on."""
+    tokens = []
+    for run in RUN.findall(text or ""):
+        tokens += [run] if len(run) <= 16 else [run[i : i + 4] for i in range(len(run))]
+    return tokens
 
 
 def signed(value):
@@ -28,7 +36,7 @@ def hash_of(words):
 
 def print_of(text, gram=winnowing.GRAM, span=winnowing.SPAN):
     """Positions and hashes, window by window."""
-    words = WORD.findall(text or "")
+    words = tokens_of(text)
     if not words:
         return [], []
     if len(words) < gram:
@@ -112,6 +120,26 @@ def test_long_common_runs_always_share_a_hash(spark):
     assert all(r[0] for r in table.select(F.arrays_overlap(*prints)).collect())
 
 
+@pytest.mark.parametrize("alphabet", ["的一是不了人我在有他这中大来上国", "abcdefghijklmnop", "😀😁😂é中ñ"])
+def test_shifted_passages_without_spaces_are_found(spark, alphabet):
+    draw = random.Random(11)
+    run = "".join(draw.choices(alphabet, k=2000))
+    others = ["".join(draw.choices(alphabet, k=shift)) + run for shift in (1, 3, 4, 8, 15, 16)]
+    rows = [(run, other) for other in others]
+    rows += [(run, other + " " + "word " * 3) for other in others]
+    table = spark.createDataFrame(rows, "a string, b string")
+    prints = [winnowing.fingerprint(F.col(c))["hashes"] for c in "ab"]
+    got = [r[0] for r in table.select(winnowing.likeness(*prints)).collect()]
+    assert min(got) > 0.9
+
+
+def test_words_and_runs_meet_at_sixteen_code_points(spark):
+    texts = ["a" * 16 + " b", "a" * 17 + " b", "é😀" * 8, "é😀" * 9 + " c d", "x" * 40 + "\n" + "y" * 15]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = table.select("text", F.regexp_extract_all("text", F.lit(winnowing.TOKEN), F.lit(1)).alias("t"))
+    assert all(r.t == tokens_of(r.text) for r in rows.collect())
+
+
 def test_one_document_and_none(spark):
     schema = "doc_id bigint, text string"
     row = winnowing.compare_with_edits(spark.createDataFrame([(5, "a b c d e f")], schema)).first()
