@@ -18,6 +18,7 @@ WORD_CHARS = 16
 PIECE_CHARS = 4
 _CHAR = r"[^\x20\x09-\x0D]"
 _WORD = rf"(?<!{_CHAR}){_CHAR}{{1,{WORD_CHARS}}}+(?!{_CHAR})"
+LONG_RUN = rf"{_CHAR}{{{WORD_CHARS + 1}}}"
 #: Group 1 is the token; what a match uses up is the word, or one code point of a longer run.
 TOKEN = rf"(?=({_WORD}|{_CHAR}{{1,{PIECE_CHARS}}}))(?:{_WORD}|{_CHAR})"
 
@@ -36,7 +37,11 @@ def fingerprint(text: Column) -> Column:
     grams than a window are one window; a null text or one without words keeps nothing.
     """
     none = F.array().cast("array<int>")
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(1))
+    whole = F.coalesce(text, F.lit(""))
+    # most texts have no long run, and their words need no look at what surrounds them
+    tokens = F.when(
+        F.regexp_like(whole, F.lit(LONG_RUN)), F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(1))
+    ).otherwise(F.regexp_extract_all(whole, F.lit(f"{_CHAR}+"), F.lit(0)))
 
     def numbers(count: Column) -> Column:
         return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(none)
