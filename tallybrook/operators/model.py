@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallybrook.functions.features import amount_ratio, hour_of_day, odd_hour
 from tallybrook.functions.scoring import fraud_flag, rule_score
+from tallybrook.operators.nodetable import forest_nodes, mean_share, with_trees
 from tallybrook.operators.ranking import amount_percentile
 from tallybrook.operators.running import data_bucket, running_totals
 from tallybrook.operators.splitting import SEED, class_weights, stratified_split
@@ -156,11 +157,15 @@ class FraudModel:
     quantiles: DataFrame
     partitions: int = PARTITIONS
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """Add `fraud_probability` and `predicted_fraud`; works on a batch and a stream."""
+    def inputs(self, rows: DataFrame) -> DataFrame:
+        """Add the model's inputs; a missing amount counts as 0."""
         filled = rows.withColumn("amount_egp", F.coalesce("amount_egp", F.lit(0.0)))
         coded = encode_with(with_time_features(filled), self.codes)
-        scored = self.pipeline.transform(place_amount(coded, self.quantiles))
+        return place_amount(coded, self.quantiles)
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """Add `fraud_probability` and `predicted_fraud`; works on a batch and a stream."""
+        scored = self.pipeline.transform(self.inputs(rows))
         return scored.select(
             *rows.columns,
             vector_to_array("probability")[1].alias("fraud_probability"),
@@ -168,10 +173,12 @@ class FraudModel:
         )
 
     def save(self, path: str) -> None:
-        """Write all parts below one folder."""
+        """Write all parts below one folder, and the forest's nodes as a table beside them."""
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         spark = self.codes.sparkSession
+        nodes = forest_nodes(spark, f"{path}/pipeline")
+        nodes.write.mode("overwrite").parquet(f"{path}/nodes")
         settings = spark.range(1).select(F.lit(self.partitions).alias("partitions"))
         settings.write.mode("overwrite").parquet(f"{path}/settings")
         self.quantiles.write.mode("overwrite").parquet(f"{path}/quantiles")
@@ -266,6 +273,18 @@ def train_and_test(labelled: DataFrame) -> tuple[FraudModel, DataFrame]:
     return model, model.predict(parts.where(F.col("split") == "test").drop("split"))
 
 
+def score_from_nodes(rows: DataFrame, model: FraudModel, nodes: DataFrame) -> DataFrame:
+    """Add `ml_score` by walking the saved table of nodes, without the forest's own classes.
+
+    No row is shuffled or sent to Python: the table goes to the tasks as one value of bounded size.
+    """
+    features = F.array(*[F.col(c).cast("double") for c in FEATURES])
+    depth = model.pipeline.stages[-1].getMaxDepth()
+    scored = with_trees(model.inputs(rows), nodes)
+    share = mean_share(F.col("_trees"), features, depth)
+    return scored.select(*rows.columns, F.round(share, SCORE_DIGITS).alias("ml_score"))
+
+
 def score_with_model(rows: DataFrame, model: FraudModel | None) -> DataFrame:
     """Score rows with the model, or with the rules while there is no model, and raise the flag."""
     ruled = rows.withColumn("rule_score", rule_score())

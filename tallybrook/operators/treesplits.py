@@ -122,3 +122,54 @@ def first_levels(rows: DataFrame, features: Sequence[str], levels: int = 2) -> D
         found = level if found is None else found.unionByName(level)
         rows = place(rows, splits, features)
     return found
+
+
+def grown_tree(rows: DataFrame, features: Sequence[str], splits: DataFrame, levels: int) -> DataFrame:
+    """The tree of `splits`, as `first_levels` found them in `rows`, as a table of nodes.
+
+    Columns are those of `nodetable` and `path`, the number of a node by which its children are
+    2 n and 2 n + 1. A node is a leaf where no split was found or no level is left; `share` weighs
+    classes as in the splits. Every window sees at most 2 ** (levels + 1) rows.
+    """
+    rows, counted = rows.withColumn("node", F.lit(1).cast("bigint")), None
+    totals = class_totals(rows)
+    for depth in range(levels + 1):
+        level = rows.groupBy("node").agg(
+            F.sum("label").alias("fraud"), F.sum(F.lit(1) - F.col("label")).alias("other")
+        )
+        counted = level if counted is None else counted.unionByName(level)
+        if depth < levels:
+            rows = place(rows, splits.where(F.col("depth") == depth), features)
+    number = F.coalesce(
+        *[F.when(F.col("feature") == f, F.lit(i)) for i, f in enumerate(features)], F.lit(-1)
+    )
+    fraud = F.col("fraud") / F.nullif("_p", F.lit(0.0))
+    other = F.col("other") / F.nullif("_q", F.lit(0.0))
+    known = (
+        counted.crossJoin(F.broadcast(totals))
+        .select(F.col("node").alias("path"), (fraud / (fraud + other)).alias("share"))
+        .join(F.broadcast(splits.withColumnRenamed("node", "path")), "path", "left")
+        .withColumn("node", F.row_number().over(Window.orderBy("path")) - 1)
+    )
+    children = known.select((F.col("path")).alias("_path"), F.col("node").alias("_node"))
+    left, right = (
+        children.select(F.col("_path").alias(f"_{side}"), F.col("_node").alias(f"{side}_child"))
+        for side in ("left", "right")
+    )
+    split = F.col("feature").isNotNull()
+    return (
+        known.withColumn("_left", F.when(split, F.col("path") * 2))
+        .withColumn("_right", F.when(split, F.col("path") * 2 + 1))
+        .join(F.broadcast(left), "_left", "left")
+        .join(F.broadcast(right), "_right", "left")
+        .select(
+            F.lit(0).alias("tree"),
+            "node",
+            number.alias("feature"),
+            "threshold",
+            F.coalesce("left_child", F.lit(-1)).alias("left_child"),
+            F.coalesce("right_child", F.lit(-1)).alias("right_child"),
+            "share",
+            "path",
+        )
+    )

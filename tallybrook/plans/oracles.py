@@ -300,20 +300,52 @@ rows{depth + 1} AS (
 )"""
 
 
-def _tree_splits(levels: int = 2) -> str:
+def _grown(levels: int) -> str:
+    """The splits of the first levels, and the rows of every level."""
     parts = ", ".join(_tree_level(depth) for depth in range(levels))
-    found = " UNION ALL ".join(f"SELECT * FROM split{depth}" for depth in range(levels))
     return f"""WITH {PAYMENTS}, {_code_ctes()},
-rows0 AS (
-  SELECT CAST(1 AS BIGINT) AS node, CAST(is_fraud AS INT) AS label,
-         LEAST(FLOOR(amount_egp / 100) * 100, 50000) AS amount_bin,
+inputs AS (
+  SELECT transaction_id, is_fraud, LEAST(FLOOR(amount_egp / 100) * 100, 50000) AS amount_bin,
          EXTRACT(hour FROM event_time) AS hour_of_day, {", ".join(f"{c}.{c}" for c in _CODES.values())}
-  FROM payments {_CODE_JOINS} WHERE is_fraud IS NOT NULL
+  FROM payments {_CODE_JOINS}
+),
+rows0 AS (
+  SELECT CAST(1 AS BIGINT) AS node, CAST(is_fraud AS INT) AS label, {", ".join(_TREE_FEATURES)}
+  FROM inputs WHERE is_fraud IS NOT NULL
 ),
 totals AS (
   SELECT CAST(SUM(label) AS DOUBLE) AS p, CAST(SUM(1 - label) AS DOUBLE) AS q FROM rows0
-), {parts}
-{found}"""
+), {parts}"""
+
+
+def _tree_splits(levels: int = 2) -> str:
+    found = " UNION ALL ".join(f"SELECT * FROM split{depth}" for depth in range(levels))
+    return f"{_grown(levels)} {found}"
+
+
+def _tree_scores(levels: int = 2) -> str:
+    value = " ".join(f"WHEN '{f}' THEN {f}" for f in _TREE_FEATURES)
+    walks = ", ".join(
+        f"""walk{depth + 1} AS (
+  SELECT w.* EXCLUDE (node),
+         CASE WHEN feature IS NULL THEN w.node
+              WHEN CASE feature {value} END <= threshold THEN w.node * 2
+              ELSE w.node * 2 + 1 END AS node
+  FROM walk{depth} w LEFT JOIN (SELECT node, feature, threshold FROM split{depth}) s USING (node)
+)"""
+        for depth in range(levels)
+    )
+    nodes = " UNION ALL ".join(f"SELECT node, label FROM rows{d}" for d in range(levels + 1))
+    return f"""{_grown(levels)},
+shares AS (
+  SELECT node, ROUND(f / (f + o), 4) AS share
+  FROM (SELECT node, SUM(label) / MAX(p) AS f, SUM(1 - label) / MAX(q) AS o
+        FROM ({nodes}) n, totals GROUP BY node) t
+),
+walk0 AS (SELECT CAST(1 AS BIGINT) AS node, * FROM inputs), {walks}
+SELECT transaction_id, node AS leaf, share AS fraud_score, is_fraud AS source_flag,
+       (is_fraud OR share >= 0.5) AS is_fraud
+FROM walk{levels} JOIN shares USING (node)"""
 
 
 _RANGES = ", ".join(
@@ -511,6 +543,7 @@ SELECT transaction_id, amount_egp, service_enc.service_enc, gov_enc.gov_enc,
        LEAST(amount_egp / CAST(50000 AS DOUBLE), CAST(1 AS DOUBLE)) AS amount_ratio
 FROM percentiles {_CODE_JOINS}""",
         "fraud_tree_splits": _tree_splits(),
+        "fraud_tree_scores": _tree_scores(),
         "label_profile": f"""WITH {LABELLED}
 SELECT COUNT(*) AS n_rows, ROUND(AVG(CASE WHEN is_fraud THEN CAST(1 AS DOUBLE) ELSE 0 END), 8)
        AS label_mean

@@ -14,6 +14,7 @@ from tallybrook.operators import (
     counters,
     evaluation,
     model,
+    nodetable,
     parse,
     quality,
     ranking,
@@ -40,6 +41,7 @@ STREAM_FILES = 4
 DELAY = "1 day"
 #: What the first levels of a tree may split on.
 TREE_FEATURES = ("amount_bin", "hour_of_day", *model.ENCODED.values())
+TREE_LEVELS = 2
 #: State partitions of the registered streams.
 STATE_PARTITIONS = 8
 
@@ -415,15 +417,56 @@ def fraud_model_confusion(spark, sf_dir):
 @query
 def fraud_tree_splits(spark, sf_dir):
     """The first two levels of a class-weighted decision tree over the labelled payments."""
-    known = model.with_time_features(model.encode_labels(source.payments(spark, sf_dir)))
-    known = known.where(F.col("is_fraud").isNotNull())
-    rows = known.select(
-        treesplits.amount_bin().alias("amount_bin"),
-        "hour_of_day",
-        *model.ENCODED.values(),
-        F.col("is_fraud").cast("int").alias("label"),
+    return treesplits.first_levels(_tree_rows(_tree_inputs(spark, sf_dir)), TREE_FEATURES)
+
+
+def _tree_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments with what a tree may split on."""
+    coded = model.with_time_features(model.encode_labels(source.payments(spark, sf_dir)))
+    return coded.withColumn("amount_bin", treesplits.amount_bin())
+
+
+def _tree_rows(inputs: DataFrame) -> DataFrame:
+    """The labelled rows a tree learns from."""
+    label = F.col("is_fraud").cast("int").alias("label")
+    return inputs.where(F.col("is_fraud").isNotNull()).select(*TREE_FEATURES, label)
+
+
+@query
+def fraud_tree_scores(spark, sf_dir):
+    """Every payment scored by the saved nodes of a tree of two levels: leaf, score and flag."""
+    path = work_dir(spark, "tree")
+    inputs = _tree_inputs(spark, sf_dir)
+    rows = _tree_rows(inputs)
+    treesplits.first_levels(rows, TREE_FEATURES, TREE_LEVELS).write.parquet(f"{path}/splits")
+    splits = spark.read.parquet(f"{path}/splits")
+    treesplits.grown_tree(rows, TREE_FEATURES, splits, TREE_LEVELS).write.parquet(f"{path}/nodes")
+    nodes = spark.read.parquet(f"{path}/nodes")
+    features = F.array(*[F.col(c).cast("double") for c in TREE_FEATURES])
+    paths = nodes.agg(F.sort_array(F.collect_list(F.struct("node", "path")))).scalar()
+    scored = nodetable.with_trees(inputs, nodes).withColumn("_paths", paths).withColumn(
+        "_leaf", nodetable.leaf_of(F.get("_trees", F.lit(0)), features, TREE_LEVELS)
+    )
+    share = nodetable.mean_share(F.col("_trees"), features, TREE_LEVELS)
+    score = F.round(share, model.SCORE_DIGITS)
+    return scored.select(
+        "transaction_id",
+        F.get("_paths", F.col("_leaf"))["path"].alias("leaf"),
+        score.alias("fraud_score"),
+        F.col("is_fraud").alias("source_flag"),
+        (F.col("is_fraud") | (score >= FRAUD_THRESHOLD)).alias("is_fraud"),
     )
-    return treesplits.first_levels(rows, TREE_FEATURES)
+
+
+@query
+def forest_node_scores(spark, sf_dir):
+    """The forest's score of every payment, walked in the saved table of its nodes."""
+    path = work_dir(spark, "model")
+    rows = source.payments(spark, sf_dir)
+    model.fit_model(rows).save(path)
+    nodes = spark.read.parquet(f"{path}/nodes")
+    scored = model.score_from_nodes(rows, model.load_model(spark, path), nodes)
+    return scored.select("transaction_id", "ml_score")
 
 
 @query
