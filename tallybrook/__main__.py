@@ -1,6 +1,7 @@
 """Command line: python -m tallybrook <job> ..., or spark-submit with the package on the path.
 
-  stream   messages to warehouse, counters, quarantine, bronze and daily totals, until stopped;
+  stream   messages to warehouse, counters, quarantine, bronze and daily totals, until stopped
+           or one of its streams fails, which ends the others;
            scored by the model of the train job where there is one, else by the rules
   daily    new bronze files to the clean table and the summaries of the days they touch
   train    fit, save and evaluate the fraud model on the clean table's source labels
@@ -22,6 +23,7 @@ from tallybrook.session import build_session
 from tallybrook.sources.tables import job_messages
 from tallybrook.streaming import queries as streams
 from tallybrook.streaming.sinks import Targets, fold_counters
+from tallybrook.streaming.supervision import supervise
 
 
 def targets_of(root: str) -> Targets:
@@ -67,9 +69,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         query = streams.fan_out_sink(messages, targets_of(root), checkpoint, interval, score)
         if not interval:
             streams.finish(query)
-        jobs.stream_totals(own, messages, root, interval)
+        totals = jobs.stream_totals(own, messages, root, interval)
         if interval:
-            own.streams.awaitAnyTermination()
+            supervise([query, *totals])
     elif given.job == "daily" and given.run_date:
         show(jobs.run_daily(spark, lake, [given.run_date]))
     elif given.job == "daily":

@@ -63,7 +63,7 @@ def events_by_time(spark: SparkSession, sf_dir: str, folder: str, files: int) ->
     """Write the events to `folder` as files of consecutive times, the earliest first.
 
     A stream that takes files in the order they were written meets events in the order of their
-    times, whatever the order of the table.
+    times, whatever the order of the table. Events without a time are in the last file.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     shares = [i / files for i in range(1, files)]
@@ -72,10 +72,11 @@ def events_by_time(spark: SparkSession, sf_dir: str, folder: str, files: int) ->
     bounds = [None, *sorted(set(cuts)), None]
     for low, high in zip(bounds, bounds[1:]):
         part = events
-        if low is not None:
-            part = part.where(moment >= low)
         if high is not None:
             part = part.where(moment < high)
+        if low is not None:
+            late = moment >= low
+            part = part.where(late if high is not None else late | moment.isNull())
         part.coalesce(1).write.mode("append").parquet(folder)
     return folder
 

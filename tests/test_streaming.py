@@ -215,6 +215,20 @@ def test_registered_streams_run_several_batches(spark, sf_dir, folder):
     assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("times", [[5, 1, None, 9, 3, None, 7], [None, None], [4]])
+def test_events_without_a_time_stay_in_the_last_file(spark, folder, times):
+    rows = [(i, t) for i, t in enumerate(times)]
+    events = spark.createDataFrame(rows, "event_id long, t long")
+    events.select("event_id", F.timestamp_seconds("t").alias("ts")).write.parquet(f"{folder}/events.parquet")
+    path = source.events_by_time(spark, folder, f"{folder}/files", 3)
+    found = spark.read.parquet(path).select("event_id", F.col("ts").isNull(), F.input_file_name(), F.unix_seconds("ts"))
+    found = found.collect()
+    assert sorted(r[0] for r in found) == list(range(len(times)))
+    if any(times) and None in times:
+        last = max((r for r in found if not r[1]), key=lambda r: r[3])[2]
+        assert {r[2] for r in found if r[1]} == {last}
+
+
 def test_empty_batch_writes_nothing(spark, targets):
     fan_out(spark.createDataFrame([], "value string"), 3, targets, "q")
     assert not any(os.path.exists(p) for p in (targets.warehouse, targets.counters))
