@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.operators import evaluation, model, quality, summaries
+from tallybrook.operators import evaluation, idtable, model, quality, summaries
 from tallybrook.operators.parse import parse_transactions
 from tallybrook.operators.upsert import (
     finish_replacement,
@@ -40,8 +40,8 @@ CLEAN_STREAM_SCHEMA = (
     "amount_egp double, governorate string, status string, is_fraud boolean"
 )
 
-#: Folders that the table of ids is cut into by a hash.
-ID_BUCKETS = 64
+#: What the table of ids keeps beside an id.
+ID_COLUMNS = "event_date date"
 
 
 def previous_day() -> dt.date:
@@ -116,22 +116,19 @@ def _touched(fresh: DataFrame, lake: Lake) -> DataFrame:
     """Dates of the fresh rows and all dates under which their ids came before.
 
     Ids are entered in the table of ids before the clean table changes, so none is missing
-    there after a stop; a date too many only costs a needless rewrite of it.
+    there after a stop; a date too many only costs a needless rewrite of it. What is read of that
+    table grows with the delivery.
     """
     spark = fresh.sparkSession
-    spread = F.pmod(F.xxhash64("transaction_id"), F.lit(ID_BUCKETS)).cast("int")
-    own = fresh.select("transaction_id", "event_date").withColumn("id_bucket", spread)
+    own = fresh.select("transaction_id", "event_date")
     dates = own.select("event_date")
-    known = read_if_present(spark, lake.ids)
-    if known is not None:
-        keys = ["id_bucket", "transaction_id"]
-        before = known.join(own.select(*keys), keys, "left_semi").select(*own.columns).distinct()
+    before = idtable.lookup(own, lake.ids, ID_COLUMNS)
+    if before is not None:
         before.write.mode("overwrite").parquet(f"{lake.staging}/known")
         before = spark.read.parquet(f"{lake.staging}/known")
         dates = dates.union(before.select("event_date"))
         own = own.join(before, own.columns, "left_anti")
-    by_bucket = own.hint("rebalance", F.col("id_bucket"))
-    by_bucket.write.mode("append").partitionBy("id_bucket").parquet(lake.ids)
+    idtable.add(own, lake.ids, ID_COLUMNS)
     return dates.distinct()
 
 
