@@ -45,6 +45,14 @@ def _measures() -> list:
     ]
 
 
+def _totals() -> list:
+    return [
+        F.sum("total_transactions").alias("total_transactions"),
+        F.sum("total_amount_egp").cast(MONEY_SUM).alias("total_amount_egp"),
+        F.sum("fraud_count").alias("fraud_count"),
+    ]
+
+
 def merchant_daily_summary(rows: DataFrame) -> DataFrame:
     """Successful payments per day, merchant and service."""
     day = F.to_date("event_time").alias("summary_date")
@@ -59,11 +67,13 @@ def governorate_daily_summary(rows: DataFrame) -> DataFrame:
 
 def service_daily_rollup(merchant_summary: DataFrame) -> DataFrame:
     """Merchant summary rolled up to day and service."""
-    return merchant_summary.groupBy("summary_date", "service_type").agg(
-        F.sum("total_transactions").alias("total_transactions"),
-        F.sum("total_amount_egp").cast(MONEY_SUM).alias("total_amount_egp"),
-        F.sum("fraud_count").alias("fraud_count"),
-    )
+    return merchant_summary.groupBy("summary_date", "service_type").agg(*_totals())
+
+
+def add_up(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two daily summaries with the same keys as one."""
+    both = first.unionByName(second.select(*first.columns))
+    return both.groupBy("summary_date", *keys).agg(*_totals())
 
 
 def summary_row_counts(summaries: dict[str, DataFrame]) -> DataFrame:

@@ -19,13 +19,12 @@ from tallybrook.operators.upsert import (
     write_partitions,
 )
 from tallybrook.sources.tables import table_stream
+from tallybrook.streaming import lateness
 from tallybrook.streaming.queries import (
     clean_stream,
     daily_totals,
     daily_totals_sink,
-    dedup_stream,
     finish,
-    lake_sink,
     start,
 )
 
@@ -200,25 +199,25 @@ def source_labels(silver: DataFrame) -> DataFrame:
 
 
 def stream_totals(spark: SparkSession, messages: DataFrame, root: str, interval: str | None):
-    """Start a stream that keeps the daily totals per governorate of payments seen once.
+    """Start the streams that keep the daily totals per governorate of payments seen once.
 
-    Copies of an id are dropped within a day of event time; the daily job redoes each day in
-    full from the clean table, late rows included.
+    The first lands each payment once, the second adds up those that are in time. The late
+    ones wait in a table that `streamed_totals` adds.
     """
-    once = dedup_stream(clean_stream(messages), TOTALS_DELAY)
-    # the first stream lands rows once, the second adds them up
-    landing, totals = f"{root}/stream/clean", f"{root}/stream/governorate_totals"
-    first = lake_sink(once, landing, f"{root}/checkpoints/clean", interval)
+    once = lateness.first_arrivals(clean_stream(messages))
+    landing = lateness.landing_at(f"{root}/stream")
+    checkpoints = f"{root}/checkpoints"
+    first = lateness.split_sink(once, landing, f"{checkpoints}/arrivals", TOTALS_DELAY, interval)
     if interval is None:
         finish(first)
-    clean = table_stream(messages.sparkSession, landing, CLEAN_STREAM_SCHEMA)
+    clean = table_stream(messages.sparkSession, landing.in_time, CLEAN_STREAM_SCHEMA)
     second = daily_totals_sink(
         spark,
         daily_totals(clean, ["governorate"], TOTALS_DELAY),
         ["governorate"],
-        totals,
+        f"{root}/stream/governorate_totals",
         f"{root}/staging/governorate_totals",
-        f"{root}/checkpoints/totals",
+        f"{checkpoints}/totals_in_time",
         interval,
     )
     if interval is None:
@@ -226,6 +225,17 @@ def stream_totals(spark: SparkSession, messages: DataFrame, root: str, interval:
     return [first, second]
 
 
+def streamed_totals(spark: SparkSession, root: str) -> DataFrame | None:
+    """The daily totals per governorate of the streams, late payments included; None before the
+    first are written."""
+    streamed = read_if_present(spark, f"{root}/stream/governorate_totals")
+    if streamed is None:
+        return None
+    late = lateness.late_rows(spark, lateness.landing_at(f"{root}/stream"), CLEAN_STREAM_SCHEMA)
+    known = summaries.governorate_daily_summary(late.dropna(subset=["governorate"]))
+    return summaries.add_up(streamed, known, ["governorate"])
+
+
 def train(spark: SparkSession, labelled: DataFrame, path: str) -> dict[str, DataFrame]:
     """Train, save and evaluate the fraud model; returns the evaluation frames."""
     fitted, tested = model.train_and_test(labelled)

@@ -391,6 +391,11 @@ def _class_row(name: str, hit: str, wrong: str, missed: str) -> str:
        CAST({hit} + {missed} AS BIGINT) AS support FROM cells"""
 
 
+WAREHOUSE = f"""WITH {CHECKED}
+SELECT transaction_id, event_time, customer_id, merchant_id, service_type,
+       CAST(amount_egp AS DECIMAL(12,2)) AS amount_egp, governorate, payment_method, status,
+       is_fraud, CAST(fraud_score AS DECIMAL(5,4)) AS fraud_score
+FROM clean"""
 CLEAN_TXN = f"WITH {CHECKED} SELECT {TXN}, fraud_score FROM clean"
 
 
@@ -602,11 +607,14 @@ SELECT transaction_id, fraud_score AS rule_score, TRUE AS in_range, TRUE AS roun
         "stream_ingest": CLEAN_TXN,
         "stream_dedup": CLEAN_TXN,
         "bronze_sink": f"WITH {WIRE} SELECT {TXN} FROM parsed",
-        "warehouse_sink": f"""WITH {CHECKED}
-SELECT transaction_id, event_time, customer_id, merchant_id, service_type,
-       CAST(amount_egp AS DECIMAL(12,2)) AS amount_egp, governorate, payment_method, status,
-       is_fraud, CAST(fraud_score AS DECIMAL(5,4)) AS fraud_score
-FROM clean""",
+        "warehouse_sink": WAREHOUSE,
+        "stream_returning_ids": WAREHOUSE,
+        "stream_late_rows": f"""WITH {CHECKED},
+reached AS (SELECT MAX(event_time) AS high FROM clean WHERE event_id % 15 <> 4)
+SELECT transaction_id, event_time, governorate, amount_egp FROM clean, reached
+WHERE event_id % 15 = 4
+  AND date_trunc('day', event_time) + INTERVAL 1 DAY <= high - INTERVAL 1 DAY""",
+        "stream_totals_with_late": f"WITH {CHECKED} {_daily('clean', 'governorate')}",
         "stream_fanout": f"""WITH {CHECKED},
 stored AS (
   SELECT COUNT(*) AS n_rows, CAST(SUM(CASE WHEN is_fraud THEN 1 ELSE 0 END) AS BIGINT) AS n_fraud,

@@ -29,6 +29,7 @@ from tallybrook.schema import MONEY_SUM, TRANSACTION_COLUMNS, WAREHOUSE_COLUMNS
 from tallybrook.session import work_dir
 from tallybrook.sources import payments as source
 from tallybrook.sources.tables import table_stream
+from tallybrook.streaming import lateness
 from tallybrook.streaming import queries as streams
 from tallybrook.streaming.sinks import Targets, read_counters
 
@@ -76,12 +77,13 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_stream(
-    spark: SparkSession, sf_dir: str, files: int = STREAM_FILES
+    spark: SparkSession, sf_dir: str, files: int = STREAM_FILES, deliver=source.events_by_time
 ) -> DataFrame:
-    """The events as a stream of several batches, in the order of their times."""
+    """The events as a stream of several batches, in the order of their times unless `deliver`
+    says otherwise."""
     source.use_utc(spark)
     own = streams.stream_session(spark, STATE_PARTITIONS)
-    folder = source.events_by_time(spark, sf_dir, work_dir(spark, "events"), files)
+    folder = deliver(spark, sf_dir, work_dir(spark, "events"), files)
     return table_stream(own, folder, source.EVENTS_SCHEMA, maxFilesPerTrigger="1")
 
 
@@ -599,3 +601,40 @@ def stream_daily_summary(spark, sf_dir):
 @query
 def stream_merchant_summary(spark, sf_dir):
     return _streamed_totals(spark, sf_dir, "merchant_id", "service_type")
+
+
+@query
+def stream_returning_ids(spark, sf_dir):
+    """Warehouse rows of a stream in which every 20th payment comes back as two hours later."""
+    out = work_dir(spark, "returning")
+    events = _event_stream(spark, sf_dir, deliver=source.events_coming_back)
+    messages = source.with_defects(source.to_payments(events, "event_id"))
+    once = lateness.first_arrivals(streams.clean_stream(messages))
+    _run(streams.warehouse_sink(once, f"{out}/table", f"{out}/checkpoint", None))
+    landed = spark.read.parquet(f"{out}/table")
+    return naive_time(landed.select(*[c for c in WAREHOUSE_COLUMNS if c != "ingested_at"]))
+
+
+def _straggling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _event_stream(spark, sf_dir, deliver=source.events_with_stragglers)
+    return source.with_defects(source.to_payments(events, "event_id"))
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Payments whose day was closed when they came: every 15th is held back to the end."""
+    out = work_dir(spark, "late")
+    once = lateness.first_arrivals(streams.clean_stream(_straggling(spark, sf_dir)))
+    landing = lateness.landing_at(out)
+    _run(lateness.split_sink(once, landing, f"{out}/checkpoint", DELAY, None))
+    late = lateness.late_rows(spark, landing, jobs.CLEAN_STREAM_SCHEMA)
+    return naive_time(late.select("transaction_id", "event_time", "governorate", "amount_egp"))
+
+
+@query
+def stream_totals_with_late(spark, sf_dir):
+    """Daily totals of the streams of the job, those of late payments added."""
+    out = work_dir(spark, "totals")
+    jobs.stream_totals(spark, _straggling(spark, sf_dir), out, None)
+    totals = jobs.streamed_totals(spark, out)
+    return totals.select("summary_date", "governorate", *summaries.MEASURES)

@@ -65,11 +65,15 @@ def events_by_time(spark: SparkSession, sf_dir: str, folder: str, files: int) ->
     A stream that takes files in the order they were written meets events in the order of their
     times, whatever the order of the table. Events without a time are in the last file.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return in_time_order(spark.read.parquet(f"{sf_dir}/events.parquet"), folder, files)
+
+
+def in_time_order(events: DataFrame, folder: str, files: int) -> str:
+    """Add the events to `folder` as files of consecutive times, the earliest first."""
     shares = [i / files for i in range(1, files)]
     moment = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = events.agg(F.percentile_approx(moment, shares)).first()[0] or []
-    bounds = [None, *sorted(set(cuts)), None]
+    cuts = events.agg(F.percentile_approx(moment, shares)).first()[0] if shares else []
+    bounds = [None, *sorted(set(cuts or [])), None]
     for low, high in zip(bounds, bounds[1:]):
         part = events
         if high is not None:
@@ -81,6 +85,25 @@ def events_by_time(spark: SparkSession, sf_dir: str, folder: str, files: int) ->
     return folder
 
 
+def held_back() -> Column:
+    """Every 15th event: those a delivery brings last."""
+    return F.col("event_id") % 15 == 4
+
+
+def events_with_stragglers(spark: SparkSession, sf_dir: str, folder: str, files: int) -> str:
+    """Like `events_by_time`, but the held-back events come after all others."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    in_time_order(events.where(~held_back()), folder, files)
+    return in_time_order(events.where(held_back()), folder, 1)
+
+
+def events_coming_back(spark: SparkSession, sf_dir: str, folder: str, files: int) -> str:
+    """Like `events_by_time`, and then every 20th event once more, stamped two hours later."""
+    events_by_time(spark, sf_dir, folder, files)
+    again = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") % 20 == 0)
+    return in_time_order(again.withColumn("ts", F.col("ts") + F.expr("INTERVAL 2 HOURS")), folder, 1)
+
+
 def payments_missing_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments of which every 40th lacks its amount."""
     rows = payments(spark, sf_dir, "event_id")

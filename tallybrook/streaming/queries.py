@@ -137,12 +137,18 @@ def dedup_stream(enriched: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Drop repeated transaction ids that arrive within `delay` of each other in event time.
 
     The watermark bounds the state and drops rows older than it; bronze keeps those, and the
-    daily batch counts them. Copies are dropped in two steps: first within a random slot of
-    their id, so that an id repeated without end is worked off by many tasks, then among the
+    daily batch counts them.
+    """
+    return drop_copies(enriched.withWatermark("event_time", delay))
+
+
+def drop_copies(watermarked: DataFrame) -> DataFrame:
+    """Drop repeated transaction ids within the watermark, in two steps: first within a random slot
+    of their id, so that an id repeated without end is worked off by many tasks, then among the
     few rows that are left of it.
     """
     slot = F.floor(F.rand(SLOT_SEED) * DEDUP_SLOTS)
-    spread = enriched.withWatermark("event_time", delay).withColumn("slot", slot)
+    spread = watermarked.withColumn("slot", slot)
     thinned = spread.dropDuplicatesWithinWatermark(["transaction_id", "slot"]).drop("slot")
     return thinned.dropDuplicatesWithinWatermark(["transaction_id"])
 
