@@ -33,6 +33,7 @@ def targets_of(root: str) -> Targets:
         counters=f"{root}/counters/deltas",
         quarantine=f"{root}/quarantine/stream",
         bronze=f"{root}/bronze/transactions",
+        ids=f"{root}/warehouse/ids",
     )
 
 

@@ -6,11 +6,12 @@ import logging
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tallybrook.operators import idtable
 from tallybrook.operators.counters import WINDOW_BATCHES, counter_deltas
 from tallybrook.operators.parse import fill_amount, parse_transactions
 from tallybrook.operators.parse import score as rule
@@ -31,6 +32,9 @@ BATCH_KEYS = ("query_id", "batch_id")
 #: Copies of a payment whose event times lie this close are kept out of the warehouse.
 COPY_SPAN = "1 hour"
 
+#: What the warehouse's table of ids keeps beside an id: the batch that brought it.
+ID_COLUMNS = "query_id string, batch_id bigint"
+
 #: Rows of a baseline that say up to which batch it holds a stream.
 UPTO = "upto"
 
@@ -64,15 +68,21 @@ def with_batch(rows: DataFrame, batch_id: int, query_id: str) -> DataFrame:
     )
 
 
-def append_new_payments(batch: DataFrame, batch_id: int, path: str, query_id: str) -> None:
+def append_new_payments(
+    batch: DataFrame, batch_id: int, path: str, query_id: str, ids: str | None = None
+) -> None:
     """Add a batch to the warehouse table, leaving out ids that other batches brought.
 
     The table is partitioned by event date, stream and batch: writing a batch again replaces
     what it wrote before and nothing else. Ids are compared with payments of the same time,
     give or take COPY_SPAN: a redelivered message keeps its event time. Dates prune folders and
     times prune files, so a batch reads as much at the end of a day as at its start. An id that
-    comes back under a time farther away is settled by the job that builds the clean table. Call
+    comes back under a time farther away is found in the table at `ids`, which keeps the ids of
+    all batches in buckets; without it, the job that builds the clean table settles it. Call
     it with a cached batch: its times are read before its rows.
+
+    Ids are entered after the rows: a stop between leaves rows without ids, which the batch enters
+    when it runs again, never ids without rows.
     """
     rows = batch.select(*WAREHOUSE_COLUMNS, F.to_date("event_time").alias("event_date"))
     rows = dedup_earliest(rows, ["transaction_id"], ["event_time"])
@@ -80,16 +90,30 @@ def append_new_payments(batch: DataFrame, batch_id: int, path: str, query_id: st
     if table is not None:
         known = known_ids(table, rows, batch_id, query_id)
         rows = rows.join(known, ["transaction_id"], "left_anti")
-    write_partitions(with_batch(rows, batch_id, query_id), path, "event_date", *BATCH_KEYS)
+    if ids is None:
+        write_partitions(with_batch(rows, batch_id, query_id), path, "event_date", *BATCH_KEYS)
+        return
+    met = idtable.lookup(batch, ids, ID_COLUMNS)
+    if met is not None:
+        rows = rows.join(met.where(_of_others(batch_id, query_id)), ["transaction_id"], "left_anti")
+    fresh = with_batch(rows, batch_id, query_id).persist()
+    try:
+        write_partitions(fresh, path, "event_date", *BATCH_KEYS)
+        idtable.add(fresh.select("transaction_id", *BATCH_KEYS), ids, ID_COLUMNS)
+    finally:
+        fresh.unpersist()
+
+
+def _of_others(batch_id: int, query_id: str) -> Column:
+    return ~((F.col("query_id") == query_id) & (F.col("batch_id") == batch_id))
 
 
 def known_ids(table: DataFrame, rows: DataFrame, batch_id: int, query_id: str) -> DataFrame:
     """Ids that other batches brought with an event time near those of `rows`."""
     span = F.expr(f"INTERVAL {COPY_SPAN}")
     first, last = rows.agg(F.min("event_time") - span, F.max("event_time") + span).first()
-    others = ~((F.col("query_id") == query_id) & (F.col("batch_id") == batch_id))
     return table.where(
-        others
+        _of_others(batch_id, query_id)
         & F.col("event_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
         & F.col("event_time").between(F.lit(first), F.lit(last))
     ).select("transaction_id")
@@ -259,12 +283,14 @@ def _drop_folded(
 
 @dataclass(frozen=True)
 class Targets:
-    """Where the parts of the fan-out go; without `bronze` the raw messages are not kept."""
+    """Where the parts of the fan-out go; without `bronze` the raw messages are not kept, without
+    `ids` an id that comes back under a time far away is in the warehouse again."""
 
     warehouse: str
     counters: str
     quarantine: str
     bronze: str | None = None
+    ids: str | None = None
 
 
 def fan_out(
@@ -290,7 +316,7 @@ def fan_out(
             write_partitions(raw, targets.bronze, *BATCH_KEYS)
         good = typed_for_storage(score(fill_amount(accepted(checked).drop("value")))).persist()
         try:
-            append_new_payments(good, batch_id, targets.warehouse, query_id)
+            append_new_payments(good, batch_id, targets.warehouse, query_id, targets.ids)
             write_counters(good, batch_id, targets.counters, query_id)
         finally:
             good.unpersist()

@@ -3,11 +3,14 @@ from __future__ import annotations
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.operators import idtable
+from tallybrook.operators import counters, idtable
 from tallybrook.plans import jobs
+from tallybrook.streaming.sinks import Targets, fan_out, read_counters
 
+from .test_streaming import message
 from .test_tables import delivery, lake_at, rows_of
 
 COLUMNS = "event_date date"
@@ -124,3 +127,39 @@ def test_a_small_delivery_reads_few_files_of_the_lake(spark, folder, monkeypatch
     assert touched == [(dt.date(2024, 1, 4),), (dt.date(2024, 2, 20),)]
     assert seen[0] <= 2 and len(spark.read.parquet(lake.ids).inputFiles()) > 500
     assert spark.read.parquet(lake.silver).count() == 1501
+
+
+def far_apart(spark, *ids, day):
+    texts = [message(i, f"2024-01-{day:02d}T10:00:00") for i in ids]
+    return spark.createDataFrame([(text,) for text in texts], "value string")
+
+
+def test_the_fan_out_keeps_an_id_once_whatever_its_time(spark, folder, monkeypatch):
+    targets = Targets(f"{folder}/dw", f"{folder}/counters", f"{folder}/bad", ids=f"{folder}/ids")
+
+    def state():
+        kept = spark.read.parquet(targets.warehouse)
+        return rows_of(kept.select("transaction_id", F.dayofmonth("event_time")))
+
+    fan_out(far_apart(spark, 1, 2, day=1), 0, targets, "q")
+    fan_out(far_apart(spark, 2, 3, day=9), 1, targets, "q")
+    want = [("t1", 1), ("t2", 1), ("t3", 9)]
+    assert state() == want
+    # batches that run again keep their own rows; another stream brings none of them twice
+    fan_out(far_apart(spark, 2, 3, day=9), 1, targets, "q")
+    fan_out(far_apart(spark, 1, 2, day=1), 0, targets, "q")
+    fan_out(far_apart(spark, 1, 3, day=20), 0, targets, "other")
+    assert state() == want
+
+    def stop(*given):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(idtable, "add", stop)
+        with pytest.raises(RuntimeError):
+            fan_out(far_apart(spark, 4, day=5), 2, targets, "q")
+    fan_out(far_apart(spark, 4, day=5), 2, targets, "q")
+    fan_out(far_apart(spark, 4, day=6), 3, targets, "q")
+    assert state() == sorted([*want, ("t4", 5)])
+    kpis = counters.live_kpis(read_counters(spark, targets.counters)).first()
+    assert kpis.total_transactions == 2 + 2 + 2 + 1 + 1  # messages, each batch once
