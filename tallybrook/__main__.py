@@ -34,6 +34,7 @@ def targets_of(root: str) -> Targets:
         quarantine=f"{root}/quarantine/stream",
         bronze=f"{root}/bronze/transactions",
         ids=f"{root}/warehouse/ids",
+        commits=f"{root}/warehouse/commits",
     )
 
 

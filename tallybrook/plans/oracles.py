@@ -609,6 +609,12 @@ SELECT transaction_id, fraud_score AS rule_score, TRUE AS in_range, TRUE AS roun
         "bronze_sink": f"WITH {WIRE} SELECT {TXN} FROM parsed",
         "warehouse_sink": WAREHOUSE,
         "stream_returning_ids": WAREHOUSE,
+        "stream_commits": f"""WITH {CHECKED}
+SELECT COUNT(*) AS n_read,
+       COUNT(*) FILTER (WHERE reject_reason <> '') AS n_rejected,
+       (SELECT COUNT(*) FROM clean) AS n_stored,
+       COUNT(*) FILTER (WHERE reject_reason <> '') AS n_quarantined
+FROM checked""",
         "stream_late_rows": f"""WITH {CHECKED},
 reached AS (SELECT MAX(event_time) AS high FROM clean WHERE event_id % 15 <> 4)
 SELECT transaction_id, event_time, governorate, amount_egp FROM clean, reached

@@ -31,7 +31,7 @@ from tallybrook.sources import payments as source
 from tallybrook.sources.tables import table_stream
 from tallybrook.streaming import lateness
 from tallybrook.streaming import queries as streams
-from tallybrook.streaming.sinks import Targets, read_counters
+from tallybrook.streaming.sinks import Targets, committed, read_commits, read_counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -566,6 +566,31 @@ def stream_fanout(spark, sf_dir):
     )
 
 
+@query
+def stream_commits(spark, sf_dir):
+    """What the log of commits says of a stream's batches, and what a reader of them finds."""
+    out = work_dir(spark, "commits")
+    targets = Targets(
+        f"{out}/warehouse",
+        f"{out}/counters",
+        f"{out}/quarantine",
+        ids=f"{out}/ids",
+        commits=f"{out}/commits",
+    )
+    _run(streams.fan_out_sink(_message_stream(spark, sf_dir), targets, f"{out}/checkpoint", None))
+    commits = read_commits(spark, targets.commits)
+
+    def found(path):
+        return committed(spark.read.parquet(path), commits).agg(F.count(F.lit(1)).alias("n"))
+
+    stored, refused = found(targets.warehouse), found(targets.quarantine)
+    return (
+        commits.agg(F.sum("n_read").alias("n_read"), F.sum("n_rejected").alias("n_rejected"))
+        .crossJoin(stored.select(F.col("n").alias("n_stored")))
+        .crossJoin(refused.select(F.col("n").alias("n_quarantined")))
+    )
+
+
 @query
 def stream_dedup(spark, sf_dir):
     """Clean rows, each id once, of a stream with redelivered messages."""

@@ -284,13 +284,55 @@ def _drop_folded(
 @dataclass(frozen=True)
 class Targets:
     """Where the parts of the fan-out go; without `bronze` the raw messages are not kept, without
-    `ids` an id that comes back under a time far away is in the warehouse again."""
+    `ids` an id that comes back under a time far away is in the warehouse again, without `commits`
+    readers cannot tell batches that all sinks hold from one that is being written."""
 
     warehouse: str
     counters: str
     quarantine: str
     bronze: str | None = None
     ids: str | None = None
+    commits: str | None = None
+
+
+#: Batches of a stream that its log of commits keeps, the newest.
+KEPT_COMMITS = WINDOW_BATCHES
+COMMIT = "n_read bigint, n_rejected bigint, query_id string, batch_id bigint"
+
+
+def commit(
+    spark: SparkSession, path: str, batch_id: int, query_id: str, read: int, bad: int
+) -> None:
+    """Note that all sinks hold a batch, and its row counts; notes of long past batches go.
+
+    A batch begins when the one before has ended, so the newest note stands for all before it.
+    """
+    counts = spark.range(1).select(F.lit(read).alias("n_read"), F.lit(bad).alias("n_rejected"))
+    write_partitions(with_batch(counts.coalesce(1), batch_id, query_id), path, *BATCH_KEYS)
+    kept = read_if_present(spark, path, COMMIT)
+    old = kept.where((F.col("query_id") == query_id) & (F.col("batch_id") <= batch_id - KEPT_COMMITS))
+    for row in old.select(*BATCH_KEYS).distinct().toLocalIterator():
+        delete(spark, f"{path}/query_id={row.query_id}/batch_id={row.batch_id}")
+
+
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """The newest committed batches of each stream with the messages read and rejected."""
+    kept = read_if_present(spark, path, COMMIT)
+    return spark.createDataFrame([], COMMIT) if kept is None else kept
+
+
+def committed(table: DataFrame, commits: DataFrame) -> DataFrame:
+    """The rows of a sink's table whose batch all sinks hold.
+
+    One row per stream is joined, so no row of the table is shuffled. Tables read with the same
+    commits agree: every batch is in all of them or in none.
+    """
+    upto = commits.groupBy("query_id").agg(F.max("batch_id").alias("upto"))
+    return (
+        table.join(upto, "query_id")
+        .where(F.col("batch_id") <= F.col("upto"))
+        .select(*table.columns)
+    )
 
 
 def fan_out(
@@ -322,6 +364,8 @@ def fan_out(
             good.unpersist()
         broken = with_batch(rejected(checked).select("value", REJECT), batch_id, query_id)
         write_partitions(broken, targets.quarantine, *BATCH_KEYS)
+        if targets.commits:
+            commit(batch.sparkSession, targets.commits, batch_id, query_id, read, bad)
         log.info("batch %s of %s: %s messages, %s rejected", batch_id, query_id, read, bad)
     finally:
         checked.unpersist()
