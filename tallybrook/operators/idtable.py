@@ -50,8 +50,10 @@ def share(ids: DataFrame, path: str, columns: str) -> DataFrame | None:
     """
     numbers = [row[0] for row in ids.select(bucket_of()).distinct().collect()]
     found = _buckets(ids.sparkSession, path, columns, numbers)
+    if found is None or len(numbers) >= PUSHED_IDS:
+        return found
     few = ids.select(ID).distinct().limit(PUSHED_IDS + 1).collect()
-    if found is None or len(few) > PUSHED_IDS:
+    if len(few) > PUSHED_IDS:
         return found
     return found.where(reduce(or_, [F.col(ID) == row[0] for row in few], F.lit(False)))
 
@@ -77,12 +79,11 @@ def lookup(ids: DataFrame, path: str, columns: str) -> DataFrame | None:
 def add(rows: DataFrame, path: str, columns: str) -> None:
     """Append rows (the id and `columns`), then rewrite the buckets that have grown crowded.
 
-    Give it stored rows: they are read more than once.
+    The driver lists the files of the table, which rewriting keeps to some per bucket.
     """
     spark = rows.sparkSession
     _append(rows.withColumn(BUCKET, bucket_of()), path)
-    numbers = [row[0] for row in rows.select(bucket_of()).distinct().collect()]
-    written = _buckets(spark, path, columns, numbers)
+    written = read_if_present(spark, path, f"{ID} string, {columns}, {BUCKET} int")
     if written is None:
         return
     files = written.inputFiles()
