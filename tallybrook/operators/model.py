@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallybrook.functions.features import amount_ratio, hour_of_day, odd_hour
 from tallybrook.functions.scoring import fraud_flag, rule_score
-from tallybrook.operators.nodetable import forest_nodes, mean_share, with_trees
+from tallybrook.operators.nodetable import forest_nodes, mean_share_of_forest
 from tallybrook.operators.ranking import amount_percentile
 from tallybrook.operators.running import data_bucket, running_totals
 from tallybrook.operators.splitting import SEED, class_weights, stratified_split
@@ -276,12 +276,13 @@ def train_and_test(labelled: DataFrame) -> tuple[FraudModel, DataFrame]:
 def score_from_nodes(rows: DataFrame, model: FraudModel, nodes: DataFrame) -> DataFrame:
     """Add `ml_score` by walking the saved table of nodes, without the forest's own classes.
 
-    No row is shuffled or sent to Python: the table goes to the tasks as one value of bounded size.
+    No row is shuffled; the table goes to the tasks once, as one value of bounded size. Batches of
+    rows walk it in Python workers: in expressions, each of its copies was longer than a row by far.
     """
     features = F.array(*[F.col(c).cast("double") for c in FEATURES])
     depth = model.pipeline.stages[-1].getMaxDepth()
-    scored = with_trees(model.inputs(rows), nodes)
-    share = mean_share(F.col("_trees"), features, depth)
+    scored = model.inputs(rows)
+    share = mean_share_of_forest(nodes, features, depth)
     return scored.select(*rows.columns, F.round(share, SCORE_DIGITS).alias("ml_score"))
 
 

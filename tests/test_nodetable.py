@@ -81,6 +81,36 @@ def test_ties_go_left_and_missing_values_right(spark):
     assert got == [0.125, 0.5, 0.5, 0.125, 0.5]
 
 
+def test_forest_in_batches_finds_the_same_and_rows_carry_no_table(spark):
+    rng = random.Random(3)
+    nodes = [
+        (0, 0, 1, 2.0, 1, 2, 0.5), (0, 1, -1, None, -1, -1, 0.25), (0, 2, 0, 0.0, 3, 4, 1.0),
+        (0, 3, -1, None, -1, -1, 0.125), (0, 4, -1, None, -1, -1, None), (3, 0, -1, None, -1, -1, None),
+        (5, 0, 0, 1.0, 1, 2, 0.5), (5, 1, -1, None, -1, -1, 1.0), (5, 2, -1, None, -1, -1, 0.0),
+    ]
+    nodes = spark.createDataFrame(nodes, NODES).repartition(3)
+    values = [None, float("nan"), -1.0, 0.0, 1.0, 2.0, 2.5]
+    rows = [(rng.choice(values), rng.choice(values)) for _ in range(200)]
+    table = spark.createDataFrame(rows, "a double, b double").repartition(5)
+    walked = table.select("a", "b", nodetable.mean_share_of_forest(nodes, F.array("a", "b"), 2).alias("s"))
+    plan = walked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "subquery" not in plan
+    score = nodetable.mean_share(F.col("_trees"), F.array("a", "b"), 2)
+    want = nodetable.with_trees(table, nodes).select("a", "b", score.alias("s"))
+    assert sorted(map(str, walked.collect())) == sorted(map(str, want.collect()))
+    none = nodetable.mean_share_of_forest(spark.createDataFrame([], NODES), F.array("a", "b"), 2)
+    assert {r[0] for r in table.select(none).collect()} == {None}
+    assert table.where("a < -9").select(nodetable.mean_share_of_forest(nodes, F.array("a", "b"), 2)).collect() == []
+
+
+def test_scoring_from_nodes_copies_the_table_with_no_row(spark, sf_dir, folder):
+    rows = source.payments(spark, sf_dir).limit(300)
+    model.fit_model(rows).save(f"{folder}/model")
+    nodes = spark.read.parquet(f"{folder}/model/nodes")
+    scored = model.score_from_nodes(rows, model.load_model(spark, f"{folder}/model"), nodes)
+    assert "_trees" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_tree_gives_no_score(spark):
     rows = nodetable.with_trees(spark.range(1), spark.createDataFrame([], NODES))
     score = nodetable.mean_share(F.col("_trees"), F.array(F.lit(1.0)), 2)
