@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -37,9 +38,12 @@ SCORE_DIGITS = 4
 
 QUANTILES = 100
 
-#: Partitions that the training rows are dealt to by id. The trees depend on them and on nothing
-#: else of the cluster, so the number is saved with the model.
+#: Partitions that the training rows are dealt to by id, and the rows of one from which on there are
+#: more. The trees depend on their number and on nothing else of the cluster, so it follows from
+#: the rows alone and is saved with the model. A task reads about 1.5 kB for a row of 100 trees;
+#: each partition also sends its own histograms of all nodes, so they are no smaller than need be.
 PARTITIONS = 16
+ROWS_PER_PARTITION = 250_000
 
 
 def category_codes(rows: DataFrame) -> DataFrame:
@@ -204,18 +208,21 @@ def model_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fit_model(
-    labelled: DataFrame, seed: int = SEED, partitions: int = PARTITIONS
+    labelled: DataFrame, seed: int = SEED, partitions: int | None = None
 ) -> FraudModel:
     """Fit on rows with a known `is_fraud`; classes weigh the same in total.
 
-    Rows are dealt to `partitions` by a hash of their id and sorted there: the forest draws its
-    samples by partition and position, so the model does not depend on the cluster or the
-    files. Codes and quantiles are written out once, then used here and in serving.
+    Rows are dealt to `partitions`, by default as their number asks for, by a hash of their id and
+    sorted there: the forest draws its samples by partition and position, so the model does not
+    depend on the cluster or the files. Codes and quantiles are written out once, then used here
+    and in serving.
     """
     spark = labelled.sparkSession
     known = labelled.where(F.col("is_fraud").isNotNull()).select(
         "transaction_id", "event_time", "amount_egp", *ENCODED, "is_fraud"
     )
+    if partitions is None:
+        partitions = max(PARTITIONS, math.ceil(known.count() / ROWS_PER_PARTITION))
     dealt = known.repartition(partitions, "transaction_id").sortWithinPartitions(*known.columns)
     dealt = dealt.persist()
     try:

@@ -137,3 +137,16 @@ def test_training_part_and_test_part_are_disjoint(rows):
     _, tested = model.train_and_test(rows)
     known = rows.where("is_fraud IS NOT NULL").count()
     assert abs(tested.count() - known * 0.2) <= 2
+
+
+def test_partitions_follow_the_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(model, "TREES", 3)
+    monkeypatch.setattr(model, "DEPTH", 3)
+    rows = source.payments(spark, sf_dir)
+    known = rows.where("is_fraud IS NOT NULL").count()
+    monkeypatch.setattr(model, "ROWS_PER_PARTITION", -(-known // 23))
+    first, again = (model.fit_model(rows.repartition(parts)) for parts in (2, 7))
+    a, b = (fit.pipeline.stages[-1].toDebugString.partition("\n")[2] for fit in (first, again))
+    assert first.partitions == 23 and a == b != ""
+    monkeypatch.setattr(model, "ROWS_PER_PARTITION", known)
+    assert model.fit_model(rows).partitions == model.PARTITIONS
