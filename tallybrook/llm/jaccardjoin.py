@@ -40,13 +40,19 @@ UNCOUNTED = 1 << 62
 #: Sets of one token that are held until all are counted; tokens of more are equally frequent.
 HELD_SETS = 1_000_000
 #: Members of a bucket that are compared with all others in one round.
-ROUND_HUBS = 256
+ROUND_HUBS = 1024
 #: Members that one task compares with a hub.
 TASK_MEMBERS = 2_000
 #: Candidate sets whose ids may be broadcast; more are joined by a shuffle.
 BROADCAST_SETS = 1_000_000
-#: Distinct words whose hashes a worker remembers.
-CACHE_WORDS = 500_000
+#: Bytes that are hashed at a time, and the length of words from which they are hashed one by one.
+PIECE_BYTES = 1 << 16
+LONG_WORD = 64
+#: Bytes of texts whose words are found at a time, or one longer text.
+GROUP_BYTES = 1 << 22
+#: Longs of a set's sketch. Its bits are the parities of the tokens that fall on them, so sketches
+#: differ in no more bits than sets in tokens.
+SKETCH_LONGS = 8
 
 _FACTORS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64
@@ -56,35 +62,90 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 SIGNATURES = "sig bigint, node bigint, n bigint, alone bigint"
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, remembered."""
+def _powers(base: int) -> np.ndarray:
+    """The powers of a number modulo 2 ** 64, one for each byte of a piece and a word beyond."""
+    bases = np.full(PIECE_BYTES + LONG_WORD + 1, base % (1 << 64), dtype=np.uint64)
+    bases[0] = 1
+    return np.multiply.accumulate(bases)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+#: A word's hash is that of the sum of its bytes' codes, each times the power of its place.
+_BASE = 0x9FB21C651E98DF2B
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+_CODES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
+_IN_WORD = np.array([not bytes([b]).isspace() for b in range(256)])
 
-_words = _WordHashes()
 
-
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles.
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start in data, and their hashes. Data starts with white space and ends with
+    more of it than a word of LONG_WORD bytes is long."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    inside = _IN_WORD[raw]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    hashes = np.zeros(len(starts), dtype=np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(raw) + PIECE_BYTES, PIECE_BYTES))
+    for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
+        if i == j:
+            continue
+        low = int(starts[i])
+        at = np.empty(2 * (j - i), dtype=np.int64)
+        at[::2] = starts[i:j] - low
+        at[1::2] = np.minimum(ends[i:j] - low, at[::2] + LONG_WORD)
+        values = _CODES[raw[low : low + int(at[-1]) + 1]]
+        values *= _UP[: len(values)]
+        hashes[i:j] = np.add.reduceat(values, at)[::2] * _DOWN[at[::2]]
+    hashes = _mixed(hashes + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]])
+    return starts, hashes
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's word shingles.
 
     Letters A to Z are lowered; words are runs without white space. A text with fewer words than
     a shingle has one for all its words, a text without words has none.
     """
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
+    sets, held, size = [], [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8"))
+        size += len(held[-1])
+        if size >= GROUP_BYTES:
+            sets += _sets_of(held)
+            held, size = [], 0
+    return sets + _sets_of(held)
+
+
+def _sets_of(encoded: list[bytes]) -> list[np.ndarray]:
+    starts, hashes = _words(b" " + b" ".join(encoded).lower() + b" " * (LONG_WORD + 1))
+    lengths = np.array([len(e) + 1 for e in encoded], dtype=np.int64)
+    cuts = np.append(np.searchsorted(starts, np.cumsum(lengths) - lengths), len(starts))
+    whole = _joined(hashes, SHINGLE)
+    sets = []
+    for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
+        if j - i >= SHINGLE:
+            own = np.sort(whole[i : j - SHINGLE + 1])
+            sets.append(own[np.append(True, own[1:] != own[:-1])])
+        else:
+            sets.append(_joined(hashes[i:j], j - i))
+    return sets
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The set of one text."""
+    return shingle_sets([text])[0]
+
+
+def _joined(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of all runs of so many words."""
+    n = len(hashes) - width + 1
+    if not width or n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(SHINGLE, len(words))
-    n = len(words) - width + 1
     total = np.full(n, width, dtype=np.uint64)
     for i in range(width):
         total += hashes[i : i + n] * _FACTORS[i]
-    return np.unique(_mixed(total))
+    return _mixed(total)
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -110,7 +171,7 @@ def signed_rows(docs: DataFrame, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            sets = shingle_sets(batch.column("text").to_pylist())
             node, check = zip(*[_digest(own, seed) for own in sets])
             columns = [batch.column("doc_id"), pa.array([len(own) for own in sets])]
             yield pa.RecordBatch.from_arrays(
@@ -163,8 +224,7 @@ def _token_rows(docs: DataFrame, seed: int) -> DataFrame:
         seen: set[int] = set()
         for batch in slices(batches):
             sets, nodes = [], []
-            for text in batch.column("text").to_pylist():
-                own = shingles(text)
+            for own in shingle_sets(batch.column("text").to_pylist()):
                 node = _digest(own, seed)[0]
                 if len(own) and node not in seen:
                     seen.add(node)
@@ -350,8 +410,7 @@ def _sets(docs: DataFrame, seed: int, wanted: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in slices(batches):
             sets = {}
-            for text in batch.column("text").to_pylist():
-                own = shingles(text)
+            for own in shingle_sets(batch.column("text").to_pylist()):
                 node = _digest(own, seed)[0]
                 if len(own) and node not in seen:
                     seen.add(node)
@@ -440,6 +499,36 @@ def _may_link() -> Column:
     return 100 * common >= PERCENT * (F.col("n") + F.col("hub_n") - common)
 
 
+SKETCH = [f"_sketch{i}" for i in range(SKETCH_LONGS)]
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The parities of a set's tokens, dealt by their upper bits."""
+    places = (own >> np.uint64(32)) % np.uint64(64 * SKETCH_LONGS)
+    odd = np.bincount(places.view(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [sketch(np.frombuffer(s.as_py(), dtype=np.uint64)) for s in batch.column("own")]
+            if own:
+                longs = [pa.array(column) for column in np.stack(own, axis=1)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node"), *longs], names=["node", *SKETCH]
+                )
+
+    return map_arrow(sets, run, ", ".join(["node bigint", *(f"{c} bigint" for c in SKETCH)]))
+
+
+def _sketches_near() -> Column:
+    """Whether a member's and a hub's sketch differ in no more bits than linked sets do in tokens:
+    with common tokens >= PERCENT / (100 + PERCENT) of both sizes, the others are so many."""
+    bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub{c}"))) for c in SKETCH)
+    return (100 + PERCENT) * bits <= (100 - PERCENT) * (F.col("n") + F.col("hub_n"))
+
+
 def _distinct_buckets(sigs: DataFrame) -> DataFrame:
     """The rows of one bucket among those with the same members: near copies share many
     signatures, and each pair is to come from few of them."""
@@ -460,7 +549,8 @@ def set_links(sigs: DataFrame, sets: DataFrame, hubs_per_round: int = ROUND_HUBS
     a group of near copies most are linked then. By the triangle inequality, members whose distances
     from it differ by over a tenth cannot link. Later rounds compare, in buckets whose members
     are not all connected, those outside the largest connected part with all members of other
-    parts, some per bucket and round. A member compared leaves its buckets. Rounds end when every
+    parts, some per bucket and round. Only pairs whose sketches are as near as those of linked sets
+    leave the join, so a group of near copies that do not link makes few. A member compared leaves its buckets. Rounds end when every
     bucket is connected or used up, so pairs that stay uncompared are connected already.
     """
     sigs = stored(_distinct_buckets(sigs), "join-buckets")
@@ -497,6 +587,8 @@ def set_links(sigs: DataFrame, sets: DataFrame, hubs_per_round: int = ROUND_HUBS
         open_sigs = stored(placed.join(spread, "sig", "left_semi"), "join-sigs")
         if open_sigs.isEmpty():
             return links
+        if SKETCH[0] not in open_sigs.columns:
+            open_sigs = stored(open_sigs.join(_sketches(sets), "node"), "join-sigs")
         largest = (
             open_sigs.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("m"))
             .groupBy("sig").agg(F.max(F.struct("m", "root")).alias("most"))
@@ -515,11 +607,12 @@ def set_links(sigs: DataFrame, sets: DataFrame, hubs_per_round: int = ROUND_HUBS
                 F.col("alone").alias("hub_alone"),
                 F.col("far").alias("hub_far"),
                 F.col("root").alias("hub_root"),
+                *[F.col(c).alias(f"hub{c}") for c in SKETCH],
             ),
             "join-hubs",
         )
         pairs = open_sigs.join(hubs, "sig").where(
-            (F.col("root") != F.col("hub_root")) & _may_link() & near_enough
+            (F.col("root") != F.col("hub_root")) & _may_link() & near_enough & _sketches_near()
         )
         pairs = pairs.select("hub", "node").distinct()
         pairs = stored(pairs.join(compared, ["hub", "node"], "left_anti"), "join-pairs")

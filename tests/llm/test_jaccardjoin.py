@@ -193,3 +193,54 @@ def test_shingles_are_distinct_and_sorted():
     own = shingles("a b c a b c a b c")
     assert len(own) == 3 and (own[1:] > own[:-1]).all()
     assert not np.intersect1d(shingles("a b"), shingles("a b a")).size
+
+
+def test_near_copies_that_do_not_link_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(700):
+        copy = list(base) if i % 10 or i == 0 else rows[rng.randrange(i)][1].split()
+        for _ in range(rng.randrange(5, 9) if i % 10 else 1):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(25)}"
+        rows.append((i, " ".join(copy)))
+    compared = []
+    verified = jaccardjoin._verified
+
+    def watched(pairs, sets):
+        compared.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(jaccardjoin, "_verified", watched)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = brute(rows)
+    assert found(jaccard_components(docs)) == want
+    assert 300 < len({c for _, c in want.values()}) < len(rows)
+    assert sum(compared) < 10 * len(rows)
+
+
+def test_sketches_of_linked_sets_are_near():
+    rng = np.random.default_rng(8)
+    for n in (1, 9, 20, 130, 400, 3000):
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for cut in {0, 1, n // 20, n // 10}:
+            other = np.unique(np.append(own[cut:], rng.integers(0, 1 << 63, cut // 2, dtype=np.uint64)))
+            bits = sum(
+                int(x).bit_count()
+                for x in (jaccardjoin.sketch(own) ^ jaccardjoin.sketch(other)).view(np.uint64)
+            )
+            assert bits <= len(np.setxor1d(own, other))
+
+
+def test_sets_of_many_texts_do_not_depend_on_their_place(monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", " ", "x" * 64, "x" * 65, "x" * 64 + "y", "y" * 200_000 + " one TWO three é\x85É", "a\x0bB\x0cc\x1cd\x1fe f"]
+    texts += [" ".join(f"{rng.choice('aB')}{rng.randrange(5000)}" for _ in range(n)) for n in (1, 2, 3, 40_000)]
+    sets = jaccardjoin.shingle_sets(texts)
+    assert [len(own) for own in sets] == [len(word_sets(t)) for t in texts]
+    monkeypatch.setattr(jaccardjoin, "GROUP_BYTES", 100)
+    mixed = jaccardjoin.shingle_sets(["ab " * rng.randrange(50) + (t or "") for t in texts[::-1]] + texts)
+    for own, again in zip(sets, mixed[len(texts) :]):
+        assert (own == again).all()
+    assert (sets[-1] == shingles(texts[-1].upper())).all()
+    assert len({shingles(t).tobytes() for t in ("x" * 64, "x" * 65, "x" * 64 + "y", "x" * 63)}) == 4
