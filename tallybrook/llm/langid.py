@@ -309,15 +309,18 @@ def train(docs: DataFrame) -> Model | None:
         .select("lang", "text")
         .repartition("lang")  # bounded per language; one count of a window, not one per task
     )
-    counted = count_contexts(sample).toPandas()
+    # Arrow columns: as rows, the driver would hold an object for every field
+    counted = count_contexts(sample).toArrow()
     if not len(counted):
         return None
-    langs = sorted(counted["lang"].unique().tolist())
-    lang_of = counted["lang"].map({v: i for i, v in enumerate(langs)}).to_numpy()
+    found = counted["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(found.dictionary.to_pylist())
+    number = {v: i for i, v in enumerate(langs)}
+    place = np.array([number[v] for v in found.dictionary.to_pylist()], dtype=np.int64)
     return Model(
         langs,
         counted["size"].to_numpy(),
-        lang_of,
+        place[found.indices.to_numpy()],
         counted["win"].to_numpy().view(np.uint64),
         counted["n"].to_numpy(),
     )
